@@ -1,0 +1,56 @@
+"""Tables that cut lineage, in the shared folder that spark.checkpoint.dir names."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_OPEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only where the setting is absent (tests on one machine) one is made and set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="colloquy-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that no other call gets, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _OPEN:
+        atexit.register(_remove_all)
+    _OPEN.append((spark, path))
+    return path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet and read again: lineage ends here and a lost executor costs no recomputation."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_all() -> None:
+    for spark, path in _OPEN:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone; its cluster's own cleaning remains
+            return
+
+
+def plus(df: DataFrame, ddl: str) -> StructType:
+    """df's schema with the columns of ddl after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
