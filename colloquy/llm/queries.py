@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, language, token_counts
+from . import audio, bpe, chat, language, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
     "op2_language_by_compression": language.op2_language_by_compression,
     "op3_audio_features": audio.op3_audio_features,
     "op4_two_tier_token_count": token_counts.op4_two_tier_token_count,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_warc_round_trip": warc.op9_warc_round_trip,
+    "op10_snapshot_collapse": chat.op10_snapshot_collapse,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_redirect_equivalence": url_filter.ORACLE,
+    "op9_warc_round_trip": warc.ORACLE,
+    "op10_snapshot_collapse": chat.ORACLE,
+}
