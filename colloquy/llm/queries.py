@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, language, ngram_join, token_counts, url_filter, warc
+from . import audio, bpe, chat, decontaminate, language, ngram_join, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
     "op2_language_by_compression": language.op2_language_by_compression,
     "op3_audio_features": audio.op3_audio_features,
     "op4_two_tier_token_count": token_counts.op4_two_tier_token_count,
+    "op5_cgk_decontamination": decontaminate.op5_cgk_decontamination,
     "op6_bayes_ngram_join": ngram_join.op6_bayes_ngram_join,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
