@@ -311,6 +311,16 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", F.when(F.col("_bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_same", F.lit(1)).alias("n_same"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one document of each class of `similar` is kept: that with the least doc_id.
+
+    Of rows that repeat a doc_id one stays; rows whose doc_id is null all stay, as nothing names them.
+    """
+    heads = similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op6_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_same")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, decontaminate, language, ngram_join, token_counts, url_filter, warc
+from . import audio, bpe, chat, decontaminate, html_text, language, ngram_join, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_two_tier_token_count": token_counts.op4_two_tier_token_count,
     "op5_cgk_decontamination": decontaminate.op5_cgk_decontamination,
     "op6_bayes_ngram_join": ngram_join.op6_bayes_ngram_join,
+    "op7_wrapper_extraction": html_text.op7_wrapper_extraction,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
