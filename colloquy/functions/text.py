@@ -49,7 +49,7 @@ def replace_all(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def pieces(c: Column, pattern: str, longer_than: int) -> Column:
     """c split at pattern; pieces are stripped and stay if longer than so many characters."""
-    return F.filter(F.transform(F.split(c, pattern), strip), lambda x: F.length(x) > longer_than)
+    return F.filter(F.transform(F.split(c, pattern), lambda x: strip(x)), lambda x: F.length(x) > longer_than)
 
 
 def words(c: Column) -> Column:
@@ -219,7 +219,7 @@ def required_points(content: Column, most: int = 5) -> Column:
     A sentence is left out if the whole line is among the points, a listed line if what remains of it is.
     """
     number, bullet = r"^[一二三四五六七八九十\d]+[、.．)）]", r"^[-*●•·]"
-    lines = F.filter(F.transform(F.split(content, "\n"), strip), lambda x: F.length(x).between(6, 80))
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: strip(x)), lambda x: F.length(x).between(6, 80))
 
     def add(points: Column, line: Column) -> Column:
         listed = F.when(line.rlike(number), F.regexp_replace(line, number + r"\s*", "")).when(line.rlike(bullet), F.regexp_replace(line, bullet + r"\s*", ""))
@@ -242,11 +242,10 @@ def punctuated(c: Column) -> Column:
     t = replace_all(t, [(w, "，" + w) for w in L.COMMA_BEFORE])
     t = replace_all(t, [(w, w + "，") for w in L.COMMA_AFTER])
     t = rewrite(t, [(r"(?U)([。！？])\s*，", r"\1"), ("，，+", "，")])
-    for w in L.QUESTION_PARTICLES:
-        t = F.when(has(t, w + "？"), t).otherwise(F.replace(t, F.lit(w), F.lit(w + "？")))
+    ask = lambda t, w: F.when(F.contains(t, F.concat(w, F.lit("？"))), t).otherwise(F.replace(t, w, F.concat(w, F.lit("？"))))
+    t = F.aggregate(F.array(*map(F.lit, L.QUESTION_PARTICLES)), t, ask)
     t = rewrite(t, [(f"{w}(?=[{CJK}])", w + "。") for w in L.STOP_PARTICLES])
-    t = rewrite(t, [("([。！？])+", r"\1")])
-    t = F.when((t != "") & ~t.rlike("[。！？]$"), F.concat(t, F.lit("。"))).otherwise(t)
+    t = rewrite(t, [("([。！？])+", r"\1"), (r"(?s)([^。！？])\z", r"\1。")])
     return strip(rewrite(t, [(r"([。！？])([^\n])", "\\1\n\\2")]))
 
 

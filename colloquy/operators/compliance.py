@@ -63,7 +63,7 @@ def risk_rows(text: Column, segments: Column, rules: Sequence[tuple[str, str, st
             own = F.filter(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), lambda m: ~negated(s["text"], m))
             return F.transform(own, lambda m: marker(m, s["start_time"], s["end_time"], s["text"]))
 
-        each = F.flatten(F.transform(segments, in_segment))
+        each = F.flatten(F.transform(segments, lambda s: in_segment(s)))
         alone = F.transform(found, lambda m: marker(m, F.lit(0.0), F.lit(0.0), F.substring(text, 1, 50)))
         out.append(F.when(none, alone).otherwise(F.flatten(F.transform(found, lambda m: each))).cast(MARKER))
     return F.flatten(F.array(*out)) if out else F.array().cast(MARKER)

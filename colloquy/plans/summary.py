@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import tagged
+from ..functions.tokens import default_lexicon, segment, tagged
 from ..functions.tokens import tokens as zh_tokens
 from ..operators.keywords import keyword_topics, keywords_zh
 from ..operators.sentences import key_sentences, sentences, suppress_repeats
@@ -88,10 +89,6 @@ def _tokens_one(c: Column) -> Column:
 
 def _tokens_of(items: Column) -> Column:
     """Tokens of each of an array of texts, split in Python once for the row."""
-    import pandas as pd
-
-    from ..functions.tokens import default_lexicon, segment
-
     known = frozenset(default_lexicon())
     longest = max(map(len, known))
 
@@ -105,7 +102,7 @@ def _tokens_of(items: Column) -> Column:
 def core_points(texts: DataFrame, key: str, keywords: Callable[[], Column] | Column, most: int = 3) -> DataFrame:
     """(key, points): the sentences that say most, narrated, without near repeats. texts has an array `sentences`."""
     words = keywords() if callable(keywords) else keywords
-    told = F.transform("sentences", T.narrated)
+    told = F.transform("sentences", lambda s: T.narrated(s))
     first = suppress_repeats(F.filter(told, lambda s: F.length(s) >= 15), lambda x, y: F.substring(x, 1, 20) == F.substring(y, 1, 20), 1 << 20)
     good = F.filter(first, lambda s: T.makes_a_point(s, words))
     scored = F.filter(F.transform(good, lambda s, i: F.struct((-T.point_score(s, words)).alias("o"), i.alias("i"), s.alias("s"))), lambda x: x["o"] < 0)
