@@ -106,7 +106,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iter
     """For each text the sorted distinct hashes of its runs of `size` words; a shorter text has one run, of all its words."""
     n = len(hashes)
     runs = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
+    for k in range(size if n >= size else 0):
         runs += hashes[k : n - size + 1 + k] * _ORDER[k % 5] * np.uint64(2 * (k // 5) + 1)
     runs = mix(runs, 5)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
