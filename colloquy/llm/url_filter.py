@@ -45,7 +45,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     tag = F.regexp_extract(html, r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical\b[^>]*>""", 0)
     canonical = F.regexp_extract(tag, r"""(?is)href\s*=\s*["']?([^"'\s>]+)""", 1)
     meta = F.regexp_extract(html, r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)url\s*=\s*["']?([^"'\s>;]+)""", 1)
+    refresh = F.regexp_extract(meta, r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1)
     origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     both = pages.where("url is not null and html is not null").select(F.col("url").alias("source"), origin.alias("origin"), F.explode(F.array(canonical, refresh)).alias("target"))
     target = F.when(F.col("target").startswith("/") & ~F.col("target").startswith("//"), F.concat("origin", "target")).otherwise(F.col("target"))
@@ -93,7 +93,7 @@ WITH RECURSIVE rules(verdict, h, p) AS (
 tags AS (
   SELECT url AS source, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin,
     unnest([regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1),
-            regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS target
+            regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 links AS (
   SELECT DISTINCT source, replace(CASE WHEN starts_with(target, '/') AND NOT starts_with(target, '//') THEN origin || target ELSE target END, '&amp;', '&') AS target
