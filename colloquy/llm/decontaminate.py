@@ -210,9 +210,18 @@ def _verify(index: list[Index], items: list[np.ndarray], words: np.ndarray, offs
             done[t, i] = hi
             part = words[offsets[t] + lo : offsets[t] + hi].tolist()
             edits, end = edit_distance_within(items[i].tolist(), part)
-            if edits <= k and (t, i) not in best or (t, i) in best and edits < best[t, i][0]:
-                length = edit_distance_within(items[i].tolist()[::-1], part[:end][::-1])[1]
-                best[t, i] = (edits, lo + end - length, lo + end)
+            if edits > k or (t, i) in best and edits >= best[t, i][0]:
+                continue
+            while True:  # the place may have been met at its edge: look around it until that gains nothing
+                a = lo + end - edit_distance_within(items[i].tolist()[::-1], part[:end][::-1])[1]
+                b = lo + end
+                lo, hi = max(0, a - 2 * k - 1), min(int(n[t]), b + 2 * k + 1)
+                part = words[offsets[t] + lo : offsets[t] + hi].tolist()
+                again, end = edit_distance_within(items[i].tolist(), part)
+                if again >= edits:
+                    break
+                edits = again
+            best[t, i] = (edits, a, b)
         for (t, i), (edits, a, b) in best.items():
             yield t, i, edits, a, b
 
