@@ -75,15 +75,23 @@ def keyword_topics(text: Column, topics: Sequence[str] | None = None, words: Map
     A word that a topic lists twice counts twice. Nothing is shuffled: it is one expression for each text.
     """
     words = L.TOPICS if words is None else words
-    made = []
+    counted = []
     for k, topic in enumerate(topics or list(words)):
         own = words.get(topic, [])
-        found = sum((has(text, w).cast("long") for w in own), F.lit(0).cast("long"))
-        total = sum((count_of(text, w) for w in own), F.lit(0).cast("long"))
-        density = F.least(total / F.greatest(F.length(text) / 100, F.lit(1.0)), F.lit(1.0))
-        score = found / max(len(own), 1) * 0.6 + density * 0.4
-        made.append(F.struct((-score).alias("order"), F.lit(k).alias("place"), F.lit(topic).alias("topic"), F.bround(score, 4).alias("score"), found.alias("keyword_hits"), total.alias("total_hits")))
-    best = F.slice(F.array_sort(F.array(*made)), 1, n)
+        counts = F.array(*(count_of(text, w) for w in own)) if own else F.array().cast("array<bigint>")
+        counted.append(F.struct(F.lit(k).alias("place"), F.lit(topic).alias("topic"), F.lit(max(len(own), 1)).alias("n"), counts.alias("counts")))
+
+    def summed(t: Column) -> Column:
+        found = F.size(F.filter(t["counts"], lambda c: c > 0)).cast("long")
+        total = F.aggregate(t["counts"], F.lit(0).cast("long"), lambda s, c: s + c)
+        return F.struct(t["place"].alias("place"), t["topic"].alias("topic"), t["n"].alias("n"), found.alias("found"), total.alias("total"))
+
+    def scored(t: Column) -> Column:
+        density = F.least(t["total"] / F.greatest(F.length(text) / 100, F.lit(1.0)), F.lit(1.0))
+        score = t["found"] / t["n"] * 0.6 + density * 0.4
+        return F.struct((-score).alias("order"), t["place"].alias("place"), t["topic"].alias("topic"), F.bround(score, 4).alias("score"), t["found"].alias("keyword_hits"), t["total"].alias("total_hits"))
+
+    best = F.slice(F.array_sort(F.transform(F.transform(F.array(*counted), summed), scored)), 1, n)
     return F.transform(best, lambda t: F.struct(t["topic"].alias("topic"), t["score"].alias("score"), t["keyword_hits"].alias("keyword_hits"), t["total_hits"].alias("total_hits")))
 
 
