@@ -13,8 +13,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import plus, table
 from .url_filter import host_of
@@ -309,69 +311,119 @@ def _outermost(root: Node) -> Iterator[Node]:
             stack.extend(reversed(node.children))
 
 
+def texts_of(pages: list[str], templated: bool) -> list[str]:
+    """The main text of each page of a block, in any order of them; the template is taken off if `templated`.
+
+    Pages of which nothing but what is left out anyway differs are copies: one of them takes part, for all.
+    """
+    trees = {source: parse(source) for source in sorted(set(pages))}
+    plain = {source: main_text(tree) for source, tree in trees.items()}
+    if not templated:
+        return [plain[source] for source in pages]
+    first: dict[str, Node] = {}
+    for source, tree in trees.items():
+        first.setdefault(plain[source], tree)
+    induce(list(first.values()))
+    text = {whole: main_text(tree) for whole, tree in first.items()}
+    return [text[plain[source]] for source in pages]
+
+
 BLOCK_PAGES = 48
-#: Hosts of more than one block that are broadcast at most; beyond, pages are joined with them by a shuffle.
+#: Pages with more equal rows on their host than this are read once, and their text is joined to those rows.
+MOST_COPIES = 16
+#: Rows of one such page that meet in one task of that join, about.
+COPIES_AT_ONCE = 4096
+#: Hosts of more than one block, and pages with many copies, that are broadcast at most; beyond, pages are joined with them by a shuffle.
 MOST_BROADCAST = 50_000
 EXTRACTED = "text string, n_chars long"
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """pages (with url and html) plus text and n_chars, replacing columns of these names; others pass through.
 
-    A null html is an empty page with empty text. Pages are grouped by host; a host with many pages is dealt into
-    blocks of about BLOCK_PAGES by a hash, so a hot host is as many tasks' work as it has blocks, and each block
-    induces its wrapper from its own pages. Pages without a host (a null url, or one without ://) and hosts with
-    fewer than SUPPORT pages have no template taken off. Malformed markup is read as browsers would, nearly.
-    Repeated rows are pages of their own. Memory is one block's trees.
+    A null html is an empty page with empty text. Pages are grouped by host; a host with many different pages is
+    dealt into blocks of about BLOCK_PAGES by a hash of html, so a hot host is as many tasks' work as it has blocks,
+    and each block induces its wrapper from its own pages. Pages without a host (a null url, or one without ://) and
+    blocks with fewer than SUPPORT different pages have no template taken off. Malformed markup is read as browsers
+    would, nearly. Rows with equal html on one host are one page in this: it counts once towards the template, and
+    they all get its text; where they are many they don't meet in one task. Such pages are told apart by 64-bit
+    hashes within their host. Memory is one block's trees and rows.
     """
     keep = pages.drop("text", "n_chars")
     schema = plus(keep, EXTRACTED)
-    at = keep.withColumn("_host", host_of(F.col("url")))
-    sizes = at.groupBy("_host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("_blocks")).where("_blocks > 1")
-    large = table(sizes.withColumnRenamed("_host", "_h"), "hosts")
-    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    dealt = at.join(F.broadcast(large) if few else large, F.col("_host") == F.col("_h"), "left")
-    dealt = dealt.withColumn("_block", F.xxhash64("_host", F.pmod(F.xxhash64("url", "html"), F.coalesce("_blocks", F.lit(1)))))
-    dealt = dealt.select(*keep.columns, "_host", "_block").repartition("_block").sortWithinPartitions("_block")
-
-    def block_of(rows: list[tuple[bool, str | None]]) -> list[str]:
-        trees = [parse(h or "") for _, h in rows]
-        if rows[0][0]:
-            induce(trees)
-        return [main_text(t) for t in trees]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            blocks, hosts, htmls = (t.column(c).to_pylist() for c in ("_block", "_host", "html"))
-            texts: list[str] = []
-            start = 0
-            for i in range(1, len(blocks) + 1):
-                if i == len(blocks) or blocks[i] != blocks[start]:
-                    texts += block_of([(bool(h), x) for h, x in zip(hosts[start:i], htmls[start:i])])
-                    start = i
-            own = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.drop_columns(["_host", "_block"]).columns]
-            own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
-            return pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
-
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                block = batch.column(batch.schema.get_field_index("_block")).to_numpy()
-                cut = int((block == block[-1]).argmax())  # the last block may go on
-                if cut:
-                    held.append(batch.slice(0, cut))
-                    yield flush()
-                elif held and held[-1].column(batch.schema.get_field_index("_block"))[-1].as_py() != block[0]:
-                    yield flush()
-                held.append(batch.slice(cut))
-        if held:
-            yield flush()
-
-    return dealt.mapInArrow(run, schema)
+    at = keep.withColumn("_host", host_of(F.col("url"))).withColumn("_page", F.xxhash64(F.coalesce("html", F.lit(""))))
+    counted = table(at.groupBy("_host", "_page").agg(F.count("*").alias("_rows")), "pages")
+    large = table(counted.groupBy("_host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("_blocks")).where("_blocks > 1"), "hosts")
+    hosts = _bounded(large)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        found = rows.join(hosts, "_host", "left")
+        return found.withColumn("_block", F.xxhash64("_host", F.pmod("_page", F.coalesce("_blocks", F.lit(1))))).select(*rows.columns, "_block")
+
+    def read(rows: DataFrame, out: StructType, leads: bool) -> DataFrame:
+        rows = rows.repartition("_block").sortWithinPartitions("_block")
+        return rows.mapInArrow(lambda batches: _read(batches, out.names, leads), out)
+
+    often = table(counted.where(F.col("_rows") > MOST_COPIES), "copied")
+    if often.isEmpty():
+        rows = dealt(at).select(*keep.columns, "_host", "_page", "_block", F.lit(False).alias("_lead"))
+        return read(rows, schema, False)
+    named = _bounded(often.drop("_rows"))
+    # one row of each page with many copies takes part in its block
+    copied = at.join(named, ["_host", "_page"], "left_semi")
+    leads = table(dealt(copied.select("_host", "_page", "html").dropDuplicates(["_host", "_page"])), "leads")
+    rare = dealt(at.join(named, ["_host", "_page"], "left_anti"))
+    own = [F.col("html") if c == "html" else F.lit(None).cast(keep.schema[c].dataType).alias(c) for c in keep.columns]
+    ends = ["_host", "_page", "_block"]
+    rows = rare.select(*keep.columns, *ends, F.lit(False).alias("_lead")).unionByName(leads.select(*own, *ends, F.lit(True).alias("_lead")))
+    # their texts come from the blocks that they are in
+    beside = rare.select("html", *ends).join(_bounded(table(leads.select("_block").distinct(), "blocks")), "_block", "left_semi")
+    voters = beside.select("html", *ends, F.lit(False).alias("_lead")).unionByName(leads.select("html", *ends, F.lit(True).alias("_lead")))
+    texts = table(read(voters, StructType.fromDDL("_host string, _page long, " + EXTRACTED), True), "texts")
+    shares = often.withColumn("_shares", F.ceil(F.col("_rows") / COPIES_AT_ONCE)).drop("_rows")
+    texts = texts.join(_bounded(shares), ["_host", "_page"]).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
+    numbered = at.withColumn("_row", F.monotonically_increasing_id())
+    copied = numbered.join(_bounded(shares), ["_host", "_page"]).withColumn("_share", F.pmod("_row", "_shares")).drop("_shares", "_row")
+    copies = copied.join(texts.drop("_shares"), ["_host", "_page", "_share"]).select(*keep.columns, "text", "n_chars")
+    return read(rows, schema, False).unionByName(copies)
+
+
+def _read(batches: Iterator[pa.RecordBatch], names: list[str], leads: bool) -> Iterator[pa.RecordBatch]:
+    """The named columns of rows sorted by _block, with texts; of rows with _lead if `leads`, else of the others."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        blocks, hosts, htmls = (t.column(c).to_pylist() for c in ("_block", "_host", "html"))
+        texts: list[str] = []
+        start = 0
+        for i in range(1, len(blocks) + 1):
+            if i == len(blocks) or blocks[i] != blocks[start]:
+                texts += texts_of([x or "" for x in htmls[start:i]], bool(hosts[start]))
+                start = i
+        made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
+        out = pa.table([made[c] if c in made else t.column(c) for c in names], names=names)
+        out = out.filter(t.column("_lead") if leads else pc.invert(t.column("_lead"))).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names=names)
+
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            batch = whole.slice(i, 256)
+            block = batch.column(batch.schema.get_field_index("_block")).to_numpy()
+            cut = int((block == block[-1]).argmax())  # the last block may go on
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield flush()
+            elif held and held[-1].column(batch.schema.get_field_index("_block"))[-1].as_py() != block[0]:
+                yield flush()
+            held.append(batch.slice(cut))
+    if held:
+        yield flush()
 
 
 def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,19 @@ def test_few_pages_lose_nothing():
     assert {ht.main_text(p) for p in pages} == {"same"}
 
 
+def test_copies_are_no_template(spark):
+    other = [f"<div><p>Welcome</p><p>story {i * 7919}</p></div>" for i in range(100)]
+    rows = [(i, f"http://hot.de/{i}", h) for i, h in enumerate(other)]
+    rows += [(1000 + i, f"http://hot.de/{'same' if i % 2 else i}", "<div><p>Welcome</p><p>often told</p></div>") for i in range(300)]
+    rows += [(2000 + i, "http://cold.de/", "<p>seldom told</p>") for i in range(ht.SUPPORT + 1)]
+    rows += [(3000 + i, f"http://stamped.de/{i}", f"<!-- made at {i} --><p>one text</p><footer>{i}</footer>") for i in range(20)]
+    out = {r["page_id"]: r["text"] for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == f"story {i * 7919}" for i in range(100))
+    assert {out[1000 + i] for i in range(300)} == {"often told"}
+    assert {out[2000 + i] for i in range(ht.SUPPORT + 1)} == {"seldom told"} and {out[3000 + i] for i in range(20)} == {"one text"}
+
+
 def test_columns(spark):
     rows = [(i, f"http://hot.de/{i}", f"<article><p>story {i * 7919}</p></article>", 5) for i in range(150)]
     rows += [(1000, None, "<p>a</p>", 0), (1001, "no scheme", None, 0), (None, "http://b.de", "<p>c  d</p>", 0), (None, "http://b.de", "<p>c  d</p>", 0)]
