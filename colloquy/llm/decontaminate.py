@@ -23,8 +23,11 @@ from .words import mix, word_hashes
 EDITS = 0.15
 SAMPLED = 5
 RECALL = 0.99
-MOST_WALKS = 16
+LEAST_WALKS, MOST_WALKS = 4, 24
+TRIALS = 2000
 WIDEST = 16
+#: Longer items are tried by so many of their words: they are found more easily.
+LONG = 128
 #: Items with fewer words are phrases, no passages: nothing is looked for.
 LEAST_WORDS = 5
 #: Items whose index is broadcast at a time. Each word of an item has at most MOST_WALKS entries of 16 bytes.
@@ -34,10 +37,11 @@ ITEMS_AT_ONCE = 4096
 def window_of(words: int) -> tuple[int, int]:
     """(window, stride) for items of so many words: each occurrence holds whole windows that begin at every stride.
 
-    A window has at least a third of the item's words as long as that is at most WIDEST; wider ones would hardly
-    ever be free of edits.
+    A window has at least a quarter of the item's words as long as that is at most WIDEST; wider ones would hardly
+    ever be free of edits, and need many walks: WIDEST is for items of two such windows and more.
     """
-    window = min(WIDEST, 1 << (max(1, (2 * words + 2) // 3).bit_length() - 1))
+    most = WIDEST if words >= 2 * WIDEST else WIDEST // 2
+    window = min(most, 1 << (max(1, (2 * words + 2) // 3).bit_length() - 1))
     return window, max(1, window // 2)
 
 
@@ -132,52 +136,82 @@ class Index:
 TABLE_BITS = 21
 
 
-def walks_needed(items: list[np.ndarray], window: int, recall: float = RECALL) -> int:
-    """Walks with which so many of the given items, at the most edits that count, agree in some window; by trial.
+def found_after(items: list[np.ndarray], trials: int, walks: int, enough: float = 1.0, seed: int = 7) -> list[float]:
+    """The shares of trials that have agreed in some window after 1, 2, ... walks, jointly; ends where `enough` have.
 
-    Each item (200 at most are tried) is edited at random places by substitutions, deletions and insertions; the
-    share that one walk finds gives the number of independent walks. This sets how much work is done, not what counts.
+    The items, of one length, take turns. Each is edited at random places by as many substitutions, deletions and
+    insertions as count, and stands between random words, at most a stride of them before it and a window after.
     """
-    dice = np.random.default_rng(7)
-    tried = items[:: max(1, len(items) // 200)]
-    stride = window_of(len(tried[0]))[1]
-    trials = 4
-    found = 0
-    for item in tried:
-        text = item.tolist()
-        for _ in range(edits_of(len(item))):
-            at = int(dice.integers(len(text)))
-            kind = int(dice.integers(3))
-            new = int(dice.integers(1 << 62))
-            text = text[:at] + ([new] if kind == 0 else [] if kind == 1 else [new, text[at]]) + text[at + 1 :]
-        lead = int(dice.integers(stride))
-        padded = np.array([*dice.integers(1 << 62, size=lead).tolist(), *text, *dice.integers(1 << 62, size=window).tolist()], np.uint64)
-        starts = np.arange(0, max(1, len(padded) - window + 1), stride, dtype=np.int64)
-        own = np.arange(0, len(item) - window + 1, dtype=np.int64)
-        for walk in range(trials):
-            a = embed(padded, starts, np.full(len(starts), len(padded)), window, walk)
-            b = embed(item, own, np.full(len(own), len(item)), window, walk)
-            found += len(np.intersect1d(a, b)) > 0
-    p = min(0.999, max(0.05, found / (trials * len(tried))))
-    return max(2, min(MOST_WALKS, math.ceil(math.log(1 - recall) / math.log(1 - p))))
+    dice = np.random.default_rng(seed)
+    size = len(items[0])
+    window, stride = window_of(size)
+    edits = edits_of(size)
+    spots, kinds, news = dice.random((trials, edits)).tolist(), dice.integers(3, size=(trials, edits)).tolist(), dice.integers(1 << 62, size=(trials, edits)).tolist()
+    texts, lengths = [], []
+    for t in range(trials):
+        text = items[t % len(items)].tolist()
+        for spot, kind, new in zip(spots[t], kinds[t], news[t]):
+            at = int(spot * len(text))
+            text[at : at + 1] = [[new], [], [new, text[at]]][kind]
+        text = [*dice.integers(1 << 62, size=dice.integers(stride)).tolist(), *text, *dice.integers(1 << 62, size=dice.integers(window + 1)).tolist()]
+        texts += text
+        lengths.append(len(text))
+
+    def windows(n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(trial, start, end of the text) of all windows of texts with n words, one text after the other."""
+        count = np.maximum(0, -(-(n - window + 1) // step))
+        trial = np.repeat(np.arange(len(n)), count)
+        nth = np.arange(len(trial)) - np.repeat(np.cumsum(count) - count, count)
+        return trial, (np.cumsum(n) - n)[trial] + nth * step, np.cumsum(n)[trial]
+
+    words, own = np.array(texts, np.uint64), np.concatenate([items[t % len(items)] for t in range(trials)])
+    sides = [(words, *windows(np.array(lengths), stride)), (own, *windows(np.full(trials, size), 1))]
+    open_ = np.ones(trials, bool)
+    shares: list[float] = []
+    for walk in range(walks):
+        keys, trial = [], []
+        for w, t, start, end in sides:
+            left = open_[t]
+            trial.append(t[left])
+            keys.append(mix(embed(w, start[left], end[left], window, walk) ^ mix(t[left].astype(np.uint64))))
+        open_[trial[0][np.isin(keys[0], keys[1])]] = False
+        shares.append(1 - float(open_.mean()))
+        if shares[-1] >= enough:
+            break
+    return shares
+
+
+def walks_needed(items: list[np.ndarray], recall: float = RECALL) -> int:
+    """Walks with which so many of the given items, all of one length and at the most edits that count, are found; by trial.
+
+    Walks over one text are not independent, so it is their joint recall that is measured, and two standard errors
+    are asked beyond it. This sets how much work is done, not what counts.
+    """
+    beyond = recall + 2 * math.sqrt(recall * (1 - recall) / TRIALS)
+    return max(LEAST_WALKS, len(found_after(items, TRIALS, MOST_WALKS, beyond)))
 
 
 def build(items: list[tuple[int, np.ndarray]]) -> list[Index]:
-    """Indexes by window size; entries are all windows of every item, at each offset."""
+    """Indexes by window size; entries are all windows of every item, at each offset, over the walks that its length needs."""
+    lengths: dict[int, list[np.ndarray]] = {}
+    for _, words in items:
+        if len(words) >= LEAST_WORDS:
+            lengths.setdefault(min(len(words), LONG), []).append(words[:LONG])
+    needed = {n: walks_needed(of) for n, of in lengths.items()}
     classes: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k, words in items:
         if len(words) >= LEAST_WORDS:
             classes.setdefault(window_of(len(words))[0], []).append((k, words))
     out = []
     for window, members in sorted(classes.items()):
-        walks = walks_needed([w for _, w in members], window)
         keys, owner, offsets = [], [], []
         for k, words in members:
             own = np.arange(0, len(words) - window + 1, dtype=np.int64)
-            for walk in range(walks):
+            for walk in range(needed[min(len(words), LONG)]):
                 keys.append(embed(words, own, np.full(len(own), len(words)), window, walk))
                 owner.append(np.full(len(own), k))
                 offsets.append(own)
+        walks = max(needed[min(len(words), LONG)] for _, words in members)
         flat = np.concatenate(keys)
         order = np.argsort(flat)
         table = np.zeros(1 << TABLE_BITS, bool)
@@ -233,7 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the text's words (lower case, signs aside) is within 15 edits for each 100 of the item's words, rounded down;
     the first stretch with the fewest is told. Null and empty texts hold nothing; items with fewer than five words,
     null or without an id are not looked for; equal items are each told; repeated rows of docs repeat their rows.
-    The index misses about 1 in 40 stretches that have all the edits that count, and none without edits.
+    The index misses at most about 1 in 100 stretches of any length that have all the edits that count, and none without edits.
 
     Items are collected in blocks of ITEMS_AT_ONCE, each indexed and broadcast by itself, so that what is sent is
     bounded; documents are never shuffled.

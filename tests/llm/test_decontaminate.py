@@ -86,3 +86,25 @@ def test_embedding_does_not_depend_on_the_batch():
             whole = dc.embed(hashes, starts, np.full(4, 12), window, walk)
             alone = dc.embed(hashes[:12], starts, np.full(4, 12), window, walk)
             assert np.array_equal(whole, alone)
+
+
+def test_short_items_among_long_ones_are_found():
+    dice = np.random.default_rng(4)
+    sizes = [23, 24, 27] * 6 + [59, 120, 200] * 60
+    items = [dice.integers(1 << 62, size=n).astype(np.uint64) for n in sizes]
+    indexes = {ix.window: ix for ix in dc.build(list(enumerate(items)))}
+    for n in (23, 24, 27):
+        index = indexes[dc.window_of(n)[0]]
+        found = trials = 0
+        for k in [k for k, size in enumerate(sizes) if size == n]:
+            for _ in range(50):
+                text = [*dice.integers(1 << 62, size=int(dice.integers(8))).tolist(), *items[k].tolist(), *dice.integers(1 << 62, size=20).tolist()]
+                lead = len(text) - n - 20
+                for e in range(dc.edits_of(n)):
+                    at, new = lead + int(dice.integers(n - e)), int(dice.integers(1 << 62))
+                    text[at : at + 1] = [[new], [], [new, text[at]]][int(dice.integers(3))]
+                words = np.array(text, np.uint64)
+                _, entry = index.hits(words, np.array([0, len(words)]))
+                found += bool((index.items[entry] == k).any())
+                trials += 1
+        assert found >= 0.97 * trials
