@@ -81,20 +81,22 @@ def learn(docs: DataFrame, sample_docs: int = 192, dictionary_bytes: int = 112 <
     """Dictionaries from a bounded sample: per language about `sample_docs` distinct texts of `training_rows`, each
     of at most `most_bytes` bytes, until they fill `dictionary_bytes`.
 
-    The languages are all values of lang among those rows; their counts come from all rows. Rows join the sample
-    by a hash of their text, so that its expected size is the same for any number of rows, and copies count once.
-    A language with only longer texts gets the beginning of those that its rows have.
+    The languages are all values of lang among those rows; their counts come from all rows. Of longer texts the
+    beginning counts, for all that follows. Rows join the sample by a hash of their text, with a chance from the
+    number of different texts that the language has (estimated to some 5%), so that the expected size is the same
+    for any number of rows, however many of them are copies; where there are few texts all are in.
     """
-    rows = docs.where(training_rows(docs)).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(training_rows(docs)).select("lang", F.expr(f"left(text, {most_bytes // 2})").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(17)))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
     share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 6 * sample_docs / n))).otherwise(share)
-    dice = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30))
-    chosen = rows.withColumn("dice", dice).where(F.col("dice") < share * float(1 << 30))
-    chosen = chosen.withColumn("text", F.expr(f"left(text, {most_bytes // 2})")).dropDuplicates(["lang", "text"])
+    for r in found:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 6 * sample_docs / max(1, r["texts"])))).otherwise(share)
+    chosen = rows.select("lang", "text", F.pmod("hash", F.lit(1 << 30)).alias("dice")).where(F.col("dice") < share * float(1 << 30))
+    chosen = chosen.dropDuplicates(["lang", "text"])
     chosen = chosen.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(dice, text))), 1, {sample_docs})").alias("rows"))
     found = {}
     for row in sorted(chosen.collect(), key=lambda r: (-counts[r["lang"]], r["lang"])):

@@ -28,6 +28,16 @@ def test_edges(spark):
     assert lang.identify(spark.createDataFrame([], "doc_id long, text string"), d).count() == 0
 
 
+def test_copies_do_not_starve_a_language(spark):
+    rows = spark.range(0, 60000, 1, 4).selectExpr("id as doc_id", "concat('vier und zwanzig ', id % 7, ' hunde ', repeat(char(97 + id % 7), 9)) as text", "'de' as lang")
+    rows = rows.unionByName(spark.range(3000).selectExpr("id as doc_id", "concat('the man and the dog ', repeat('x ', 5000), id) as text", "'en' as lang"))
+    rows = rows.unionByName(spark.range(3).selectExpr("id as doc_id", "concat('another text ', id) as text", "'en' as lang").where("id <> 2"))
+    found = lang.learn(rows, sample_docs=20)
+    assert set(found) == {"de", "en"}
+    assert all(letter * 9 in found["de"].decode() for letter in "abcdefg")
+    assert found["en"].count(b"another text") == 2 and found["en"].count(b"the man") == 1
+
+
 def test_nothing_to_learn(spark):
     assert lang.learn(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
