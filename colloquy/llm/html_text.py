@@ -40,7 +40,11 @@ SKIPPED_CLASSES = frozenset(
     "comment comments disqus respond sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead related share sharing social widget toolbar pagination pager skip".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Those of them that mark another kind of text; the others may also stand in the class of a wrapper of the article ("has-sidebar").
+OTHER_TEXTS = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion newsletter subscribe comment comments disqus respond related share sharing social".split()
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -49,31 +53,53 @@ class Node:
 
     __slots__ = ("tag", "skip", "children", "text", "shape", "fixed")
 
-    def __init__(self, tag: str, skip: bool = False, text: str = ""):
+    def __init__(self, tag: str, skip: int = 0, text: str = ""):
         self.tag, self.skip, self.text = tag, skip, text
         self.children: list[Node] = []
         self.shape: int = -1
         self.fixed = False
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+#: Why an element is left out (`skip`): for good, or by a word of its class or id unless it holds an article.
+KEPT, LEFT_OUT, BY_CLASS, OTHER_TEXT = range(4)
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Values by exact name in lower case; the first of a name counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if value[:1] in ("'", '"'):
+            value = value.strip(value[0])
+        found.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+    return found
+
+
+def _left_out(tag: str, attributes: str, in_article: bool) -> int:
     if tag in SKIPPED:
-        return not (tag == "header" and in_article)  # an article's own header has its title
+        return KEPT if tag == "header" and in_article else LEFT_OUT  # an article's own header has its title
+    skip = KEPT
     if attributes and not attributes.isspace():
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "role":
-                if value.lower() in SKIPPED_ROLES:
-                    return True
-            elif name == "hidden":
-                return True
-            elif name == "aria-hidden":
-                if value.lower() == "true":
-                    return True
-            elif tag not in ("html", "body", "article", "main") or "comment" in value.lower():
-                if any(part.lower() in SKIPPED_CLASSES for part in _NAME_PARTS.split(value)):
-                    return True
-    return False
+        own = _attributes(attributes)
+        if own.get("role", "").strip().lower() in SKIPPED_ROLES or "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+            return LEFT_OUT
+        for value in (own.get("class", ""), own.get("id", "")):
+            if value and (tag not in ("html", "body", "article", "main") or "comment" in value.lower()):
+                words = SKIPPED_CLASSES.intersection(part.lower() for part in _NAME_PARTS.split(value))
+                if words:
+                    skip = max(skip, OTHER_TEXT if words & OTHER_TEXTS else BY_CLASS)
+    return skip
+
+
+def _open_wrappers(articles: list[list[Node]]) -> None:
+    """Keeps what a class left out if it holds an article or main: given are the elements left out around each of these.
+
+    What is marked as another kind of text (related articles, comments) is kept only where no article stands outside such.
+    """
+    seen = [around for around in articles if all(x.skip != LEFT_OUT for x in around)]
+    outside = [around for around in seen if all(x.skip != OTHER_TEXT for x in around)]
+    for around in outside or seen:
+        for x in around:
+            x.skip = KEPT
 
 
 def parse(source: str) -> Node:
@@ -81,6 +107,7 @@ def parse(source: str) -> Node:
     root = Node("html")
     open_ = [root]
     articles = 0
+    around: list[list[Node]] = []
     at = 0
     n = len(source)
     scan = _TOKEN.search
@@ -129,6 +156,8 @@ def parse(source: str) -> Node:
                     break
         node = Node(tag, _left_out(tag, attributes, articles > 0))
         open_[-1].children.append(node)
+        if tag in ("article", "main") and not node.skip:
+            around.append([x for x in open_ if x.skip])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
             if tag == "textarea" or tag == "title":
@@ -137,6 +166,7 @@ def parse(source: str) -> Node:
         elif tag not in VOID and not (attributes or "").rstrip().endswith("/"):
             open_.append(node)
             articles += tag in ("article", "main")
+    _open_wrappers(around)
     return root
 
 

@@ -45,6 +45,25 @@ def test_odd_markup(source, text):
     assert text_of(source) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<article style='overflow:hidden'><p>a</p></article>", "a"),
+        ('<div title="Hidden gems" data-id="ad-7" data-role=banner data-class="menu"><p>a</p></div>', "a"),
+        ('<div title="a hidden class=ad id=menu"><p>a</p></div>', "a"),
+        ('<p data-x="1"hidden>a</p><p HIDDEN="">b</p><p Role = banner>c</p><p class=x class=ad>d</p>', "d"),
+        ('<div class="content has-sidebar"><p>out</p><article><p>in</p></article></div>', "in"),
+        ('<div class="page with-footer"><main><p>in</p><div class="sidebar">side</div></main></div>', "in"),
+        ('<div class="nav-layout"><div id="menu-page"><article>in</article><div class="related"><article>other</article></div></div></div>', "in"),
+        ('<div class="social-story"><article>in</article></div>', "in"),
+        ('<p>text</p><div class="comments"><article class="comment">said</article></div>', "text"),
+        ('<p>text</p><div class="sidebar"><aside><article>other</article></aside></div>', "text"),
+    ],
+)
+def test_what_is_left_out(source, text):
+    assert text_of(source) == text
+
+
 def brute_match(a, b):
     if a.tag != b.tag:
         return 0
