@@ -9,9 +9,11 @@ an article (menus, footers, adverts and so on) are left out however they vary.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -176,8 +178,8 @@ class Matcher:
     Sizes depend on the trees' shapes alone, so they are kept by pairs of shapes, as is the alignment of children.
     """
 
-    #: Children lists of more pairs than this are aligned greedily, in one pass.
-    MOST = 1 << 20
+    #: Children lists of more pairs than this are aligned by rows of arrays; the alignment is the same.
+    SMALL = 1 << 12
 
     def __init__(self):
         self._shapes: dict[tuple, int] = {}
@@ -211,16 +213,9 @@ class Matcher:
             self._pairs[key] = [(i, i) for i in range(len(x))]
             self._sizes[key] = 1 + sum(self.size(c, d) for c, d in zip(x, y))
             return
-        if len(x) * len(y) > self.MOST:
-            pairs, j, total = [], 0, 0
-            for i, c in enumerate(x):
-                for k in range(j, min(len(y), j + 64)):
-                    if c.tag == y[k].tag:
-                        pairs.append((i, k))
-                        total += self.size(c, y[k])
-                        j = k + 1
-                        break
-            self._pairs[key], self._sizes[key] = pairs, 1 + total
+        if len(x) * len(y) > self.SMALL:
+            self._pairs[key], total = self._align_long(x, y)
+            self._sizes[key] = 1 + total
             return
         rows = [[0] * (len(y) + 1)]
         weights = []
@@ -250,6 +245,61 @@ class Matcher:
                 j -= 1
         self._pairs[key], self._sizes[key] = pairs[::-1], 1 + rows[-1][-1]
 
+    def _align_long(self, x: list[Node], y: list[Node]) -> tuple[list[tuple[int, int]], int]:
+        """What _align's table gives for these children, with about sqrt(len(x)) of its rows held at a time.
+
+        A row's best is the running maximum of what the row above and each pair give. Equal shapes at the ends are
+        pairs of that alignment, so they are cut off first.
+        """
+        n, m, total = len(x), len(y), 0
+        pairs: list[tuple[int, int]] = []
+        while n and m and x[n - 1].shape == y[m - 1].shape:
+            n, m = n - 1, m - 1
+            pairs.append((n, m))
+            total += self.size(x[n], y[m])
+        kinds: dict[int, int] = {}
+        kind = np.array([kinds.setdefault(d.shape, len(kinds)) for d in y[:m]], np.int64)
+        samples = {d.shape: d for d in y[:m]}
+        known: dict[int, np.ndarray] = {}
+
+        def weights(i: int, upto: int) -> np.ndarray:
+            c = x[i]
+            if c.shape not in known:
+                known[c.shape] = np.array([self.size(c, samples[k]) for k in kinds], np.int64)
+            return known[c.shape][kind[:upto]]
+
+        def below(above: np.ndarray, i: int) -> np.ndarray:
+            w = weights(i, len(above) - 1)
+            row = above.copy()
+            np.maximum(row[1:], np.where(w > 0, above[:-1] + w, 0), out=row[1:])
+            return np.maximum.accumulate(row)
+
+        step = max(1, math.isqrt(n))
+        starts, row = [], np.zeros(m + 1, np.int64)
+        for i in range(n):
+            if i % step == 0:
+                starts.append(row)
+            row = below(row, i)
+        total += int(row[-1])
+        i, j = n, m
+        while i and j:
+            first = (i - 1) // step * step
+            rows = [starts[first // step][: j + 1]]
+            for k in range(first, i):
+                rows.append(below(rows[-1], k))
+            while i > first and j:
+                above, row = rows[i - first - 1], rows[i - first]
+                c, d = x[i - 1], y[j - 1]
+                w = int(known[c.shape][kinds[d.shape]])
+                if w and row[j] == above[j - 1] + w:
+                    i, j = i - 1, j - 1
+                    pairs.append((i, j))
+                elif row[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return pairs[::-1], total
+
     def texts(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """Pairs of texts that the alignment of the trees a and b puts at one place."""
         stack = [(a, b)]

@@ -90,6 +90,33 @@ def test_matching_is_the_largest():
         assert m.size(a, b) == brute_match(a, b)
 
 
+def test_long_lists_are_aligned_as_short_ones(monkeypatch):
+    dice = random.Random(8)
+
+    def tree(depth, most):
+        node = ht.Node(dice.choice("abc"))
+        node.children = [tree(depth - 1, 3) for _ in range(dice.randint(0, most))] if depth else []
+        return node
+
+    for _ in range(60):
+        a, b = tree(3, 12), tree(3, 12)
+        a.tag = b.tag = "r"
+        found = []
+        for small in (1 << 60, 0):
+            monkeypatch.setattr(ht.Matcher, "SMALL", small, raising=False)
+            m = ht.Matcher()
+            m.shape(a), m.shape(b)
+            found.append((m.size(a, b), m._pairs.get((a.shape, b.shape))))
+        assert found[0] == found[1]
+
+
+def test_template_after_long_lists():
+    pages = [ht.parse("<div>" + "".join(f"<p>story {k} {i}</p>\n" for i in range(n)) + "<p>All rights reserved</p></div>") for k, n in enumerate([1100, 1300, 1101, 1210, 1105, 1250, 1400, 1120])]
+    ht.induce(pages)
+    assert not any("All rights" in ht.main_text(p) for p in pages)
+    assert all(ht.main_text(p).startswith(f"story {k} 0\n") for k, p in enumerate(pages))
+
+
 def test_constant_texts_are_the_templates():
     dice = random.Random(5)
     word = lambda: "".join(dice.choice("abcdefgh") for _ in range(8))
