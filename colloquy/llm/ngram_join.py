@@ -276,6 +276,11 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hash of their set. The comparison misses a linked pair with a chance of about 1 in 10,000 at a similarity of
     exactly 0.8 and far less above; components and the whole-set check of all pairs within them recover most.
     """
+    return _classified(docs, threshold).drop("same", "component")
+
+
+def _classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """What `similar` returns, with each row's hash of its text and its component, which tells classes apart (null without a word)."""
     names = [x.split()[0] for x in SIGNED.replace("array<long>", "array").split(", ")]
     signed = table(docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(lambda it: _sign(it, names), SIGNED), "signed")
     texts = signed.where("h1 is not null").groupBy("h1", "h2", "n", "same").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("rest").alias("rest"))
@@ -304,20 +309,24 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = sets.select("vid", "weight", "first").join(joined, "vid", "left").join(links, "vid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "vid"))
     heads = placed.groupBy("component").agg(F.min("first").alias("class_id"))
-    classes = table(placed.join(heads, "component").select("vid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes")
+    classes = table(placed.join(heads, "component").select("vid", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes")
     same = texts.select(F.xxhash64("h1", "h2", "n").alias("vid"), F.col("same"), F.col("rows").alias("n_same")).join(classes, "vid")
     whole = signed.select("doc_id", F.xxhash64("h1", "h2", "n").alias("vid"), "same", F.col("h1").isNull().alias("_bare"))
     out = whole.join(same, ["vid", "same"], "left")
-    return out.select("doc_id", F.when(F.col("_bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_same", F.lit(1)).alias("n_same"))
+    return out.select("doc_id", F.when(F.col("_bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_same", F.lit(1)).alias("n_same"), "same", "component")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when one document of each class of `similar` is kept: that with the least doc_id.
 
-    Of rows that repeat a doc_id one stays; rows whose doc_id is null all stay, as nothing names them.
+    Where a doc_id repeats with texts of several classes, one of its texts stays in each class that it heads, that of
+    the least hash; of rows with equal doc_id and text one stays. A text without a word is a class of its own with its
+    doc_id. Rows whose doc_id is null all stay, as nothing names them.
     """
-    heads = similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    heads = _classified(docs).where("doc_id = class_id")
+    heads = heads.groupBy("doc_id", F.col("component").isNull(), F.coalesce("component", "same")).agg(F.min("same").alias("_same"))
+    named = docs.withColumn("_same", F.xxhash64("text")).join(heads.select("doc_id", "_same"), ["doc_id", "_same"], "left_semi")
+    named = named.dropDuplicates(["doc_id", "_same"]).select(docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -94,3 +94,11 @@ def test_one_of_each_class_stays(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e, f g"), (2, "x y z"), (2, "x y z"), (None, "a b c d e f g"), (9, None)]
     kept = nj.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 9] and kept.columns == ["doc_id", "text"]
+
+
+def test_repeated_ids_lose_no_class(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, b + " more"), (4, c), (4, None), (4, "?!"), (5, c + " more"), (1, c)]
+    for order in (rows, rows[::-1]):
+        kept = nj.representatives(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (1, c), (2, b), (4, None), (4, "?!")], key=str)
