@@ -39,3 +39,24 @@ def test_long_path_and_hub(spark):
 def test_no_edges(spark):
     check(spark, [(1, 1)])
     check(spark, [])
+
+
+def test_hubs_beyond_the_limit(spark):
+    check(spark, [(7, i) for i in range(100, 4000)] + [(i, 99999) for i in range(3000, 5500)] + [(200000 + i, 200001 + i) for i in range(30)])
+
+
+def test_look_up(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import scratch
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.when(F.col("id") < 2500, 3).otherwise(F.col("id") % 50)).alias("k"), "id")
+    keyed = rows.where("k is not null and k < 40").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    for how in ("left", "inner"):
+        wanted = sorted(map(str, rows.join(keyed, "k", how).collect()))
+        for most in (50_000, 10):
+            before, scratch.MOST_BROADCAST = scratch.MOST_BROADCAST, most
+            try:
+                assert sorted(map(str, scratch.look_up(rows, keyed, "k", "n", how).collect())) == wanted
+            finally:
+                scratch.MOST_BROADCAST = before
