@@ -1,6 +1,10 @@
 """Every query against its SQL, over the smallest tables."""
 
 import decimal
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -49,3 +53,16 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """Both folders deleted, with or without the pipeline's file: the entry imports and has all the other queries."""
+    root = pathlib.Path(__file__).parents[1]
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", "spark-warehouse")
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    said = "import __spark_entry__ as e; q = set(e.queries()); assert not any(x.startswith('op') or x == 'pipeline' for x in q); print(len(q), len(e.oracle_sql()))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "copy", capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
+        assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+        (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
