@@ -11,14 +11,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import look_up, new_path, table
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST = 100
@@ -26,26 +26,40 @@ LEAST = 100
 PROBE = 4096
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, n: int, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. The payload's length and digest are in the header, so a revisit has them without the payload."""
+def record_id(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, archive: str, nth: int) -> bytes:
+    """One WARC/1.1 record: an HTTP response, or what revisits one and has its payload's length and digest in the header.
+
+    A response's id comes from its page_id and digest, so that revisits can name it; other records' ids, and those of
+    pages without an id, come from the archive's name and the record's number there.
+    """
+    revisit = kind == "revisit"
+    own = record_id(page_id, digest) if not revisit and page_id is not None else record_id(archive, nth)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
+    block = http if revisit else http + payload
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + kind.encode(),
-        b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{url}:{digest}:{kind}")).encode() + b">",
+        b"WARC-Record-ID: " + own.encode(),
         b"WARC-Date: 2000-01-01T00:00:00Z",
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
-        b"X-Payload-Length: " + str(n).encode(),
-        b"Content-Type: text/html; charset=utf-8",
+        b"Content-Type: application/http; msgtype=response",
+        b"X-Archive: " + archive.encode(),
+        b"X-Payload-Length: " + str(len(payload)).encode(),
     ]
     if page_id is not None:
         head.append(b"X-Page-Id: " + str(page_id).encode())
     if url is not None:
-        head.append(b"WARC-Target-URI: " + quote(url, safe="/:?#[]@!$&'()*+,;=%~-._").encode())
-    if kind == "revisit":
+        head.append(b"WARC-Target-URI: " + quote(url, safe="/:?#[]@!$&'()*+,;=~-._").encode())
+    if revisit:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(b"WARC-Refers-To: <urn:page:" + str(refers_to).encode() + b">")
-    head.append(b"Content-Length: " + str(len(payload)).encode())
-    return b"\r\n".join(head) + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head.append(b"WARC-Refers-To: " + record_id(refers_to, digest).encode())
+        head.append(b"X-Refers-To-Page: " + str(refers_to).encode())
+    head.append(b"Content-Length: " + str(len(block)).encode())
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(raw: bytes, level: int = 4) -> bytes:
@@ -77,8 +91,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-        size, out = 0, None
+        name = uuid.uuid4().hex
+        path = f"{base}/{name}.warc.gz"
+        size, nth, out = 0, 0, None
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
@@ -86,10 +101,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     out = fs.open_output_stream(path + ".part", compression=None)
                 payload = (r["html"] or "").encode("utf-8", "replace")
                 digest = hashlib.sha256(payload).hexdigest()
-                kept = b"" if r["kind"] == "revisit" else payload
-                raw = member(record(r["kind"], r["page_id"], r["url"], digest, len(payload), kept, r["refers_to"]))
+                raw = member(record(r["kind"], r["page_id"], r["url"], digest, payload, r["refers_to"], name, nth))
                 out.write(raw)
-                size += len(raw)
+                size, nth = size + len(raw), nth + 1
         if out is not None:
             out.close()
             fs.move(path + ".part", path)
@@ -118,8 +132,11 @@ class _Window:
         self.start = position
 
 
-def _inflated(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """(record, position after its member) if a member that holds a valid record starts at `at`."""
+def _inflated(w: _Window, at: int, archive: str) -> tuple[bytes, int] | None:
+    """(record, position after its member) if a member that holds a valid record of this archive starts at `at`.
+
+    A payload may itself be an archive and stand in a stored member as it is; its records name another archive.
+    """
     z, parts, said, position, step = zlib.decompressobj(31), [], None, at, PROBE
     try:
         while not z.eof:
@@ -138,13 +155,13 @@ def _inflated(w: _Window, at: int) -> tuple[bytes, int] | None:
     except zlib.error:
         return None
     raw = b"".join(parts)
-    if said is None or len(raw) != said[1] + int(said[0]["content-length"]) + 4:
+    if said is None or len(raw) != said[1] + int(said[0]["content-length"]) + 4 or said[0].get("x-archive", archive) != archive:
         return None
     return raw, position - len(z.unused_data)
 
 
-def members(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(position, inflated record) of the records of file f that start at start or later and before end."""
+def members(f, size: int, start: int, end: int, archive: str = "") -> Iterator[tuple[int, bytes]]:
+    """(position, inflated record) of the records of file f, an archive of this name, that start at start or later and before end."""
     w, at = _Window(f, start, size), start
     while at < end:
         w.upto(min(end + len(MAGIC) - 1, at + (1 << 20)))
@@ -158,7 +175,7 @@ def members(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         at = w.start + hit
         if at >= end:
             return
-        found = _inflated(w, at)
+        found = _inflated(w, at, archive)
         if found is None:
             at += 1
             continue
@@ -170,30 +187,45 @@ def members(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
 RECORD = "path string, position long, type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
+#: Tasks that read archives at most; each takes several ranges beyond.
+MOST_TASKS = 100_000
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """What a response's block holds after its HTTP header, if it has one."""
+    if fields.get("content-type", "").startswith("application/http"):
+        head, empty, rest = block.partition(b"\r\n\r\n")
+        return rest if empty else b""
+    return block
+
+
 def read_archives(files: DataFrame, span: int = 4 << 20) -> DataFrame:
     """One row for each record of files (path, size), read by ranges of `span` bytes, in any file system of pyarrow.fs.
 
-    The digest and length of a payload that is there are computed from it; a revisit's come from its header.
-    Bytes between records that are no valid member are passed over. Files that hold no record give no row.
+    There are as many tasks as ranges, up to MOST_TASKS. The digest and length of a payload that is there are computed
+    from it; a revisit's come from its header. Bytes between records that are no valid member are passed over. Files
+    that hold no record give no row. Where an archive of another writer holds records of an archive in a stored
+    member, a range that begins within that member takes them for its own; records of this writer name their archive.
     """
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    n = files.agg(F.sum(F.ceil(F.col("size") / span))).first()[0]
+    ranges = ranges.repartition(max(1, min(n or 1, MOST_TASKS)))  # a given number is not made less at run time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 fs, path = pafs.FileSystem.from_uri(r["path"])
+                archive = path.rpartition("/")[2].removesuffix(".warc.gz")
                 rows, held = [], 0
                 with fs.open_input_file(path) as f:
-                    for position, raw in members(f, r["size"], r["start"], min(r["size"], r["start"] + span)):
+                    for position, raw in members(f, r["size"], r["start"], min(r["size"], r["start"] + span), archive):
                         said, begin = parse_header(raw)
-                        payload = raw[begin:-4]
+                        payload = payload_of(said, raw[begin:-4])
                         revisit = said["warc-type"] == "revisit"
                         digest = said.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
                         n = int(said.get("x-payload-length", 0)) if revisit else len(payload)
-                        to = said.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">") if revisit else ""
-                        page = said.get("x-page-id")
-                        rows.append((r["path"], position, said["warc-type"], int(page) if page else None, said.get("warc-target-uri"), digest, n, int(to) if to.lstrip("-").isdigit() else None, payload))
+                        to, page, url = said.get("x-refers-to-page"), said.get("x-page-id"), said.get("warc-target-uri")
+                        rows.append((r["path"], position, said["warc-type"], int(page) if page else None, unquote(url) if url is not None else None, digest, n, int(to) if to else None, payload))
                         held += len(payload)
                         if held > (8 << 20):
                             yield _batch(rows)
@@ -218,14 +250,14 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Among pages whose payloads are equal and at least `least` bytes, those with the smallest page_id are responses
     and the others revisit it; rows that repeat the smallest page_id are responses too, and a null page_id comes
     last. A null html is an empty payload. Payloads are compared by SHA-256; a digest's copies are counted where
-    they are read, and only repeated digests join back, so the many rows of a hot payload meet one row.
+    they are read. Repeated digests are looked up by `look_up`: html is shuffled only where they are many, and a hot
+    digest's rows and those of short pages never gather in one task.
     """
     rows = pages.select("page_id", "url", "html", F.when(F.octet_length("html") >= least, F.sha2("html", 256)).alias("digest"))
-    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
+    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, F.col("digest") == F.col("_d"), "left").select(
-        "page_id", "url", "html", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to")
-    )
+    found = look_up(rows, table(firsts, "firsts"), "digest", "n")
+    return found.select("page_id", "url", "html", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"))
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
