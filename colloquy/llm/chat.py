@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import bounded, table
+
+#: Ids of maximal conversations that are broadcast at most, a long each.
+MOST_KEPT = 500_000
+
 
 def turn_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, k, n, h1, h2): for each conversation the 128-bit hash of its first k turns, for every k up to n.
@@ -52,9 +57,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     turns has conv_id, turn, role and text; other columns are not used. An empty table gives an empty result. A
     conversation's text is one row, so that it must fit in memory; nothing else gathers rows of a conversation.
+    Snapshots go before texts are gathered: where the conversations that stay are few enough to be broadcast their
+    texts never reach the shuffle, else they end at the join with the ids that stay, in the shuffle that gathers.
     """
-    kept = maximal(turns)
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text", F.sha2(F.to_json(F.struct("role", "text")), 256).alias("t"))
+    kept = table(maximal(turns), "maximal")
+    rows = turns.where("conv_id is not null").join(bounded(kept.select("conv_id"), MOST_KEPT), "conv_id", "left_semi")
+    rows = rows.select("conv_id", "turn", "role", "text", F.sha2(F.to_json(F.struct("role", "text")), 256).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "t", "text"))).alias("turns"))
     chat = F.array_join(F.transform("turns", rendered), "")
     return chats.join(kept, "conv_id").select("conv_id", "n_turns", "copies", chat.alias("chat"))

@@ -7,10 +7,10 @@ fewest bytes over all pieces wins. Where the best two are too close for the leng
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from .scratch import plus
 
 PIECE, LEVEL = 2048, 6
-#: Texts below SHORT bytes are compressed REPEATS times over, at another level: else zstandard stores them as they are.
-SHORT, REPEATS, SHORT_LEVEL = 256, 4, 11
+#: Each piece is compressed so many times over, in one go: else zstandard stores a piece of few words as it is, whatever
+#: the dictionary. The later copies cost one match each.
+REPEATS = 4
 _LETTERS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> bytes:
@@ -34,22 +35,24 @@ class Languages:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = list(dictionaries)  # by falling number of training rows; ties go to the first
-        self._coders = {level: [self._coder(d, level) for d in dictionaries.values()] for level in (LEVEL, SHORT_LEVEL)}
+        self._coders = [self._coder(d) for d in dictionaries.values()]
 
     @staticmethod
-    def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _coder(content: bytes) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        d.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[int]:
         """Compressed bytes of the whole text with each language's dictionary."""
         raw = plain(text)
-        if len(raw) < SHORT:
-            return [len(c.compress(raw * REPEATS)) for c in self._coders[SHORT_LEVEL]]
         step = -(-len(raw) // -(-len(raw) // PIECE))
-        pieces = [raw[i : i + step] for i in range(0, len(raw), step)]
-        return [sum(map(len, map(c.compress, pieces))) for c in self._coders[LEVEL]]
+        found = [0] * len(self._coders)
+        for i in range(0, len(raw), step):
+            piece = raw[i : i + step] * REPEATS
+            for k, c in enumerate(self._coders):
+                found[k] += len(c.compress(piece))
+        return found
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """(language, score, rejected). `und` with score 0, rejected, if text is null or has no letter.
@@ -77,21 +80,30 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = 192, dictionary_bytes: int = 112 << 10, most_bytes: int = 6 << 10) -> dict[str, bytes]:
-    """Dictionaries from a bounded sample: per language about `sample_docs` distinct texts of `training_rows`, each
-    of at most `most_bytes` bytes, until they fill `dictionary_bytes`.
+#: Bytes of all dictionaries together, which go to every worker, and the least that a language is learned from.
+MOST_BYTES, LEAST_BYTES = 64 << 20, 16 << 10
 
-    The languages are all values of lang among those rows; their counts come from all rows. Of longer texts the
-    beginning counts, for all that follows. Rows join the sample by a hash of their text, with a chance from the
-    number of different texts that the language has (estimated to some 5%), so that the expected size is the same
-    for any number of rows, however many of them are copies; where there are few texts all are in.
+
+def learn(docs: DataFrame, sample_docs: int = 192, dictionary_bytes: int = 112 << 10, excerpt: int = 3 << 10) -> dict[str, bytes]:
+    """Dictionaries from a bounded sample: per language about `sample_docs` different texts of `training_rows`, until
+    they fill `dictionary_bytes` (less where so many languages would make more than MOST_BYTES together).
+
+    The languages are all values of lang among those rows; their counts come from all rows; more than MOST_BYTES /
+    LEAST_BYTES = 4,096 are an error. Of a text with more characters than `excerpt` a stretch of that length counts,
+    at a place that a hash of the text deals. Rows join the sample by a hash of that stretch, with a chance from the
+    number of different ones that the language has (estimated to some 5%), so that the expected size is the same for
+    any number of rows, however many of them are copies; where there are few all are in. Equal rows give equal dictionaries.
     """
-    rows = docs.where(training_rows(docs)).select("lang", F.expr(f"left(text, {most_bytes // 2})").alias("text"))
+    place = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.char_length("text") - excerpt + 1, F.lit(1)))
+    rows = docs.where(training_rows(docs)).select("lang", F.substr("text", (place + 1).cast("int"), F.lit(excerpt)).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text", F.lit(17)))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).limit(MOST_BYTES // LEAST_BYTES + 1).collect()
+    if len(found) > MOST_BYTES // LEAST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES // LEAST_BYTES} values of lang: this is no column of languages")
     counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
+    dictionary_bytes = min(dictionary_bytes, MOST_BYTES // len(counts))
     share = F.lit(None).cast("double")
     for r in found:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 6 * sample_docs / max(1, r["texts"])))).otherwise(share)
@@ -115,13 +127,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     """docs (with a column text) plus lang_pred, score and rejected, replacing columns of these names.
 
     Null and empty texts and those without a letter get `und`; equal texts get equal predictions; other columns
-    pass through. Only the text decides.
+    pass through. Only the text decides. The dictionaries are broadcast once; `learn` bounds their size.
     """
     keep = docs.drop("lang_pred", "score", "rejected")
     schema = plus(keep, "lang_pred string, score double, rejected boolean")
 
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = Languages(dictionaries)
+        languages = Languages(sent.value)
         for batch in batches:
             said = [languages.predict(t, margin) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             columns = [*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.bool_())]

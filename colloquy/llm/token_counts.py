@@ -7,6 +7,7 @@ in a bounded cache.
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -73,23 +74,39 @@ class Lengths(dict):
         return sum(map(self.__getitem__, self._model.pre_tokens(text or "")))
 
 
-def frequent_lengths(docs: DataFrame, model_path: str, sample_docs: int = 2048, entries: int = 1 << 15) -> tuple[bytes, bytes]:
+def frequent_lengths(docs: DataFrame, model_path: str, sample_docs: int = 2048, entries: int = 1 << 15, parts: int = 8) -> tuple[bytes, bytes]:
     """The table's compact form: pre-tokens joined by line ends, and their lengths as 16-bit numbers.
 
-    It holds the `entries` most frequent pre-tokens of `sample_docs` texts, so its size is bounded (about 1 MB)
-    whatever the input. It only saves work: no count depends on what it holds.
+    It holds the `entries` most frequent pre-tokens of about `sample_docs` texts, so its size is bounded (about 1 MB)
+    whatever the input. The texts are drawn evenly from all rows of `parts` partitions that are drawn by lot; only
+    these are read, and nothing is shuffled. It only saves work: no count depends on what it holds.
     """
+    each = -(-sample_docs // parts)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = PieceModel(model_path), Counter()
+        dice, drawn, met = random.Random(11), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(x for x in model.pre_tokens(text or "") if len(x) <= 64 and x != "\n")
-        top = [x for x, _ in seen.most_common(entries)]
-        yield pa.RecordBatch.from_pydict({"x": pa.array(top, pa.string()), "n": pa.array([model.length(x) for x in top], pa.int32())})
-
-    rows = docs.select("text").limit(sample_docs).coalesce(1).mapInArrow(tally, "x string, n int").limit(entries).collect()
-    return "\n".join(r["x"] for r in rows).encode(), np.array([r["n"] for r in rows], np.uint16).tobytes()
+            for i in range(batch.num_rows):  # a reservoir: each row so far is in with the same chance
+                met += 1
+                k = len(drawn) if len(drawn) < each else dice.randrange(met)
+                if k < each:
+                    drawn[k : k + 1] = [batch.column(0)[i].as_py()]
+        model, seen = PieceModel(model_path), Counter()
+        for text in drawn:
+            seen.update(x for x in model.pre_tokens(text or "") if len(x) <= 64 and x != "\n")
+        top = seen.most_common(entries)
+        yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+
+    found = docs.select("text").mapInArrow(tally, "x string, n long").rdd
+    n = found.getNumPartitions()
+    if not n:
+        return b"", b""
+    seen: Counter = Counter()
+    for row in docs.sparkSession.sparkContext.runJob(found, list, sorted(random.Random(7).sample(range(n), min(n, parts)))):
+        seen[row["x"]] += row["n"]
+    model = PieceModel(model_path)
+    top = [x for x, _ in sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:entries]]
+    return "\n".join(top).encode(), np.array([model.length(x) for x in top], np.uint16).tobytes()
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, sample_docs: int = 2048) -> DataFrame:

@@ -36,3 +36,17 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_long_conversations(spark):
+    turns = [(i, ("user", "assistant")[i % 2], f"turn {i} " + "x" * (1_000_000 if i == 1500 else 20)) for i in range(2500)]
+    rows = [(c, *t) for c, n in ((1, 2500), (2, 2499), (3, 1)) for t in turns[:n]]
+    out = run(spark, rows)
+    assert set(out) == {1} and out[1]["n_turns"] == 2500
+    assert out[1]["chat"] == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, r, t in turns)
+
+
+def test_more_kept_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_KEPT", 3)
+    rows = [(c, t, "user", f"{c if t else 0}") for c in range(20) for t in range(3)]
+    assert len(run(spark, rows)) == 20

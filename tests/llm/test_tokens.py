@@ -85,3 +85,10 @@ def test_columns(spark):
     assert encoded[2]["ids"] == encoded[3]["ids"] == Tokenizer.from_file(WORDS).encode("The cat 's", add_special_tokens=False).ids
     assert hashlib.sha256(encoded[3]["decoded"].encode()).hexdigest() == encoded[3]["decoded_sha256"]
     assert bpe.encode(docs.limit(0), WORDS).count() == 0 and tc.count_tokens(docs.limit(0), PIECES).count() == 0
+
+
+def test_frequent_pre_tokens_come_from_all_of_a_partition(spark):
+    docs = spark.createDataFrame([("early",)] * 3000 + [("late",)] * 3000, "text string").coalesce(1)
+    names, lengths = tc.frequent_lengths(docs, PIECES, sample_docs=80, parts=1)
+    assert set(names.decode().split("\n")) == {"▁early", "▁late"} and len(lengths) == 4
+    assert tc.frequent_lengths(docs.limit(0), PIECES) == (b"", b"")
