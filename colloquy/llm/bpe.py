@@ -2,12 +2,16 @@
 
 The merge list tells how far to the right of a token its fate can depend (`sufficient_lookahead`). A pre-token is
 read piece by piece; tokens that end at least that far before the end of what is read are final and leave the
-buffer, so memory does not grow with the length of a pre-token or a text.
+buffer. Texts are normalised and cut into pre-tokens block by block; a pre-token that a block's end cuts goes on
+through the transducer. So beside the text itself, and ids that are asked for, memory does not grow with the length of
+a pre-token or a text.
 """
 
 from __future__ import annotations
 
+import array
 import codecs
+import functools
 import hashlib
 import heapq
 import json
@@ -15,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +33,11 @@ _ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}
 _LOW_LETTERS, _LOW_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 _LOW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOW_LETTERS}]+|[{_LOW_NUMBERS}]|[^\t-\r \x85\xa0{_LOW_LETTERS}{_LOW_NUMBERS}]+")
 _NOT_LOW = re.compile("[İƀ-\U0010ffff]")
-BLOCK = 1 << 20
+#: Characters that are normalised at a time, about; and how far back from a block's end a place to cut is looked for.
+BLOCK, LOOK_BACK = 1 << 16, 1 << 12
+_WHITE = re.compile(f"[{WHITE}]")
+_LETTER = regex.compile(r"\p{L}")
+_NUMBER = regex.compile(r"\p{N}")
 
 
 def byte_letters() -> dict[int, str]:
@@ -116,54 +125,139 @@ class WordBPE:
         return symbols
 
     def encode_stream(self, pieces: Iterable[bytes], step: int = 512) -> Iterator[list[int]]:
-        """Ids of one pre-token whose bytes come in pieces; at most lookahead + step + a piece are held."""
-        held: list[str] = []
-        letter, vocab, end = self._letter, self.vocab, self.end
+        """Ids of one pre-token whose bytes come in pieces, as they become final."""
+        at = Transducer(self, step)
         for piece in pieces:
-            held.extend(map(letter.__getitem__, piece))
-            if len(held) > self.lookahead + step:
-                ids, done = [], 0
-                for token in self.merged(list(held)):
-                    if done + len(token) > len(held) - self.lookahead - 1:  # the last letter may yet be a word end
+            if ids := at.feed(piece):
+                yield ids
+        yield at.close()
+
+    def parts(self, text: str) -> Iterator[list[str] | int | Piece]:
+        """What the text falls into, in order: lists of whole pre-tokens, ids of special strings, and pieces of pre-tokens that go over blocks."""
+        start = 0
+        for m in self._special.finditer(text) if self._special else ():
+            yield from self._plain_parts(text[start : m.start()])
+            yield self.special[m[0]]
+            start = m.end()
+        yield from self._plain_parts(text[start:] if start else text)
+
+    def _plain_parts(self, text: str) -> Iterator[list[str] | Piece]:
+        open_ = ""
+        for block, goes_on in blocks(text):
+            if _NOT_LOW.search(block):
+                block = unicodedata.normalize("NFC", block)
+                found = _ANY.findall("".join(map(str.lower, block)) if "Σ" in block else block.lower())
+            else:
+                found = _LOW.findall(block.lower())
+            first, last = 0, len(found)
+            if open_:
+                same = bool(found) and run_of(found[0]) == open_
+                if same:
+                    first = 1
+                if not same or last > 1 or not goes_on:
+                    yield Piece(found[0] if same else "", True)
+                    open_ = ""
+                else:
+                    yield Piece(found[0], False)
+            if goes_on and last > first and (run := run_of(found[-1])):
+                yield found[first:-1]
+                yield Piece(found[-1], False)
+                open_ = run
+            elif last > first:
+                yield found[first:] if first else found
+        if open_:
+            yield Piece("", True)
+
+
+class Piece:
+    """A part of a pre-token; the last one says so. The first follows whatever is no piece, or a last one."""
+
+    __slots__ = ("text", "last")
+
+    def __init__(self, text: str, last: bool):
+        self.text, self.last = text, last
+
+
+class Transducer:
+    """One pre-token's bytes in, final ids out; at most lookahead + step letters and a piece are held."""
+
+    def __init__(self, model: WordBPE, step: int = 512):
+        self._model, self._step = model, step
+        self._held: list[str] = []
+
+    def feed(self, piece: bytes) -> list[int]:
+        model, ids = self._model, []
+        for k in range(0, len(piece), self._step):
+            held = self._held
+            held.extend(map(model._letter.__getitem__, piece[k : k + self._step]))
+            if len(held) > model.lookahead + self._step:
+                done = 0
+                for token in model.merged(list(held)):
+                    if done + len(token) > len(held) - model.lookahead - 1:  # the last letter may yet be a word end
                         break
-                    ids.append(vocab[token])
+                    ids.append(model.vocab[token])
                     done += len(token)
                 del held[:done]
-                yield ids
-        if held:
-            held[-1] += end
-            yield [vocab[t] for t in self.merged(held)]
-
-    def whole(self, raw: bytes) -> list[int]:
-        """Ids of a short pre-token of which nothing is outstanding."""
-        held = [*map(self._letter.__getitem__, raw)]
-        held[-1] += self.end
-        return [*map(self.vocab.__getitem__, self.merged(held))]
-
-    def pre_tokens(self, text: str) -> Iterator[list[str] | int]:
-        """Lists of pre-tokens of blocks of the text, and the ids of special strings between them."""
-        for part in self._special.split(text) if self._special else [text]:
-            if part in self.special:
-                yield self.special[part]
-                continue
-            for block in blocks(part):
-                if _NOT_LOW.search(block):
-                    yield _ANY.findall("".join(map(str.lower, unicodedata.normalize("NFC", block))) if "Σ" in block else unicodedata.normalize("NFC", block).lower())
-                else:
-                    yield _LOW.findall(block.lower())
-
-
-def blocks(text: str) -> Iterator[str]:
-    """The text in blocks of about BLOCK characters that end before white space."""
+        return ids
+
+    def close(self) -> list[int]:
+        held, self._held = self._held, []
+        if not held:
+            return []
+        held[-1] += self._model.end
+        return [*map(self._model.vocab.__getitem__, self._model.merged(held))]
+
+
+def run_of(pre_token: str) -> str:
+    """Whether a pre-token is a run that may go on: of letters, or of signs; a number or a contraction is whole."""
+    if _LETTER.match(pre_token):
+        return "letters"
+    if _NUMBER.match(pre_token) or pre_token[0] == "'" and len(pre_token) > 1 and _LETTER.match(pre_token[1]):
+        return ""
+    return "signs"
+
+
+@functools.cache
+def _second_of_pairs() -> frozenset[str]:
+    """Characters, marks aside, that NFC may join to the one before."""
+    own = {chr(c) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for c in r}
+    for c in range(0xC0, 0x32000):
+        pair = unicodedata.decomposition(chr(c)).split()
+        if len(pair) == 2 and not pair[0].startswith("<"):
+            own.add(chr(int(pair[1], 16)))
+    return frozenset(own)
+
+
+def may_cut(text: str, k: int) -> bool:
+    """Whether a run may be cut before text[k]: no normal form and no contraction reaches over that place."""
+    if "'" in text[k - 2 : k + 1] and text[k - 2 : k + 2] != "''''":
+        return False
+    if text[k] < "\x80":
+        return True
+    first = unicodedata.normalize("NFD", text[k])[0]
+    return not unicodedata.combining(first) and first not in _second_of_pairs()
+
+
+def blocks(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in blocks of about BLOCK characters, and whether a run may go on beyond each.
+
+    A block ends before white space if there is some within LOOK_BACK, else where `may_cut` lets it. A longer run
+    of marks or apostrophes alone stays in one block.
+    """
     start = 0
     while len(text) - start > BLOCK:
-        cut = max(text.rfind(" ", start + 1, start + BLOCK), text.rfind("\n", start + 1, start + BLOCK))
-        if cut < 0:
-            cut = min((x for x in (text.find(" ", start + BLOCK), text.find("\n", start + BLOCK)) if x > 0), default=len(text))
-        yield text[start:cut]
+        end = start + BLOCK
+        low = max(start + 1, end - LOOK_BACK)
+        cut = max((m.start() for m in _WHITE.finditer(text, low, end + 1)), default=0)
+        goes_on = not cut
+        if goes_on:
+            cut = next((k for k in range(end, max(low, start + 2), -1) if may_cut(text, k)), 0)
+            cut = cut or next((k for k in range(end + 1, len(text)) if _WHITE.match(text, k) or may_cut(text, k)), len(text))
+            goes_on = cut < len(text) and not _WHITE.match(text, cut)
+        yield text[start:cut], goes_on
         start = cut
     if start < len(text):
-        yield text[start:]
+        yield text[start:], False
 
 
 class Decoder:
@@ -211,64 +305,102 @@ class Words(dict):
     def __init__(self, model: WordBPE, room: int = 500_000, longest: int = 48):
         super().__init__()
         self._decoder = Decoder(model)
-        self._model, self._room, self._longest = model, room, longest
+        self.model, self._room, self._longest = model, room, longest
 
     def __missing__(self, word: str) -> tuple[str, str, int]:
-        raw = word.encode("utf-8", "replace")
-        if len(word) > self._longest:
-            return self._of([i for ids in self._model.encode_stream(raw[k : k + 512] for k in range(0, len(raw), 512)) for i in ids])
-        found = self._of(self._model.whole(raw))
-        if len(self) >= self._room:
-            self.clear()
-        self[word] = found
+        at = Transducer(self.model)
+        found = self.of(at.feed(word.encode("utf-8", "replace")) + at.close())
+        if len(word) <= self._longest:
+            if len(self) >= self._room:
+                self.clear()
+            self[word] = found
         return found
 
-    def _of(self, ids: list[int]) -> tuple[str, str, int]:
+    def of(self, ids: list[int]) -> tuple[str, str, int]:
         self._decoder.reset()
         return " ".join(map(str, ids)), self._decoder.feed(ids), len(ids)
 
-    def entries(self, text: str) -> Iterator[list[tuple[str, str, int]]]:
-        for part in self._model.pre_tokens(text):
-            yield [self._of([part])] if isinstance(part, int) else list(map(self.__getitem__, part))
 
-
-def encode(docs: DataFrame, tokenizer_path: str, want_ids: bool = True) -> DataFrame:
-    """docs (with a column text) plus n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and decoded.
+class Sink:
+    """Digests of a text's ids and of what they decode to, as they come; both themselves only if they are kept."""
+
+    def __init__(self, keep_ids: bool = False, keep_decoded: bool = False):
+        self.n, self._ids, self._decoded = 0, hashlib.sha256(), hashlib.sha256()
+        self.ids = array.array("i") if keep_ids else None
+        self.decoded: list[str] | None = [] if keep_decoded else None
+
+    def add(self, ids: str, decoded: str, n: int, begun: bool = False) -> None:
+        """ids joined by spaces; decoded says what they are, with the space before them if a piece has `begun`."""
+        if n:
+            self._ids.update(((" " if self.n else "") + ids).encode())
+            decoded = " " + decoded if self.n and not begun else decoded
+            self._decoded.update(decoded.encode())
+            self.n += n
+            if self.ids is not None:
+                self.ids.extend(map(int, ids.split(" ")))
+            if self.decoded is not None:
+                self.decoded.append(decoded)
+
+    def digests(self) -> tuple[str, str]:
+        return self._ids.hexdigest(), self._decoded.hexdigest()
+
+
+def transduce(text: str, words: Words, sink: Sink) -> None:
+    """Sends the text's ids, and what they decode to, into sink."""
+    at: Transducer | None = None
+    for part in words.model.parts(text):
+        if isinstance(part, int):
+            sink.add(*words.of([part]))
+        elif isinstance(part, Piece):
+            if at is None:
+                at, decoder, begun = Transducer(words.model), Decoder(words.model), False
+            ids = at.feed(part.text.encode("utf-8", "replace")) + (at.close() if part.last else [])
+            sink.add(" ".join(map(str, ids)), decoder.feed(ids), len(ids), begun)
+            begun = begun or bool(ids)
+            if part.last:
+                at = None
+        else:
+            entries = [*map(words.__getitem__, part)]
+            sink.add(" ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries]))
+
+
+def encode(docs: DataFrame, tokenizer_path: str, want: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """docs (with a column text) plus n_tokens, ids_sha256, decoded_sha256 and, of `want`, ids and decoded.
 
     Columns of these names are replaced, others pass through. A null text is as an empty one: no tokens, and the
     digests are those of empty text. Special strings within a text become their single ids. Digests are over the
-    decimal ids and the decoded text, built block by block. Without ids, memory does not grow with a text's tokens.
+    decimal ids and the decoded text, fed as tokens become final; equal texts give equal rows. A task holds a batch's
+    rows, and of ids and decoded texts those of SLICE rows.
     """
     keep = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
-    schema = plus(keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * want_ids)
+    wanted = [w for w in ("ids", "decoded") if w in want]
+    schema = plus(keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[w] for w in wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(WordBPE(tokenizer_path))
-        for batch in batches:
-            rows = []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                n, of_ids, of_text, kept, back = 0, hashlib.sha256(), hashlib.sha256(), [], []
-                for part in words.entries(text or ""):
-                    if part:
-                        ids, decoded = " ".join([e[0] for e in part]), " ".join([e[1] for e in part])
-                        if n:
-                            of_ids.update(b" ")
-                            of_text.update(b" ")
-                        of_ids.update(ids.encode())
-                        of_text.update(decoded.encode())
-                        n += sum([e[2] for e in part])
-                        if want_ids:
-                            kept += map(int, ids.split(" "))
-                            back.append(decoded)
-                rows.append((n, of_ids.hexdigest(), of_text.hexdigest(), kept, " ".join(back)))
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 5 if want_ids else 3])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                sinks = []
+                for text in batch.column(batch.schema.get_field_index("text")):
+                    sinks.append(Sink("ids" in wanted, "decoded" in wanted))
+                    transduce(text.as_py() or "", words, sinks[-1])
+                made = [pa.array([s.n for s in sinks], pa.int64()), *(pa.array(x, pa.string()) for x in zip(*[s.digests() for s in sinks]))]
+                if "ids" in wanted:
+                    ends = np.cumsum([0, *(s.n for s in sinks)])
+                    made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.frombuffer(s.ids, np.int32) for s in sinks]))))
+                if "decoded" in wanted:
+                    made.append(pa.array(["".join(s.decoded) for s in sinks], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return keep.mapInArrow(run, schema)
 
 
+SLICE = 256
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), want_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), want=()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

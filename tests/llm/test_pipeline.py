@@ -1,5 +1,8 @@
 import os
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.01"
@@ -33,5 +36,10 @@ def test_stages_decide(spark, tmp_path):
 def test_clean_documents_stay(spark):
     out = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0.8 * n < out.count() < n
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and 0.8 * n < out.count() < n
+    # the ids are the library's, and decode to the texts
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in out.limit(60).collect():
+        assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and len(r["ids"]) == r["n_tokens"]
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"

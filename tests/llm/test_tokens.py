@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -33,8 +34,11 @@ def test_counts_are_the_librarys(pieces, text):
 
 
 def joined(m, text):
-    entries = [e for part in bpe.Words(m).entries(text) for e in part]
-    return " ".join(e[0] for e in entries), " ".join(e[1] for e in entries), sum(e[2] for e in entries)
+    sink = bpe.Sink(True, True)
+    bpe.transduce(text, bpe.Words(m), sink)
+    ids, decoded = " ".join(map(str, sink.ids)), "".join(sink.decoded)
+    assert sink.digests() == (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    return ids, decoded, sink.n
 
 
 @settings(max_examples=500, deadline=None)
@@ -54,11 +58,38 @@ def test_long_pre_tokens_stream(model, alphabet):
         assert [i for ids in model[1].encode_stream((raw[k : k + size] for k in range(0, len(raw), size)), step=40) for i in ids] == want
 
 
-def test_blocks_change_nothing(model, monkeypatch):
-    text = "The first line of it\nand 25 more of them, " * 60 + "x" * 500
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=4, max_size=60).map("".join), st.integers(3, 20))
+def test_blocks_change_nothing(model, text, size):
     whole = joined(model[1], text)
+    before, bpe.BLOCK, bpe.LOOK_BACK = (bpe.BLOCK, bpe.LOOK_BACK), size, max(1, size // 2)
+    try:
+        assert joined(model[1], text) == whole
+    finally:
+        bpe.BLOCK, bpe.LOOK_BACK = before
+
+
+@pytest.mark.parametrize("text", ["x" * 700, "ab" * 300 + "é" * 200, "'" * 333 + "s" * 90, "가" * 300 + "한" * 50, "!?" * 200 + "'re" * 120, "a\u0301" * 150, "日本語" * 120, "\u3000".join(["ok"] * 200)])
+def test_runs_over_many_blocks(model, monkeypatch, text):
+    own = model[0].encode(text, add_special_tokens=False)
     monkeypatch.setattr(bpe, "BLOCK", 64)
-    assert joined(model[1], text) == whole
+    monkeypatch.setattr(bpe, "LOOK_BACK", 16)
+    assert joined(model[1], text) == (" ".join(map(str, own.ids)), model[0].decode(own.ids, skip_special_tokens=False), len(own.ids))
+
+
+@pytest.mark.parametrize("of", ["a", "éa", "!", "the quick brown fox "])
+def test_memory_does_not_grow(model, of):
+    """Neither with a run without white space nor with a text of many words."""
+    words = bpe.Words(model[1])
+    peaks = []
+    for size in (1 << 18, 1 << 20):
+        text = of * (size // len(of))
+        bpe.transduce(text[:1000], words, bpe.Sink())
+        tracemalloc.start()
+        bpe.transduce(text, words, bpe.Sink())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] + 200_000 and peaks[1] < 16 << 20
 
 
 def test_bytes_come_back(model):
