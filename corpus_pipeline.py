@@ -27,11 +27,11 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count and the digests of its ids and of what they decode to."""
+    """What a model trains on: each document's token ids, their count, and the digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    ids = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), want_ids=False)
-    return ids.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    found = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), want=("ids",))
+    return found.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
