@@ -28,10 +28,14 @@ TRIALS = 2000
 WIDEST = 16
 #: Longer items are tried by so many of their words: they are found more easily.
 LONG = 128
-#: Items with fewer words are phrases, no passages: nothing is looked for.
+#: Items with fewer words have no edits that count; they are looked for word by word, without walks.
 LEAST_WORDS = 5
-#: Items whose index is broadcast at a time. Each word of an item has at most MOST_WALKS entries of 16 bytes.
-ITEMS_AT_ONCE = 4096
+#: Bytes of an index that is broadcast at a time, at most, if no single item needs more.
+INDEX_BYTES = 96 << 20
+#: What one entry takes, of which each word of an item has MOST_WALKS at most, and what a word itself takes.
+ENTRY_BYTES, WORD_BYTES = 16, 8
+#: Windows that walk at a time, and agreements that are written out at a time.
+AT_ONCE = 1 << 20
 
 
 def window_of(words: int) -> tuple[int, int]:
@@ -115,22 +119,56 @@ class Index:
     offsets: np.ndarray
     table: np.ndarray  # whether any key has these leading bits
 
-    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in words, entry) of windows of the texts that agree with an entry in some walk."""
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place) of windows that agree with an entry in some walk, each once, in this order.
+
+        place is where the item would begin in its text. Windows and agreements are dealt with AT_ONCE at a time,
+        so that a stretch which agrees with very many entries, as one repeated word does, is never written out whole.
+        """
         n = np.diff(offsets)
         count = np.maximum(0, -(-(n - self.window + 1) // self.stride)).astype(np.int64)
-        first = np.repeat(offsets[:-1] - np.cumsum(np.r_[0, count[:-1]]) * self.stride, count)
-        starts = first + np.arange(int(count.sum()), dtype=np.int64) * self.stride
-        ends = np.repeat(offsets[1:], count)
-        where, entry = [], []
-        for walk in range(self.walks):
-            key = embed(words, starts, ends, self.window, walk)
-            some = np.flatnonzero(self.table[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.keys, key[some]), np.searchsorted(self.keys, key[some], "right")
-            times = hi - lo
-            where.append(np.repeat(starts[some], times))
-            entry.append(np.repeat(lo - np.cumsum(np.r_[0, times[:-1]]), times) + np.arange(int(times.sum())))
-        return np.concatenate(where), np.concatenate(entry)
+        before = np.cumsum(np.r_[0, count])
+        found = [np.empty((3, 0), np.int64)]
+        held = 0
+        for lo in range(0, int(before[-1]), AT_ONCE):
+            nth = np.arange(lo, min(lo + AT_ONCE, int(before[-1])), dtype=np.int64)
+            text = np.searchsorted(before, nth, "right") - 1
+            starts, ends = offsets[text] + (nth - before[text]) * self.stride, offsets[text + 1]
+            for walk in range(self.walks):
+                key = embed(words, starts, ends, self.window, walk)
+                some = np.flatnonzero(self.table[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+                first = np.searchsorted(self.keys, key[some])
+                times = np.searchsorted(self.keys, key[some], "right") - first
+                for part in _portions(times):
+                    at, many = some[part], times[part]
+                    entry = np.repeat(first[part] - np.cumsum(np.r_[0, many[:-1]]), many) + np.arange(int(many.sum()))
+                    of = np.repeat(text[at], many)
+                    place = np.repeat(starts[at], many) - self.offsets[entry] - offsets[of]
+                    found.append(_distinct(np.stack([of, self.items[entry], place])))
+                    held += found[-1].shape[1]
+                    if held > 4 * AT_ONCE:
+                        found = [_distinct(np.concatenate(found, 1))]
+                        held = 0
+        return tuple(_distinct(np.concatenate(found, 1)))
+
+
+def _portions(times: np.ndarray) -> Iterator[slice]:
+    """Slices of times that add up to AT_ONCE or less each, or are of length 1."""
+    total, start = np.cumsum(times), 0
+    while start < len(times):
+        done = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, done + AT_ONCE, "right")))
+        if total[end - 1] > done:
+            yield slice(start, end)
+        start = end
+
+
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    """The different columns of an array of three rows, sorted."""
+    columns = columns[:, np.lexsort(columns[::-1])]
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(0)
+    return columns[:, new]
 
 
 TABLE_BITS = 21
@@ -216,10 +254,52 @@ def build(items: list[tuple[int, np.ndarray]]) -> list[Index]:
         order = np.argsort(flat)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        out.append(Index(window, max(1, window // 2), walks, flat[order], np.concatenate(owner)[order], np.concatenate(offsets)[order], table))
+        owners, places = np.concatenate(owner).astype(np.int32), np.concatenate(offsets).astype(np.int32)
+        out.append(Index(window, max(1, window // 2), walks, flat[order], owners[order], places[order], table))
     return out
 
 
+def phrase_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    key = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        key = mix(key ^ words[k : k + len(key)], 900 + k)
+    return key
+
+
+@dataclass
+class Phrases:
+    """Items of fewer than LEAST_WORDS words, by the hashes of their words."""
+
+    keys: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted keys, and whose they are
+
+    @staticmethod
+    def of(items: list[np.ndarray]) -> Phrases:
+        short = {size: [k for k, w in enumerate(items) if len(w) == size] for size in range(1, LEAST_WORDS)}
+        made = {}
+        for size, members in short.items():
+            if members:
+                keys = np.concatenate([phrase_keys(items[k], size) for k in members])
+                order = np.argsort(keys)
+                made[size] = keys[order], np.array(members)[order]
+        return Phrases(made)
+
+    def find(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """As `_verify`: the first place of each phrase in each text."""
+        for size, (keys, owner) in self.keys.items():
+            own = phrase_keys(words, size)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == own)
+            text = np.searchsorted(offsets, hit, "right") - 1
+            whole = hit + size <= offsets[text + 1]
+            hit, text = hit[whole], text[whole]
+            pair = text * len(keys) + at[hit]
+            _, first = np.unique(pair, return_index=True)
+            for k in first.tolist():
+                place = int(hit[k] - offsets[text[k]])
+                yield int(text[k]), int(owner[at[hit[k]]]), 0, place, place + size
+
+
 FOUND = "item_id long, edits long, n_words long, start_word long, end_word long"
 
 
@@ -227,15 +307,10 @@ def _verify(index: list[Index], items: list[np.ndarray], words: np.ndarray, offs
     """(text, item, edits, first word, word after the last) of the items that texts hold; the first best place of each."""
     n = np.diff(offsets)
     for ix in index:
-        where, entry = ix.hits(words, offsets)
-        if not len(where):
-            continue
-        text = np.searchsorted(offsets, where, "right") - 1
-        item, place = ix.items[entry], where - ix.offsets[entry] - offsets[text]  # where the item would begin
-        order = np.lexsort((place, item, text))
+        text, item, place = ix.hits(words, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for t, i, p in zip(text[order].tolist(), item[order].tolist(), place[order].tolist()):
+        for t, i, p in zip(text.tolist(), item.tolist(), place.tolist()):
             size = len(items[i])
             k = edits_of(size)
             lo, hi = max(0, p - 2 * k - 1), min(int(n[t]), p + size + 2 * k + 1)
@@ -265,12 +340,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs needs text; columns of the new names are replaced, others pass through. An item is held if some stretch of
     the text's words (lower case, signs aside) is within 15 edits for each 100 of the item's words, rounded down;
-    the first stretch with the fewest is told. Null and empty texts hold nothing; items with fewer than five words,
-    null or without an id are not looked for; equal items are each told; repeated rows of docs repeat their rows.
-    The index misses at most about 1 in 100 stretches of any length that have all the edits that count, and none without edits.
+    the first stretch with the fewest is told. Null and empty texts hold nothing; items without a word, null or without
+    an id are not looked for; equal items are each told; repeated rows of docs repeat their rows. Items of fewer than
+    seven words have no edits that count; those of fewer than five are looked for word by word, without walks. The
+    index misses at most about 1 in 100 stretches of any length that have all the edits that count, and none without edits.
 
-    Items are collected in blocks of ITEMS_AT_ONCE, each indexed and broadcast by itself, so that what is sent is
-    bounded; documents are never shuffled.
+    Items are collected in blocks of INDEX_BYTES, each indexed and broadcast by itself, so that what is sent is
+    bounded (a single longer item apart); documents are never shuffled, but read once for each block.
     """
     parts = [_search(docs, block, False) for block in _item_blocks(benchmark)]
     out = parts[0]
@@ -287,44 +363,67 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+class Block:
+    """Different items' words, and the ids of those that have them."""
+
+    def __init__(self):
+        self.items: list[np.ndarray] = []
+        self.ids: list[list[int]] = []
+        self._at: dict[bytes, int] = {}
+        self._bytes = 0
+
+    def add(self, item_id: int, words: np.ndarray) -> bool:
+        """Whether there is room for them; the first item always fits."""
+        key = words.tobytes()
+        if key in self._at:
+            self.ids[self._at[key]].append(item_id)
+            return True
+        more = len(words) * (MOST_WALKS * ENTRY_BYTES + WORD_BYTES)
+        if self.items and self._bytes + more > INDEX_BYTES:
+            return False
+        self._at[key] = len(self.items)
+        self.items.append(words)
+        self.ids.append([item_id])
+        self._bytes += more
+        return True
+
+
+def _item_blocks(benchmark: DataFrame) -> Iterator[Block]:
     """At least one block, be it empty."""
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    block: list[tuple[int, str]] = []
-    first = True
+    block = Block()
     for r in rows.toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) >= ITEMS_AT_ONCE:
+        words = word_hashes([r["text"]])[0]
+        if len(words) and not block.add(r["item_id"], words):
             yield block
-            block, first = [], False
-    if block or first:
-        yield block
+            block = Block()
+            block.add(r["item_id"], words)
+    yield block
 
 
-def _search(docs: DataFrame, block: list[tuple[int, str]], clean: bool) -> DataFrame:
+def _search(docs: DataFrame, block: Block, clean: bool) -> DataFrame:
     """What `leaks` returns for one block of items or, if clean, the rows of docs that hold none of them."""
-    hashes, offsets = word_hashes([t for _, t in block])
-    items = [hashes[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    sent = docs.sparkSession.sparkContext.broadcast((build(list(enumerate(items))), items, [i for i, _ in block]))
+    sent = docs.sparkSession.sparkContext.broadcast((build(list(enumerate(block.items))), Phrases.of(block.items), block.items, block.ids))
     keep = docs if clean else docs.drop(*(x.split()[0] for x in FOUND.split(", ")))
     schema = keep.schema if clean else plus(keep.drop("text"), FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, items, ids = sent.value
+        index, phrases, items, ids = sent.value
         for whole in batches:
             at = whole.schema.get_field_index("text")
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 words, offsets = word_hashes(batch.column(at).to_pylist())
-                found = list(_verify(index, items, words, offsets)) if len(words) else []
-                rows = [f[0] for f in found]
+                found = [*phrases.find(words, offsets), *_verify(index, items, words, offsets)] if len(words) else []
                 if clean:
                     held = np.zeros(batch.num_rows, bool)
-                    held[rows] = True
+                    held[[f[0] for f in found]] = True
                     yield batch.filter(pa.array(~held))
                 elif found:
-                    own = [c.take(pa.array(rows)) for k, c in enumerate(batch.columns) if k != at]
-                    made = [[ids[f[1]] for f in found], [f[2] for f in found], [len(items[f[1]]) for f in found], [f[3] for f in found], [f[4] for f in found]]
+                    told = [(f, item_id) for f in found for item_id in ids[f[1]]]
+                    rows = pa.array([f[0] for f, _ in told])
+                    own = [c.take(rows) for k, c in enumerate(batch.columns) if k != at]
+                    made = [[i for _, i in told], [f[2] for f, _ in told], [len(items[f[1]]) for f, _ in told], [f[3] for f, _ in told], [f[4] for f, _ in told]]
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array(m, pa.int64()) for m in made)], names=schema.names)
 
     return keep.mapInArrow(run, schema)
