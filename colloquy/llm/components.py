@@ -65,7 +65,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     to stars, then applies large-star and small-star steps: each node's edges move to the least neighbour. Every
     step is an aggregation with map-side combining and an equi-join in which hubs are broadcast. The number of
     rounds grows with the logarithm of the longest path. Each round's edges are written to the shared folder, and
-    the round before goes.
+    the round before goes; `release` frees the last when the result has been read.
     """
     first, second = edges.columns[:2]
     e = edges.select(F.col(first).alias("a"), F.col(second).alias("b")).where("a <> b")
@@ -87,5 +87,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         state = e.agg(F.count("*"), F.countDistinct("a")).first()
         ends = 2 * state[0]
         if state[0] == state[1] and e.join(e.select(F.col("b").alias("c")).distinct(), F.col("a") == F.col("c"), "left_semi").isEmpty():
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+            out.scratch_path = e.scratch_path
+            return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import plus, table
+from .scratch import bounded, free, release, table
 from .words import mix, shingle_sets, word_hashes
 
 THRESHOLD, SIZE = 0.8, 5
@@ -223,15 +223,22 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, alone, side, vid, weight, shingles) to (vid, links, root): links adds up the weights of the texts
-    that the tile links to vid; root is one of the texts that the tile's links join to it."""
+    """Rows (tile, alone, side, vid, weight, shingles, band, bands) to (kind, a, b): the links of a text, as the sum of
+    the weights of those that the tile links to it (kind 0), and a spanning forest of the links (kind 1).
+
+    In a tile of a band, pairs that share an earlier band are passed over, so that each pair is met once.
+    """
     for t in by_tile(batches):
-        tile, alone, side, ids, weight = (t.column(c).to_numpy() for c in ("tile", "alone", "side", "vid", "weight"))
+        tile, alone, side, ids, weight, band = (t.column(c).to_numpy() for c in ("tile", "alone", "side", "vid", "weight", "band"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
+        keys = np.array([x or [0] * BANDS for x in t.column("bands").to_pylist()], np.int64) if (band > 0).any() else None
         links = np.zeros(len(tile), np.int64)
         edges: list[tuple[int, int]] = []
         for a, b in pair_indices(tile, alone, side):
+            if keys is not None:
+                before = ((keys[a] == keys[b]) & (np.arange(BANDS) < band[a][:, None])).any(1)
+                a, b = a[~before], b[~before]
             if not len(a):
                 continue
             if tile[a[0]] != tile[a[-1]] or len(a) == 1:
@@ -254,12 +261,16 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vid, n, weight, component, text) to the same with the text's set in its place."""
+    """(vid, text) to the same with the text's set in its place."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             batch = whole.slice(i, 256)
-            sets = shingle_sets(*word_hashes(batch.column(4).to_pylist()), SIZE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], names=["vid", "weight", "component", "members", "shingles"])
+            sets = shingle_sets(*word_hashes(batch.column(1).to_pylist()), SIZE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["vid", "shingles"])
+
+
+#: Texts whose names are broadcast at most, three longs each; where more are to be read again, texts are shuffled to them.
+MOST_NAMES = 500_000
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,7 +285,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Texts with equal sets are one vertex, so copies meet nowhere. Vertices are told apart by 64 of 128 bits of a
     hash of their set. The comparison misses a linked pair with a chance of about 1 in 10,000 at a similarity of
-    exactly 0.8 and far less above; components and the whole-set check of all pairs within them recover most.
+    exactly 0.8 and far less above. What is left is verified on whole sets: all pairs of a component of candidates or,
+    where that is less work (long chains of candidates), the pairs that share a bucket.
     """
     return _classified(docs, threshold).drop("same", "component")
 
@@ -294,40 +306,68 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = keyed.join(counted, ["band", "key"])
     tiles = blocks_meet(met, ["band", "key"], "members", "vid").select("tile", "alone", "side", "vid").join(sets.select("vid", "rest"), "vid")
     kept = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_candidates, "a long, b long")
-    groups = table(components(kept).select(F.col("node").alias("vid"), "component"), "groups")
-    # whole sets of what is left, from one text of each
+    candidates = components(kept)
+    groups = table(candidates.select(F.col("node").alias("vid"), "component"), "groups")
+    release(candidates)
     sized = groups.groupBy("component").agg(F.count("*").alias("members"))
-    wanted = groups.join(sized, "component").join(sets.select("vid", "weight", "first", "same", "n"), "vid")
-    wanted = wanted.withColumnsRenamed({"first": "_first", "same": "_same"})
-    bodies = docs.select("doc_id", F.xxhash64("text").alias("same"), "text").join(wanted, (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    own = bodies.select("vid", "weight", "component", "members", "text").dropDuplicates(["vid"])
-    shingled = own.mapInArrow(_shingle, "vid long, weight long, component long, members long, shingles binary")
-    tiles = blocks_meet(shingled, ["component"], "members", "vid").select("tile", "alone", "side", "vid", "weight", "shingles")
+    # whole sets of what is left, from one text of each
+    left = table(groups.join(sized, "component").join(sets.select("vid", "weight", "first", "same"), "vid"), "left")
+    named = bounded(left.select("vid", F.col("first").alias("_first"), F.col("same").alias("_same")), MOST_NAMES)
+    bodies = docs.select("doc_id", F.xxhash64("text").alias("same"), "text").join(named, (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    bodies = bodies.select("vid", "text").dropDuplicates(["vid"])
+    shingled = bodies.mapInArrow(_shingle, "vid long, shingles binary").join(left.select("vid", "component", "weight", "members"), "vid")
+    names = ["tile", "alone", "side", "vid", "weight", "shingles", "band", "bands"]
+    all_pairs = lambda rows: blocks_meet(rows, ["component"], "members", "vid").withColumn("band", F.lit(-1)).withColumn("bands", F.lit(None).cast("array<long>")).select(names)
+    chains = table(_chains(met, left), "chains")
+    if chains.isEmpty():
+        tiles = all_pairs(shingled)
+    else:
+        few = bounded(chains)
+        shingled = table(shingled, "shingled")
+        by_band = shingled.drop("members").join(few, "component", "left_semi").join(met, "vid").join(sets.select("vid", "bands"), "vid")
+        tiles = all_pairs(shingled.join(few, "component", "left_anti")).unionByName(blocks_meet(by_band, ["band", "key"], "members", "vid").select(names))
     found = table(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _verify(it, threshold), "kind int, a long, b long"), "links")
+    release(groups, left, chains, shingled)
     links = found.where("kind = 0").groupBy(F.col("a").alias("vid")).agg(F.sum("b").alias("links"))
-    joined = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("vid"), "component")
+    linked = components(found.where("kind = 1").select("a", "b"))
+    joined = linked.select(F.col("node").alias("vid"), "component")
     placed = sets.select("vid", "weight", "first").join(joined, "vid", "left").join(links, "vid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "vid"))
     heads = placed.groupBy("component").agg(F.min("first").alias("class_id"))
     classes = table(placed.join(heads, "component").select("vid", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes")
+    release(found, linked, sets)
     same = texts.select(F.xxhash64("h1", "h2", "n").alias("vid"), F.col("same"), F.col("rows").alias("n_same")).join(classes, "vid")
     whole = signed.select("doc_id", F.xxhash64("h1", "h2", "n").alias("vid"), "same", F.col("h1").isNull().alias("_bare"))
     out = whole.join(same, ["vid", "same"], "left")
     return out.select("doc_id", F.when(F.col("_bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_same", F.lit(1)).alias("n_same"), "same", "component")
 
 
+def _chains(met: DataFrame, left: DataFrame) -> DataFrame:
+    """(component) of the components of candidates in which fewer blocks meet by buckets than if all members met each other."""
+    large = left.where(F.col("members") > BLOCK).select("vid", "component", "members")
+    buckets = met.select("vid", F.ceil(F.col("members") / BLOCK).alias("tiles")).join(large, "vid").groupBy("component").agg(F.sum("tiles").alias("tiles"), F.first("members").alias("members"))
+    return buckets.where(F.col("tiles") < F.col("members") * F.ceil(F.col("members") / BLOCK)).select("component")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when one document of each class of `similar` is kept: that with the least doc_id.
 
     Where a doc_id repeats with texts of several classes, one of its texts stays in each class that it heads, that of
     the least hash; of rows with equal doc_id and text one stays. A text without a word is a class of its own with its
-    doc_id. Rows whose doc_id is null all stay, as nothing names them.
+    doc_id. Rows whose doc_id is null all stay, as nothing names them. What goes is looked up by its id and the hash of
+    its text; where that is little it is broadcast, so that texts are not shuffled.
     """
-    heads = _classified(docs).where("doc_id = class_id")
-    heads = heads.groupBy("doc_id", F.col("component").isNull(), F.coalesce("component", "same")).agg(F.min("same").alias("_same"))
-    named = docs.withColumn("_same", F.xxhash64("text")).join(heads.select("doc_id", "_same"), ["doc_id", "_same"], "left_semi")
-    named = named.dropDuplicates(["doc_id", "_same"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    same, n = free(docs, "same", "n")
+    pairs = _classified(docs).where("doc_id is not null").groupBy("doc_id", F.col("same").alias(same))
+    pairs = table(pairs.agg(F.count("*").alias(n), F.first("class_id").alias("class_id"), F.first("component").alias("component")), "pairs")
+    heads = pairs.where("doc_id = class_id").groupBy("doc_id", F.col("component").isNull(), F.coalesce("component", same)).agg(F.min(same).alias(same)).select("doc_id", same)
+    gone = table(pairs.select("doc_id", same).join(heads, ["doc_id", same], "left_anti"), "gone")
+    out = docs.withColumn(same, F.xxhash64("text")).join(bounded(gone, MOST_NAMES), ["doc_id", same], "left_anti")
+    often = table(pairs.where(F.col(n) > 1).select("doc_id", same), "often")
+    if not often.isEmpty():
+        few = bounded(often, MOST_NAMES)
+        out = out.join(few, ["doc_id", same], "left_anti").unionByName(out.join(few, ["doc_id", same], "left_semi").dropDuplicates(["doc_id", same]))
+    return out.select(docs.columns)
 
 
 def op6_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,38 @@ def test_a_large_group_falls_into_blocks(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_long_chains_meet_by_buckets(spark, monkeypatch):
+    """Sliding windows: a long chain of candidates, of which few pairs are linked."""
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 120])) for i in range(400)] + [(1000 + i, r[1]) for i, r in enumerate(corpus(random.Random(3), 6, 3, 1))]
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    met, chains = [], nj._chains
+
+    def counted(*given):
+        out = chains(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "_chains", counted)
+    out = found(spark, rows)
+    assert met == [1] and out == brute(rows)
+
+
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nj, "MOST_NAMES", 2)
+    rows = corpus(random.Random(6), 6, 3, 2)
+    rows += rows[:7]
+    assert found(spark, rows) == brute(rows)
+    kept = nj.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({r[1] for r in brute(rows)})
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, same int, component string")
+    assert [tuple(r) for r in nj.representatives(docs).collect()] == rows[:1]
+
+
 def test_empty_and_single(spark):
     assert found(spark, []) == []
     assert found(spark, [(5, "a b c d e f", "x", 3)], "doc_id long, text string, same string, h1 int") == [(5, 5, 0, 1)]
