@@ -1,9 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host come from one template. In blocks of at most a few dozen pages of a host, each page's tree is
-aligned with a reference page's by simple tree matching. A text that stands at the same place in nearly all pages
-of a block is the template's; what varies is content. Elements that by their name, role or class are never part of
-an article (menus, footers, adverts and so on) are left out however they vary.
+aligned with a reference page's by simple tree matching. Elements that stand at the same place in nearly all pages
+are the template's, and so are texts that are equal there; of the template's places, the one that holds what varies
+is the content. Going down from the root, side places that hold little beside it (menus, notices, footers, whatever
+they are called) are left behind. Elements that HTML itself defines as no part of the content (nav, footer, form and
+so on) never are; words of a class are asked only where alignment can't tell: on a page that has no like, and for
+other texts (comments, adverts) within the content.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import plus, table
+from .scratch import bounded, free, look_up, plus, table
 from .url_filter import host_of
 
 # Element names of HTML.
@@ -38,28 +41,41 @@ SKIPPED = frozenset("head script style noscript template nav header footer aside
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark what is no part of an article.
 SKIPPED_CLASSES = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices popup modal newsletter subscribe "
+    "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices popup modal newsletter subscribe "
     "comment comments disqus respond sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead related share sharing social widget toolbar pagination pager skip".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-#: Those of them that mark another kind of text; the others may also stand in the class of a wrapper of the article ("has-sidebar").
+#: Those of them that mark another kind of text; the others may also stand in the class of a wrapper of the article.
 OTHER_TEXTS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion newsletter subscribe comment comments disqus respond related share sharing social".split()
+    "ad ads adv advert adverts advertisement sponsor sponsored promo newsletter subscribe comment comments disqus respond related share sharing social".split()
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Words that may stand beside these in one name ("main-nav", "ads_box") and mark nothing themselves.
+BESIDE = frozenset("site page main top bottom left right box block wrapper wrap container section area list item items links inner outer bar global primary secondary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold others rather than text, through which the content is looked for.
+CONTAINERS = frozenset("html body div section article main center table tbody tr td hgroup".split())
+#: A tag: its name ends at white space, / or >; quotes count only after =, as in browsers. One that never ends takes the rest.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+#: Elements nest no deeper in a tree; what stands deeper becomes a sibling there, as in browsers.
+DEEPEST = 512
 
 
 class Node:
     """An element, or a text (tag '#')."""
 
-    __slots__ = ("tag", "skip", "children", "text", "shape", "fixed")
+    __slots__ = ("tag", "skip", "children", "text", "shape", "fixed", "label", "mark", "place", "content", "links", "at", "slots")
 
-    def __init__(self, tag: str, skip: int = 0, text: str = ""):
-        self.tag, self.skip, self.text = tag, skip, text
+    def __init__(self, tag: str, skip: int = 0, text: str = "", label: str = ""):
+        self.tag, self.skip, self.text, self.label = tag, skip, text, label
         self.children: list[Node] = []
         self.shape: int = -1
-        self.fixed = False
+        self.fixed = False  # the template's
+        self.mark = 0  # for texts that many pages have: which
+        self.place: Node | None = None  # the reference page's node that it is aligned with
+        self.at: list[Node] = []  # of a reference page's node: all nodes aligned with it, its own among them
+        self.content = self.links = 0  # characters below it that vary, outside and inside of links
+        self.slots: list[Node] | None = None  # of a root: where alignment found the content
 
 
 #: Why an element is left out (`skip`): for good, or by a word of its class or id unless it holds an article.
@@ -76,20 +92,26 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> int:
+def _marked(name: str) -> int:
+    """What a class or an id says: each word of it has to mark what is left out, or to be neutral beside one that does."""
+    words = {part.lower() for part in _NAME_PARTS.split(name) if part}
+    found = words & SKIPPED_CLASSES
+    if not found or words - found - BESIDE:
+        return KEPT
+    return OTHER_TEXT if found & OTHER_TEXTS else BY_CLASS
+
+
+def _left_out(tag: str, own: dict[str, str], in_article: bool) -> int:
     if tag in SKIPPED:
         return KEPT if tag == "header" and in_article else LEFT_OUT  # an article's own header has its title
-    skip = KEPT
-    if attributes and not attributes.isspace():
-        own = _attributes(attributes)
-        if own.get("role", "").strip().lower() in SKIPPED_ROLES or "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
-            return LEFT_OUT
-        for value in (own.get("class", ""), own.get("id", "")):
-            if value and (tag not in ("html", "body", "article", "main") or "comment" in value.lower()):
-                words = SKIPPED_CLASSES.intersection(part.lower() for part in _NAME_PARTS.split(value))
-                if words:
-                    skip = max(skip, OTHER_TEXT if words & OTHER_TEXTS else BY_CLASS)
-    return skip
+    if not own:
+        return KEPT
+    if own.get("role", "").strip().lower() in SKIPPED_ROLES or "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+        return LEFT_OUT
+    if tag in HEADINGS or tag in ("html", "body"):
+        return KEPT
+    skip = max((_marked(x) for x in (*own.get("class", "").split(), own.get("id", ""))), default=KEPT)
+    return skip if tag not in ("article", "main") or skip == OTHER_TEXT and "comment" in own.get("class", "").lower() else KEPT
 
 
 def _open_wrappers(articles: list[list[Node]]) -> None:
@@ -118,6 +140,7 @@ def parse(source: str) -> Node:
         if raw:
             open_[-1].children.append(Node("#", text=entities.unescape(raw) if "&" in raw else raw))
 
+    names: dict[str, int] = {}  # open elements by name
     while at < n:
         m = scan(source, at)
         if m is None:
@@ -125,41 +148,55 @@ def parse(source: str) -> Node:
             break
         add_text(source[at : m.start()])
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         if tag is None:
             continue
         tag = tag.lower()
+
+        def end_from(k: int) -> None:
+            nonlocal articles
+            for x in open_[k:]:
+                names[x.tag] -= 1
+                articles -= x.tag in ("article", "main")
+            del open_[k:]
+
         if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                name = open_[k].tag
-                if name == tag:
-                    articles -= sum(x.tag in ("article", "main") for x in open_[k:])
-                    del open_[k:]
-                    break
-                if name in BLOCKS and tag not in BLOCKS:
-                    break  # an end tag of an inline element doesn't end a block
+            if names.get(tag):
+                lowest = 0 if tag in BLOCKS else max(0, len(open_) - DEEPEST)
+                for k in range(len(open_) - 1, lowest, -1):
+                    name = open_[k].tag
+                    if name == tag:
+                        end_from(k)
+                        break
+                    if name in BLOCKS and tag not in BLOCKS:
+                        break  # an end tag of an inline element doesn't end a block
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and names.get("p"):
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
-                    del open_[k:]
+                    end_from(k)
                     break
                 if open_[k].tag in BLOCKS:
                     break
         if tag in ENDS:
             ended, within = ENDS[tag]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, max(0, len(open_) - DEEPEST), -1):
                 if open_[k].tag in ended.split():
-                    del open_[k:]
+                    end_from(k)
                     break
                 if open_[k].tag in within:
                     break
-        node = Node(tag, _left_out(tag, attributes, articles > 0))
-        open_[-1].children.append(node)
+        own = _attributes(attributes) if attributes and not attributes.isspace() else {}
+        node = Node(tag, _left_out(tag, own, articles > 0), label=f"{tag}.{' '.join(own.get('class', '').split())}")
+        if len(open_) < DEEPEST:
+            open_[-1].children.append(node)
+        else:
+            open_[DEEPEST - 1].children.append(node)
+            node.skip = node.skip or open_[-1].skip
         if tag in ("article", "main") and not node.skip:
-            around.append([x for x in open_ if x.skip])
+            around.append([x for x in open_[:DEEPEST] if x.skip])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
             if tag == "textarea" or tag == "title":
@@ -167,6 +204,7 @@ def parse(source: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not (attributes or "").rstrip().endswith("/"):
             open_.append(node)
+            names[tag] = names.get(tag, 0) + 1
             articles += tag in ("article", "main")
     _open_wrappers(around)
     return root
@@ -175,9 +213,12 @@ def parse(source: str) -> Node:
 class Matcher:
     """Simple tree matching: the most pairs of nodes with equal tags that keep order and ancestry, roots matched.
 
-    Sizes depend on the trees' shapes alone, so they are kept by pairs of shapes, as is the alignment of children.
+    A pair of texts of one mark weighs EQUAL more. Sizes depend on the trees' shapes alone, so they are kept by pairs
+    of shapes, as is the alignment of children.
     """
 
+    EQUAL = 2
+
     #: Children lists of more pairs than this are aligned by rows of arrays; the alignment is the same.
     SMALL = 1 << 12
 
@@ -194,18 +235,37 @@ class Matcher:
             order.append(node)
             stack.extend(node.children)
         for node in reversed(order):
-            key = (node.tag, *[c.shape for c in node.children])
+            key = (node.tag, node.mark, *[c.shape for c in node.children])
             node.shape = self._shapes.setdefault(key, len(self._shapes))
 
     def size(self, a: Node, b: Node) -> int:
         if a.tag != b.tag:
             return 0
         if not a.children or not b.children:
-            return 1
-        key = (a.shape, b.shape)
-        if key not in self._sizes:
-            self._align(a, b, key)
-        return self._sizes[key]
+            return 1 + (self.EQUAL if a.mark and a.mark == b.mark else 0)
+        if (a.shape, b.shape) not in self._sizes:
+            todo = [(a, b)]
+            while todo:  # the pairs below come first; without recursion, as trees may be deep
+                a_, b_ = todo[-1]
+                below = self._below(a_, b_)
+                if below:
+                    todo += below
+                else:
+                    todo.pop()
+                    if (a_.shape, b_.shape) not in self._sizes:
+                        self._align(a_, b_, (a_.shape, b_.shape))
+        return self._sizes[a.shape, b.shape]
+
+    def _below(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Pairs of children whose size is yet to be known for that of a and b."""
+        if (a.shape, b.shape) in self._sizes:
+            return []
+        if a.shape == b.shape:
+            pairs = {c.shape: (c, d) for c, d in zip(a.children, b.children)}.values()
+        else:
+            x, y = ({c.shape: c for c in n.children if c.children}.values() for n in (a, b))
+            pairs = ((c, d) for c in x for d in y)
+        return [(c, d) for c, d in pairs if c.tag == d.tag and c.children and d.children and (c.shape, d.shape) not in self._sizes]
 
     def _align(self, a: Node, b: Node, key: tuple[int, int]) -> None:
         x, y = a.children, b.children
@@ -300,44 +360,210 @@ class Matcher:
                     j -= 1
         return pairs[::-1], total
 
-    def texts(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
-        """Pairs of texts that the alignment of the trees a and b puts at one place."""
+    def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        """Pairs of nodes that the alignment of the trees a and b puts at one place, from the roots down."""
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            if a.tag == "#":
-                yield a, b
-            elif a.children and b.children and self.size(a, b):
+            yield a, b
+            if a.children and b.children and self.size(a, b):
                 x, y = a.children, b.children
                 stack.extend((x[i], y[j]) for i, j in self._pairs[a.shape, b.shape])
 
 
-#: Pages in which a text has to stand at one place, at least, and as a share of a block's, to be the template's.
-SUPPORT, SHARE = 6, 0.9
+#: How sure it has to be that a page has what k of n pages have, by the rule of succession.
+SURE = 0.8
+#: Places that hold less than this share of what the fullest beside them holds are no content.
+LEAST_SHARE = 0.1
+#: A level whose own texts, headings apart, are this share of what varies there is the content; so is one with a heading that varies.
+OWN_TEXT = 0.05
+#: Below this share of text outside of links, a place of the template is a list of links.
+LEAST_TEXT = 0.3
+
+
+def usual(k: int, n: int) -> bool:
+    """Whether what stands in k of n pages is the template's: three pages are the least that can tell."""
+    return (k + 1) / (n + 2) >= SURE
 
 
 def induce(pages: list[Node]) -> None:
-    """Marks the texts of pages of one template that are the template's (`fixed`).
+    """Finds the content of pages of one template: `slots` of each root where alignment tells, and below them the texts
+    that are the template's (`fixed`).
 
-    The reference is the page of median size; a text of it that nearly all other pages have at the place that the
-    alignment gives is constant, and is marked in every page that has it there.
+    The reference is the page of median size. A text of it is constant if nearly all pages have it at the place that
+    the alignment gives; of the elements, those that nearly all pages have are the template's places. From the root,
+    `_content_places` goes down to the places that hold what varies.
     """
-    if len(pages) < SUPPORT:
+    n = len(pages)
+    if not usual(n, n):
         return
+    _mark_common(pages)
     matcher = Matcher()
     for p in pages:
         matcher.shape(p)
-    reference = sorted(pages, key=_count)[len(pages) // 2]
-    met: dict[int, list[Node]] = {}
+    reference = sorted(pages, key=_count)[n // 2]
     for p in pages:
-        if p is not reference:
-            for a, b in matcher.texts(reference, p):
-                if a.text.strip() and " ".join(a.text.split()) == " ".join(b.text.split()):
-                    met.setdefault(id(a), [a]).append(b)
-    for nodes in met.values():
-        if len(nodes) >= max(SUPPORT, SHARE * len(pages)):
-            for x in nodes:
+        for a, b in matcher.pairs(reference, p):
+            b.place = a
+            a.at.append(b)
+    for r in _nodes(reference):
+        own = " ".join(r.text.split()) if r.tag == "#" else ""
+        if own:
+            equal = [x for x in r.at if " ".join(x.text.split()) == own]
+            for x in equal if usual(len(equal), n) else ():
                 x.fixed = True
+    for p in pages:
+        _weigh(p)
+    places, within, labels = _content_places(reference, n)
+    wanted = {id(r) for r in places}
+    for p in pages:
+        slots = _slots(p, wanted, within, labels, n)
+        if slots:
+            p.slots = [x for x, _ in slots]
+            for x, marked in slots:
+                _settle(x, marked)
+
+
+def _nodes(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(reversed(node.children))
+
+
+def _mark_common(pages: list[Node]) -> None:
+    """Gives texts that at least half of the pages have a mark each, so that alignment prefers to pair them."""
+    held: dict[str, int] = {}
+    texts = [[(x, t) for x in _nodes(p) if x.tag == "#" and (t := " ".join(x.text.split()))] for p in pages]
+    for own in texts:
+        for t in {t for _, t in own}:
+            held[t] = held.get(t, 0) + 1
+    marks = {t: k + 1 for k, t in enumerate(t for t, k in held.items() if 2 * k >= len(pages))}
+    for own in texts:
+        for x, t in own:
+            x.mark = marks.get(t, 0)
+
+
+def _weigh(root: Node) -> None:
+    """Characters that vary below each node, outside of links (`content`) and in them; what is left out has none for those above."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        order.append(node)
+        if node.tag == "#" and not node.fixed:
+            size = len(" ".join(node.text.split()))
+            node.content, node.links = (0, size) if linked else (size, 0)
+        stack.extend((c, linked or node.tag == "a") for c in node.children)
+    for node in reversed(order):
+        for c in node.children:
+            if not c.skip:
+                node.content += c.content
+                node.links += c.links
+
+
+def _content_places(reference: Node, n: int) -> tuple[list[Node], Node | None, set[str]]:
+    """(places of the reference that hold the content, the place around them, labels): a child of that place without a
+    place of its own in the template is content too if it has one of the labels, as one more of a list of records.
+
+    From the root it goes down to the fullest place. A level with headings or much text of its own that varies is the
+    content as a whole; of other levels, places that hold little beside the fullest are left behind.
+    """
+    node = reference
+    while True:
+        whole = sum(x.content for x in node.at)
+        if not whole:
+            return [], None, set()
+        total = {id(c): sum(x.content for x in c.at) for c in node.children}
+        here = [c for c in node.children if c.tag != "#" and not c.skip and usual(len(c.at), n)]
+        boxes = [c for c in here if c.tag in CONTAINERS]
+        lists = [c for c in boxes if c.tag not in ("article", "main") and total[id(c)] < LEAST_TEXT * (total[id(c)] + sum(x.links for x in c.at))]
+        full = [c for c in boxes if c not in lists and total[id(c)]]
+        best = max(full, key=lambda c: total[id(c)], default=None)
+        heading, records = any(c.tag in HEADINGS and total[id(c)] for c in here), 0
+        for x in node.at if best else ():
+            for c in x.children:
+                if not c.skip and (c.place is None or not usual(len(c.place.at), n)):
+                    records += c.content if c.label == best.label else 0
+                    heading = heading or c.tag in HEADINGS and c.content > 0
+        own = whole - records - sum(total[id(c)] for c in boxes)
+        if best is None or heading or own >= OWN_TEXT * whole:
+            marked = [r for r in _outermost(node) if not r.skip and usual(len(r.at), n)]
+            if node.tag not in ("article", "main") and 2 * sum(x.content for r in marked for x in r.at) >= whole:
+                return marked, None, set()  # what the pages themselves call their article is most of it
+            for c in lists:
+                for x in c.at:
+                    x.skip = LEFT_OUT
+            return [node], None, set()
+        kept = [c for c in full if c.label == best.label or total[id(c)] >= LEAST_SHARE * total[id(best)]]
+        if len(kept) == 1 and not records:
+            node = best
+            continue
+        marked = [c for c in kept if c.tag in ("article", "main") or any(True for _ in _outermost(c))]
+        return marked or kept, node, {best.label} if best in (marked or kept) else set()
+
+
+def _slots(root: Node, wanted: set[int], within: Node | None, labels: set[str], n: int) -> list[tuple[Node, bool]]:
+    """The nodes of a page that stand at the content's places, in page order, and whether each is an article, holds one or is in one."""
+    found, stack = [], [(root, False, False)]
+    while stack:
+        node, marked, beside = stack.pop()
+        marked = marked or node.tag in ("article", "main")
+        record = beside and not node.skip and node.label in labels and (node.place is None or not usual(len(node.place.at), n))
+        if record or id(node.place) in wanted and node.place is not None:
+            found.append((node, marked or any(True for _ in _outermost(node))))
+        elif not node.skip:
+            stack.extend((c, marked, within is not None and node.place is within) for c in reversed(node.children))
+    return found
+
+
+LISTED = frozenset("li td th tr dd dt".split())
+
+
+def _settle(slot: Node, marked: bool) -> None:
+    """Decides on the constant texts of a slot: a block of them stays the template's (`fixed`) unless it is the article's own.
+
+    It is where a neighbour of its kind varies (a sentence that a host's articles share), or where it heads what varies;
+    outside of articles that call themselves so, it has to stand between such neighbours, unless it is a list's item.
+    Of a block of which a part varies, nothing is the template's, nor of a slot in which nothing varies.
+    """
+    if not slot.content + slot.links:
+        _free(slot)
+        return
+    stack = [slot]
+    while stack:
+        node = stack.pop()
+        own, kids, inline = [], [], list(reversed(node.children))
+        while inline:  # the node's own text, and the blocks in it
+            x = inline.pop()
+            if x.tag == "#":
+                own.append(x)
+            elif not x.skip:
+                if x.tag in BLOCKS:
+                    kids.append(x)
+                else:
+                    inline.extend(reversed(x.children))
+        if any(x.text.strip() and not x.fixed for x in own):
+            for x in own:
+                x.fixed = False
+        varies = [bool(k.content + k.links) for k in kids]
+        labels: dict[str, int] = {}
+        for k, v in zip(kids, varies):
+            labels[k.label] = labels.get(k.label, 0) + v
+        first = varies.index(True) if any(varies) else len(kids)
+        last = len(kids) - 1 - varies[::-1].index(True) if any(varies) else -1
+        for i, k in enumerate(kids):
+            if varies[i]:
+                stack.append(k)
+            else:
+                before, after, same = first < i, last > i, labels[k.label] > 0
+                if same and (marked or k.tag in LISTED or before and after) or k.tag in HEADINGS and after and (marked or before):
+                    _free(k)
+
+
+def _free(node: Node) -> None:
+    for x in _nodes(node):
+        x.fixed = False
 
 
 def _count(root: Node) -> int:
@@ -350,8 +576,9 @@ def _count(root: Node) -> int:
 
 
 def main_text(root: Node) -> str:
-    """The content's blocks: within article or main elements where there are such, else in the whole body."""
-    tops = [x for x in _outermost(root) if not x.skip] or [root]
+    """The content's blocks: those of the slots that alignment found; else within article or main elements where there
+    are such, or in the whole body."""
+    tops = root.slots or [x for x in _outermost(root) if not x.skip] or [root]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -368,9 +595,9 @@ def main_text(root: Node) -> str:
             if node is None:
                 end()
             elif node.tag == "#":
-                if not node.fixed:
+                if not (node.fixed and root.slots):
                     line.append(node.text)
-            elif not node.skip:
+            elif not node.skip or node is top:
                 if node.tag == "br":
                     line.append(" ")
                 if node.tag in BLOCKS:
@@ -404,82 +631,80 @@ def texts_of(pages: list[str], templated: bool) -> list[str]:
     for source, tree in trees.items():
         first.setdefault(plain[source], tree)
     induce(list(first.values()))
-    text = {whole: main_text(tree) for whole, tree in first.items()}
+    text = {whole: main_text(tree) or whole for whole, tree in first.items()}
     return [text[plain[source]] for source in pages]
 
 
 BLOCK_PAGES = 48
 #: Pages with more equal rows on their host than this are read once, and their text is joined to those rows.
 MOST_COPIES = 16
-#: Rows of one such page that meet in one task of that join, about.
-COPIES_AT_ONCE = 4096
-#: Hosts of more than one block, and pages with many copies, that are broadcast at most; beyond, pages are joined with them by a shuffle.
-MOST_BROADCAST = 50_000
+#: Bytes of such pages' texts that are broadcast at most, if not the longest alone has more.
+MOST_TEXT = 32 << 20
 EXTRACTED = "text string, n_chars long"
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """pages (with url and html) plus text and n_chars, replacing columns of these names; others pass through.
 
     A null html is an empty page with empty text. Pages are grouped by host; a host with many different pages is
     dealt into blocks of about BLOCK_PAGES by a hash of html, so a hot host is as many tasks' work as it has blocks,
     and each block induces its wrapper from its own pages. Pages without a host (a null url, or one without ://) and
-    blocks with fewer than SUPPORT different pages have no template taken off. Malformed markup is read as browsers
-    would, nearly. Rows with equal html on one host are one page in this: it counts once towards the template, and
-    they all get its text; where they are many they don't meet in one task. Such pages are told apart by 64-bit
-    hashes within their host. Memory is one block's trees and rows.
+    those of blocks of one or two different pages have nothing to be compared with: there the page's own article or
+    main element counts, else all but what its elements and classes mark. Malformed markup is read as browsers would,
+    nearly; elements nest 512 deep. Rows with equal html on one host are one page in this: it counts once, and they
+    all get its text; where they are many they don't meet in one task. Such pages are told apart by 64-bit hashes
+    within their host. Memory is one block's trees and rows.
     """
     keep = pages.drop("text", "n_chars")
     schema = plus(keep, EXTRACTED)
-    at = keep.withColumn("_host", host_of(F.col("url"))).withColumn("_page", F.xxhash64(F.coalesce("html", F.lit(""))))
-    counted = table(at.groupBy("_host", "_page").agg(F.count("*").alias("_rows")), "pages")
-    large = table(counted.groupBy("_host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("_blocks")).where("_blocks > 1"), "hosts")
-    hosts = _bounded(large)
+    host, page, block, lead, rows_, blocks = free(keep, "host", "page", "block", "lead", "rows", "blocks")
+    at = keep.withColumn(host, host_of(F.col("url"))).withColumn(page, F.xxhash64(F.coalesce("html", F.lit(""))))
+    counted = table(at.groupBy(host, page).agg(F.count("*").alias(rows_)), "pages")
+    large = table(counted.groupBy(host).agg(F.ceil(F.count("*") / BLOCK_PAGES).alias(blocks)).where(F.col(blocks) > 1), "hosts")
+    hosts = bounded(large)
 
     def dealt(rows: DataFrame) -> DataFrame:
-        found = rows.join(hosts, "_host", "left")
-        return found.withColumn("_block", F.xxhash64("_host", F.pmod("_page", F.coalesce("_blocks", F.lit(1))))).select(*rows.columns, "_block")
+        found = rows.join(hosts, host, "left")
+        return found.withColumn(block, F.xxhash64(host, F.pmod(page, F.coalesce(blocks, F.lit(1))))).select(*rows.columns, block)
 
     def read(rows: DataFrame, out: StructType, leads: bool) -> DataFrame:
-        rows = rows.repartition("_block").sortWithinPartitions("_block")
-        return rows.mapInArrow(lambda batches: _read(batches, out.names, leads), out)
+        rows = rows.repartition(block).sortWithinPartitions(block)
+        return rows.mapInArrow(lambda batches: _read(batches, out.names, leads, block, host, lead), out)
 
-    often = table(counted.where(F.col("_rows") > MOST_COPIES), "copied")
+    often = table(counted.where(F.col(rows_) > MOST_COPIES), "copied")
     if often.isEmpty():
-        rows = dealt(at).select(*keep.columns, "_host", "_page", "_block", F.lit(False).alias("_lead"))
+        rows = dealt(at).select(*keep.columns, host, page, block, F.lit(False).alias(lead))
         return read(rows, schema, False)
-    named = _bounded(often.drop("_rows"))
     # one row of each page with many copies takes part in its block
-    copied = at.join(named, ["_host", "_page"], "left_semi")
-    leads = table(dealt(copied.select("_host", "_page", "html").dropDuplicates(["_host", "_page"])), "leads")
-    rare = dealt(at.join(named, ["_host", "_page"], "left_anti"))
+    named = bounded(often.drop(rows_))
+    copied = at.join(named, [host, page], "left_semi")
+    leads = table(dealt(copied.select(host, page, "html").dropDuplicates([host, page])), "leads")
+    rare = dealt(at.join(named, [host, page], "left_anti"))
     own = [F.col("html") if c == "html" else F.lit(None).cast(keep.schema[c].dataType).alias(c) for c in keep.columns]
-    ends = ["_host", "_page", "_block"]
-    rows = rare.select(*keep.columns, *ends, F.lit(False).alias("_lead")).unionByName(leads.select(*own, *ends, F.lit(True).alias("_lead")))
+    ends = [host, page, block]
+    rows = rare.select(*keep.columns, *ends, F.lit(False).alias(lead)).unionByName(leads.select(*own, *ends, F.lit(True).alias(lead)))
     # their texts come from the blocks that they are in
-    beside = rare.select("html", *ends).join(_bounded(table(leads.select("_block").distinct(), "blocks")), "_block", "left_semi")
-    voters = beside.select("html", *ends, F.lit(False).alias("_lead")).unionByName(leads.select("html", *ends, F.lit(True).alias("_lead")))
-    texts = table(read(voters, StructType.fromDDL("_host string, _page long, " + EXTRACTED), True), "texts")
-    shares = often.withColumn("_shares", F.ceil(F.col("_rows") / COPIES_AT_ONCE)).drop("_rows")
-    texts = texts.join(_bounded(shares), ["_host", "_page"]).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
-    numbered = at.withColumn("_row", F.monotonically_increasing_id())
-    copied = numbered.join(_bounded(shares), ["_host", "_page"]).withColumn("_share", F.pmod("_row", "_shares")).drop("_shares", "_row")
-    copies = copied.join(texts.drop("_shares"), ["_host", "_page", "_share"]).select(*keep.columns, "text", "n_chars")
-    return read(rows, schema, False).unionByName(copies)
-
-
-def _read(batches: Iterator[pa.RecordBatch], names: list[str], leads: bool) -> Iterator[pa.RecordBatch]:
-    """The named columns of rows sorted by _block, with texts; of rows with _lead if `leads`, else of the others."""
+    beside = rare.select("html", *ends).join(bounded(table(leads.select(block).distinct(), "blocks")), block, "left_semi")
+    voters = beside.select("html", *ends, F.lit(False).alias(lead)).unionByName(leads.select("html", *ends, F.lit(True).alias(lead)))
+    texts = table(read(voters, StructType([*leads.select(host, page).schema.fields, *StructType.fromDDL(EXTRACTED).fields]), True), "texts")
+    key = F.xxhash64(host, page)
+    texts = texts.join(bounded(often), [host, page]).select(key.alias(block), rows_, "text", "n_chars")
+    longest = texts.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    copies = look_up(copied.withColumn(block, key), texts, block, rows_, "inner", max(1, MOST_TEXT // (longest + 100)))
+    return read(rows, schema, False).unionByName(copies.select(*keep.columns, "text", "n_chars"))
+
+
+def _read(batches: Iterator[pa.RecordBatch], names: list[str], leads: bool, block: str, host: str, lead: str) -> Iterator[pa.RecordBatch]:
+    """The named columns of rows sorted by block, with texts; of leading rows if `leads`, else of the others."""
     held: list[pa.RecordBatch] = []
 
+    def blocks_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(batch.schema.get_field_index(block)).to_numpy()
+
     def flush() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        blocks, hosts, htmls = (t.column(c).to_pylist() for c in ("_block", "_host", "html"))
+        blocks, hosts, htmls = (t.column(c).to_pylist() for c in (block, host, "html"))
         texts: list[str] = []
         start = 0
         for i in range(1, len(blocks) + 1):
@@ -488,18 +713,18 @@ def _read(batches: Iterator[pa.RecordBatch], names: list[str], leads: bool) -> I
                 start = i
         made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
         out = pa.table([made[c] if c in made else t.column(c) for c in names], names=names)
-        out = out.filter(t.column("_lead") if leads else pc.invert(t.column("_lead"))).combine_chunks()
+        out = out.filter(t.column(lead) if leads else pc.invert(t.column(lead))).combine_chunks()
         return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names=names)
 
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             batch = whole.slice(i, 256)
-            block = batch.column(batch.schema.get_field_index("_block")).to_numpy()
-            cut = int((block == block[-1]).argmax())  # the last block may go on
+            own = blocks_of(batch)
+            cut = int((own == own[-1]).argmax())  # the last block may go on
             if cut:
                 held.append(batch.slice(0, cut))
                 yield flush()
-            elif held and held[-1].column(batch.schema.get_field_index("_block"))[-1].as_py() != block[0]:
+            elif held and blocks_of(held[-1])[-1] != own[0]:
                 yield flush()
             held.append(batch.slice(cut))
     if held:

@@ -91,17 +91,18 @@ def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def look_up(rows: DataFrame, keyed: DataFrame, key: str, times: str, how: str = "left") -> DataFrame:
+def look_up(rows: DataFrame, keyed: DataFrame, key: str, times: str, how: str = "left", most: int | None = None) -> DataFrame:
     """rows joined (left or inner) with keyed, which has one row for each value of `key` and in `times` how many of rows have it.
 
-    A small keyed is broadcast. A larger one meets rows in a shuffle, but for the keys that more than one in
-    MOST_BROADCAST of rows have: those are fewer than MOST_BROADCAST, so they are broadcast and no task takes a hot
+    A keyed of `most` rows (MOST_BROADCAST) is broadcast. A larger one meets rows in a shuffle, but for the keys that
+    more than one in `most` of rows have: those are fewer than `most`, so they are broadcast and no task takes a hot
     key's rows. Rows with a null key meet nothing and are not shuffled.
     """
+    most = MOST_BROADCAST if most is None else most
     keyed = keyed.where(F.col(key).isNotNull())
-    if keyed.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if keyed.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(keyed), key, how)
-    share = keyed.agg(F.sum(times)).first()[0] // MOST_BROADCAST + 1
+    share = keyed.agg(F.sum(times)).first()[0] // max(1, most) + 1
     hot, cold = F.broadcast(keyed.where(F.col(times) >= share)), keyed.where(F.col(times) < share)
     full = rows.where(F.col(key).isNotNull())
     out = full.join(hot, key).unionByName(full.join(hot, key, "left_anti").join(cold, key, how))
