@@ -107,9 +107,11 @@ def frames(payload: bytes, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, n
 def segments(level: np.ndarray) -> list[tuple[int, int]]:
     """(first frame, frame after the last) of stretches that open above OPEN_AT and close below CLOSE_AT.
 
-    Levels are taken from the median, but at least from -6, so that silence has no segment.
+    Levels are taken from the median, but at least from -6, so that silence has no segment. Both are rounded to
+    thousandths, so that the last bits of a sum decide nothing.
     """
-    level = level - max(-6.0, float(np.median(level)))
+    level = np.round(level.astype(np.float64), 3)
+    level = np.round(level - max(-6.0, float(np.median(level))), 3)
     state = np.zeros(len(level), np.int8)
     state[level > OPEN_AT] = 1
     state[level < CLOSE_AT] = -1
@@ -209,4 +211,4 @@ def describe_media(stored: DataFrame, want_tensors: bool = True) -> DataFrame:
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = store_media(docs).select("doc_id", "n_bytes", "media")
-    return describe_media(stored, want_tensors=False)
+    return describe_media(stored)

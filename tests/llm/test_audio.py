@@ -56,3 +56,58 @@ def test_payloads_come_back(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert audio.describe_media(audio.store_media(empty)).count() == 0
+
+
+def brute_features(payload):
+    """The feature string by plain loops over samples, frames and bins, in double precision."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    half = 16 * 2
+    n = np.arange(-half, half + 1)
+    taps = 0.5 * np.sinc(n / 2) * np.hamming(len(n))
+    y = np.array([sum(taps[k + half] * x[i - k] for k in range(-half, half + 1) if 0 <= i - k < len(x)) for i in range(0, len(x), 2)])
+    count = max(1, -(-(len(y) - 200) // 80) + 1)
+    y = np.concatenate([y, np.zeros(max(0, (count - 1) * 80 + 200 - len(y)))])
+    mel, level = [], []
+    for f in range(count):
+        frame = y[f * 80 : f * 80 + 200]
+        power = np.abs(np.fft.fft(frame * np.hanning(200), 256)[:129]) ** 2
+        mel.append(np.maximum(-10, np.log10(power @ audio.mel_bank().astype(float) + 1e-10)))
+        level.append(np.log10((frame**2).mean() + 1e-10))
+    level = np.round(level, 3)
+    level = np.round(level - max(-6, np.median(level)), 3)
+    spans, start = [], None
+    for k, v in enumerate([*level, -1.0]):
+        if start is None and v > 0.03:
+            start = k
+        elif start is not None and v < -0.01:
+            spans.append((start, k))
+            start = None
+    if start is not None:
+        spans.append((start, len(level)))
+    return np.array(mel), [(a * 0.01, (b - 1) * 0.01 + 0.025) for a, b in spans]
+
+
+@pytest.mark.parametrize("text", ["", "short", "The quick brown fox jumps over the lazy dog. " * 40, "Aa zz " * 300 + "\x00\x01" * 900 + "ÿé日本 " * 200])
+def test_features_against_brute_force(text):
+    payload = audio.pad(text.encode())
+    stored, n, spans = audio.features(payload)
+    mel, want = brute_features(payload)
+    t = audio.read_tensors(stored)
+    got = t.column(0).to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert n == t.num_rows == -(-len(mel) // audio.ROWS)
+    assert np.allclose(got[: len(mel)], mel, atol=2e-2) and (got[len(mel) :] == audio.FLOOR).all()
+    assert len(spans) == len(want) and np.allclose(spans, want) if want else not spans
+
+
+def test_the_query_stores_tensors(spark):
+    out = audio.op3_audio_features(spark, "/root/testdata/sf0.001").limit(3).collect()
+    for r in out:
+        t = audio.read_tensors(r["tensors"])
+        assert t.column(0).type.shape == [audio.ROWS, audio.MELS] and r["feature"].startswith(f"mel={t.num_rows}x")
+        assert all(s["start"] < s["end"] for s in r["segments"])
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "many words " * 400_000)], "doc_id long, text string")
+    r = audio.describe_media(audio.store_media(docs)).first()
+    assert r["payload_bytes"] == 4_400_000 and audio.read_tensors(r["tensors"]).num_rows == -(-(-(-(2_200_000 - 200) // 80) + 1) // 32)
