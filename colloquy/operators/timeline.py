@@ -94,6 +94,12 @@ def participation(segments: DataFrame, key: str, duration: Column | None = None)
     return sums.withColumn("percentage", F.when(total > 0, F.col("duration") / total * 100).otherwise(F.lit(0.0)))
 
 
+def participation_segments(segments: DataFrame, key: str) -> DataFrame:
+    """(key, speaker, segments): each speaker's stretches (start, end) in order; one row holds a speaker's of one meeting."""
+    own = segments.select(key, F.coalesce("speaker", F.lit("unknown")).alias("speaker"), F.coalesce("start_time", F.lit(0.0)).alias("start"), F.coalesce("end_time", F.lit(0.0)).alias("end"))
+    return own.groupBy(key, "speaker").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("segments"))
+
+
 def voice_runs(frames: DataFrame, key: str, order: str, loud: Column, start: Column, end: Column, least: float = 0.5) -> DataFrame:
     """(key, start, end): runs of loud frames of at least so many seconds."""
     marked = runs(frames.withColumn("_loud", loud).withColumn("_s", start).withColumn("_e", end), key, order, "_loud").where("_loud")

@@ -525,12 +525,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (micros("ts") / 1e6).alias("at"), (F.col("value") / 500).alias("level"), F.lit(20.0).alias("seconds"))
 
 
-@query()
+@query()  # its SQL is in operator_queries
 def meeting_detector(spark: SparkSession, d: str) -> DataFrame:
     return live.meetings_in(_chunks(spark, d))
 
 
-@query()
+@query()  # its SQL is in operator_queries
 def buffer_flush(spark: SparkSession, d: str) -> DataFrame:
     return live.pieces_in(_chunks(spark, d), pause=40.0, longest=200.0).select("key", "start", "end", F.size("chunks").alias("n"))
 
@@ -656,3 +656,8 @@ def kmeans_diarize(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").withColumn("path", F.lit("a"))
     frames = e.select("path", n.alias("i"), F.col("embedding").cast("array<double>").alias("features"), (F.abs(F.hash("vec_id")) % 1000 / 1000).alias("rms"))
     return diarize.diarize(frames.withColumn("duration", F.max("i").over(Window.partitionBy("path")) * 512 / 16000 + 0.032), "path", speakers=3)
+
+
+from . import operator_queries  # noqa: E402  it adds its queries to those above
+
+ORACLES |= {"meeting_detector": operator_queries.MEETING_SQL, "buffer_flush": operator_queries.PIECES_SQL}

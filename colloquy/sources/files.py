@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import wave
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -94,8 +95,12 @@ def policies(texts: DataFrame, lexicon=None) -> DataFrame:
 
 def most_frequent(words: Column, n: int) -> Column:
     """The n most frequent of an array, ties by first place."""
-    each = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("o"), F.array_position(words, w).alias("p"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(each), 1, n), lambda x: x["w"])
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda every: [w for w, _ in Counter(every if every is not None else ()).most_common(n)])
+
+    return run(words)
 
 
 def pcm_floats(raw: bytes) -> np.ndarray:
@@ -112,8 +117,14 @@ def wav_floats(raw: bytes, rate: int = 16000) -> np.ndarray:
         x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     elif width == 2:
         x = pcm_floats(data)
+    elif width == 3:  # the three bytes become the upper ones of four
+        wide = np.zeros((len(data) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").ravel().astype(np.float32) / 2**31
+    elif width == 4:
+        x = np.frombuffer(data, "<i4").astype(np.float32) / 2**31
     else:
-        x = np.frombuffer(data, "<i4").astype(np.float32) / 2**31 if width == 4 else np.zeros(0, np.float32)
+        raise ValueError(f"samples of {width} bytes")
     x = x.reshape(-1, channels).mean(1) if channels > 1 else x
     if own == rate or not len(x):
         return x

@@ -40,6 +40,16 @@ SEED_ITEMS = [
 MOST_PER_PAGE = 100
 
 
+def now() -> Column:
+    """The query's time, without a zone."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def new_name(stem: Column) -> Column:
+    """A name that no other row gets: the stem and a random uuid."""
+    return F.concat(stem, F.lit("_"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
+
+
 class NotFound(LookupError):
     """There is no such row, or no such page."""
 
@@ -50,6 +60,16 @@ def page(rows: DataFrame, number: int = 1, size: int = 10, newest: str = "create
     return rows.orderBy(F.desc(newest), F.desc(key)).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def total(rows: DataFrame) -> int:
+    """How many rows there are on all pages."""
+    return rows.count()
+
+
+def latest(rows: DataFrame, *keys: str, n: int = 20) -> DataFrame:
+    """The n rows with the greatest keys: a top-k."""
+    return rows.orderBy(*map(F.desc, keys)).limit(n)
+
+
 def where_given(rows: DataFrame, **values: object) -> DataFrame:
     """Rows equal to the values that are given; empty and None ones ask for nothing."""
     for name, value in values.items():
@@ -93,8 +113,13 @@ def report_view(meetings: DataFrame) -> DataFrame:
     return meetings.withColumns({k: v for k, v in shown.items() if k in meetings.columns})
 
 
-def envelope(rows: DataFrame, total: int, number: int, size: int) -> DataFrame:
-    """One JSON text with the rows, as an answer to a request for a page; page by page it is bounded by MOST_PER_PAGE."""
+def envelope(rows: DataFrame, number: int, size: int, newest: str = "created_at", key: str = "id") -> DataFrame:
+    """One JSON text with a page of rows and how many there are, as an answer to a request; it is bounded by MOST_PER_PAGE."""
+    every, rows = total(rows), page(rows, number, size, newest, key)
+    return _enveloped(rows, every, number, size)
+
+
+def _enveloped(rows: DataFrame, total: int, number: int, size: int) -> DataFrame:
     every = F.collect_list(F.struct(*rows.columns))
     return rows.agg(F.to_json(F.struct(F.lit(200).alias("code"), every.alias("data"), F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(size).alias("page_size"))).alias("body"))
 
@@ -153,6 +178,9 @@ class Store:
         top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.schema(name) if f.name not in rows.columns})
         numbered = rows.withColumn("id", F.coalesce("id", F.lit(top) + 1 + F.monotonically_increasing_id()))
+        for c in ("created_at", "updated_at"):
+            if c in numbered.columns:
+                numbered = numbered.withColumn(c, F.coalesce(c, now()))
         self.replace(name, old.unionByName(numbered.select(old.columns)))
 
     def get(self, name: str, key: int) -> dict:
@@ -165,6 +193,8 @@ class Store:
         """Changes the given values of a row, none other."""
         self.get(name, key)
         rows = self.table(name)
+        if "updated_at" in rows.columns:
+            rows = rows.withColumn("updated_at", F.when(F.col("id") == key, now()).otherwise(F.col("updated_at")))
         fields = {f.name: f.dataType for f in rows.schema}
         self.replace(name, rows.withColumns({c: F.when(F.col("id") == key, F.lit(v).cast(fields[c])).otherwise(F.col(c)) for c, v in values.items() if c in fields and c != "id"}))
 
@@ -232,4 +262,4 @@ class Store:
 
     def diagnose(self) -> dict[str, dict]:
         """For each table its columns, its number of rows and its last twenty rows."""
-        return {n: {"columns": self.table(n).dtypes, "count": self.table(n).count(), "last": [r.asDict(True) for r in self.table(n).orderBy(F.desc("id")).limit(20).collect()]} for n in TABLES}
+        return {n: {"columns": self.table(n).dtypes, "count": self.table(n).count(), "last": [r.asDict(True) for r in latest(self.table(n), "id").collect()]} for n in TABLES}

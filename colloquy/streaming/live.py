@@ -40,18 +40,24 @@ def pieces_in(chunks: DataFrame, **settings: float) -> DataFrame:
 
 
 def meetings_stream(chunks: DataFrame) -> DataFrame:
-    """The same events from a stream of chunks; a device that is silent for IDLE loses its state."""
+    """The same events from a stream of chunks; a device that is silent for IDLE loses its state, which ends its meeting."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        d, last = Detector(), 0.0
+        if state.exists:
+            *kept, last = state.get
+            d.restore(*kept)
         if state.hasTimedOut:
+            over = [(key[0], "end", last, last - d.started)] if d.active else []
             state.remove()
+            yield pd.DataFrame(over, columns=["key", "event", "at", "value"])
             return
-        d = Detector().restore(*state.get) if state.exists else Detector()
-        yield _events(key[0], pd.concat(list(batches)), d)
-        state.update(d.state())
+        t = pd.concat(list(batches))
+        yield _events(key[0], t, d)
+        state.update((*d.state(), float(max(last, t["at"].max()))))
         state.setTimeoutDuration(600_000)
 
-    return chunks.groupBy("key").applyInPandasWithState(run, EVENTS, "active boolean, speech double, silence double, started double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("key").applyInPandasWithState(run, EVENTS, "active boolean, speech double, silence double, started double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def pieces_stream(chunks: DataFrame, **settings: float) -> DataFrame:
