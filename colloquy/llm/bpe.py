@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import plus
+from .scratch import lean, plus
 
 #: White space as Unicode defines the property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -300,14 +300,14 @@ class Decoder:
 
 
 class Words(dict):
-    """For pre-tokens: their ids as text, what these decode to, and how many there are. At most `room` are kept."""
+    """For pre-tokens: their ids as text, what these decode to (both in UTF-8), and the ids as 32-bit numbers. At most `room` are kept."""
 
-    def __init__(self, model: WordBPE, room: int = 500_000, longest: int = 48):
+    def __init__(self, model: WordBPE, room: int = 150_000, longest: int = 32):
         super().__init__()
         self._decoder = Decoder(model)
         self.model, self._room, self._longest = model, room, longest
 
-    def __missing__(self, word: str) -> tuple[str, str, int]:
+    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes]:
         at = Transducer(self.model)
         found = self.of(at.feed(word.encode("utf-8", "replace")) + at.close())
         if len(word) <= self._longest:
@@ -316,9 +316,9 @@ class Words(dict):
             self[word] = found
         return found
 
-    def of(self, ids: list[int]) -> tuple[str, str, int]:
+    def of(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
         self._decoder.reset()
-        return " ".join(map(str, ids)), self._decoder.feed(ids), len(ids)
+        return " ".join(map(str, ids)).encode(), self._decoder.feed(ids).encode(), array.array("i", ids).tobytes()
 
 
 class Sink:
@@ -327,17 +327,19 @@ class Sink:
     def __init__(self, keep_ids: bool = False, keep_decoded: bool = False):
         self.n, self._ids, self._decoded = 0, hashlib.sha256(), hashlib.sha256()
         self.ids = array.array("i") if keep_ids else None
-        self.decoded: list[str] | None = [] if keep_decoded else None
+        self.decoded: list[bytes] | None = [] if keep_decoded else None
 
-    def add(self, ids: str, decoded: str, n: int, begun: bool = False) -> None:
+    def add(self, ids: bytes, decoded: bytes, packed: bytes, begun: bool = False) -> None:
         """ids joined by spaces; decoded says what they are, with the space before them if a piece has `begun`."""
-        if n:
-            self._ids.update(((" " if self.n else "") + ids).encode())
-            decoded = " " + decoded if self.n and not begun else decoded
-            self._decoded.update(decoded.encode())
-            self.n += n
+        if packed:
+            if self.n:
+                self._ids.update(b" ")
+                decoded = decoded if begun else b" " + decoded
+            self._ids.update(ids)
+            self._decoded.update(decoded)
+            self.n += len(packed) // 4
             if self.ids is not None:
-                self.ids.extend(map(int, ids.split(" ")))
+                self.ids.frombytes(packed)
             if self.decoded is not None:
                 self.decoded.append(decoded)
 
@@ -355,13 +357,16 @@ def transduce(text: str, words: Words, sink: Sink) -> None:
             if at is None:
                 at, decoder, begun = Transducer(words.model), Decoder(words.model), False
             ids = at.feed(part.text.encode("utf-8", "replace")) + (at.close() if part.last else [])
-            sink.add(" ".join(map(str, ids)), decoder.feed(ids), len(ids), begun)
+            sink.add(" ".join(map(str, ids)).encode(), decoder.feed(ids).encode(), array.array("i", ids).tobytes(), begun)
             begun = begun or bool(ids)
             if part.last:
                 at = None
-        else:
-            entries = [*map(words.__getitem__, part)]
-            sink.add(" ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries]))
+        elif part:
+            sink.add(*map(_join, (b" ", b" ", b""), zip(*map(words.__getitem__, part))))
+
+
+def _join(between: bytes, parts: tuple[bytes, ...]) -> bytes:
+    return between.join(parts)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, want: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -376,6 +381,7 @@ def encode(docs: DataFrame, tokenizer_path: str, want: tuple[str, ...] = ("ids",
     wanted = [w for w in ("ids", "decoded") if w in want]
     schema = plus(keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[w] for w in wanted))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(WordBPE(tokenizer_path))
         for whole in batches:
@@ -390,13 +396,13 @@ def encode(docs: DataFrame, tokenizer_path: str, want: tuple[str, ...] = ("ids",
                     ends = np.cumsum([0, *(s.n for s in sinks)])
                     made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.frombuffer(s.ids, np.int32) for s in sinks]))))
                 if "decoded" in wanted:
-                    made.append(pa.array(["".join(s.decoded) for s in sinks], pa.string()))
+                    made.append(pa.array([b"".join(s.decoded).decode() for s in sinks], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return keep.mapInArrow(run, schema)
 
 
-SLICE = 256
+SLICE = 64
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import plus
+from .scratch import lean, plus
 from .words import mix, word_hashes
 
 #: Edits per word of an item that a leak may have, rounded down.
@@ -407,6 +407,7 @@ def _search(docs: DataFrame, block: Block, clean: bool) -> DataFrame:
     keep = docs if clean else docs.drop(*(x.split()[0] for x in FOUND.split(", ")))
     schema = keep.schema if clean else plus(keep.drop("text"), FOUND)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, phrases, items, ids = sent.value
         for whole in batches:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import plus
+from .scratch import lean, plus
 
 PIECE, LEVEL = 2048, 6
 #: Each piece is compressed so many times over, in one go: else zstandard stores a piece of few words as it is, whatever
@@ -134,6 +134,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
 
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = Languages(sent.value)
         for batch in batches:

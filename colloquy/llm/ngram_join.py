@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bounded, free, release, table
+from .scratch import bounded, free, lean, release, table
 from .words import mix, shingle_sets, word_hashes
 
 THRESHOLD, SIZE = 0.8, 5
@@ -60,6 +60,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """(doc_id, same, text) to (doc_id, same, h1, h2, n, bands, rest); rows without words have a null h1."""
     for whole in batches:
@@ -175,6 +176,7 @@ def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, into: list[tuple[int,
             into.append((int(ids[x]), int(ids[y])))
 
 
+@lean
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tile, alone, side, vid, rest) to a spanning forest, for each tile, of the pairs that the comparison keeps."""
     least = least_matches()
@@ -199,7 +201,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 8192) -> np.ndarray:
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all sets in left with all in right (indices), by products of incidence matrices."""
     used = np.union1d(left, right)
     flat = np.concatenate([sets[i] for i in used.tolist()])
@@ -222,6 +224,7 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns:
     return out
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (tile, alone, side, vid, weight, shingles, band, bands) to (kind, a, b): the links of a text, as the sum of
     the weights of those that the tile links to it (kind 0), and a spanning forest of the links (kind 1).
@@ -260,6 +263,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         )
 
 
+@lean
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vid, text) to the same with the text's set in its place."""
     for whole in batches:

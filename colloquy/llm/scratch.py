@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -110,3 +115,22 @@ def look_up(rows: DataFrame, keyed: DataFrame, key: str, times: str, how: str =
         return out
     bare = rows.where(F.col(key).isNull())
     return out.unionByName(bare.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema if f.name != key)))
+
+
+def lean(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A step over Arrow batches that gives its memory back when a task ends: workers live on through many stages, and
+    what their allocators keep would add to the next stage's need."""
+
+    @functools.wraps(step)
+    def run(*given) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(*given)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return run

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import plus
+from .scratch import lean, plus
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, sample_doc
     schema = plus(keep, "n_bytes long, n_tokens long, over_limit boolean")
     sent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path, sample_docs))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lengths = sent.value
         frequent = dict(zip(names.decode().split("\n"), np.frombuffer(lengths, np.uint16).tolist())) if names else {}

@@ -36,7 +36,7 @@ def test_counts_are_the_librarys(pieces, text):
 def joined(m, text):
     sink = bpe.Sink(True, True)
     bpe.transduce(text, bpe.Words(m), sink)
-    ids, decoded = " ".join(map(str, sink.ids)), "".join(sink.decoded)
+    ids, decoded = " ".join(map(str, sink.ids)), b"".join(sink.decoded).decode()
     assert sink.digests() == (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
     return ids, decoded, sink.n
 
