@@ -144,7 +144,8 @@ def choices(spark: SparkSession) -> dict[str, DataFrame]:
 
 @dataclass
 class Store:
-    """Parquet tables below one folder; every change writes a table's next version and then moves the pointer to it."""
+    """Parquet tables below one folder; every change writes a folder with the next number, which counts once it is complete.
+    Added rows are a folder by themselves; other changes write the whole table, which ends the folders before."""
 
     spark: SparkSession
     folder: str
@@ -153,27 +154,36 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _version(self, name: str) -> int:
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """Numbers and folders of the complete versions that make the table: the last whole one and what was added after it."""
         fs, at = self._fs(f"{self.folder}/{name}")
         if not fs.exists(at):
-            return 0
-        found = [int(m[1]) for s in fs.listStatus(at) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName())) and fs.exists(self._fs(f"{self.folder}/{name}/v{m[1]}/_SUCCESS")[1])]
-        return max(found, default=0)
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        found = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"v(\d+)(\.added)?", n)))
+        done = [(v, n) for v, n in found if fs.exists(self._fs(f"{self.folder}/{name}/{n}/_SUCCESS")[1])]
+        whole = max((k for k, (_, n) in enumerate(done) if not n.endswith(".added")), default=0)
+        return done[whole:]
+
+    def _write(self, name: str, rows: DataFrame, kind: str) -> None:
+        fields, versions = self.schema(name), self._versions(name)
+        number = versions[-1][0] + 1 if versions else 1
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.folder}/{name}/v{number}{kind}")
 
     def schema(self, name: str) -> StructType:
         return StructType.fromDDL(TABLES[name])
 
     def table(self, name: str) -> DataFrame:
-        v = self._version(name)
-        return self.spark.read.schema(self.schema(name)).parquet(f"{self.folder}/{name}/v{v}") if v else self.spark.createDataFrame([], self.schema(name))
+        paths = [f"{self.folder}/{name}/{n}" for _, n in self._versions(name)]
+        return self.spark.read.schema(self.schema(name)).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes a whole new version; readers see it once it is complete."""
-        fields = self.schema(name)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.folder}/{name}/v{self._version(name) + 1}")
+        self._write(name, rows, "")
 
     def insert(self, name: str, rows: DataFrame) -> None:
-        """Adds rows; those without an id get the next ones, given out partition by partition without gathering them."""
+        """Adds rows in files of their own, so that the old ones are not written again; those without an id get the next
+        ones, given out partition by partition without gathering them."""
         old = self.table(name)
         top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.schema(name) if f.name not in rows.columns})
@@ -181,7 +191,7 @@ class Store:
         for c in ("created_at", "updated_at"):
             if c in numbered.columns:
                 numbered = numbered.withColumn(c, F.coalesce(c, now()))
-        self.replace(name, old.unionByName(numbered.select(old.columns)))
+        self._write(name, numbered, ".added")
 
     def get(self, name: str, key: int) -> dict:
         row = self.table(name).where(F.col("id") == key).limit(1).collect()

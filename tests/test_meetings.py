@@ -92,6 +92,25 @@ def test_live_alerts(spark):
     assert [r["has_risk"] for r in out] == [True, False, False] and out[0]["alerts"] == ["检测到高风险内容：抵制"] and out[0]["covered"][0]["point"] == "x"
 
 
+def test_added_rows_leave_old_files(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id bigint, title string")
+    folders = lambda: sorted(p.name for p in (tmp_path / "db" / "meetings").iterdir())
+    ids = lambda: sorted(r["id"] for r in s.table("meetings").collect())
+    s.insert("meetings", rows(1, 2))
+    s.insert("meetings", rows(3))
+    assert folders() == ["v1.added", "v2.added"] and ids() == [1, 2, 3]
+    (tmp_path / "db" / "meetings" / "v3").mkdir()  # a write that never ended
+    assert ids() == [1, 2, 3]
+    (tmp_path / "db" / "meetings" / "v3").rmdir()
+    s.update("meetings", 1, title="new")
+    s.insert("meetings", rows(4))
+    s.insert("meetings", spark.createDataFrame([("t",)], "title string"))
+    assert ids()[:4] == [1, 2, 3, 4] and len(ids()) == 5 and ids()[4] > 4 and s.get("meetings", 1)["title"] == "new"
+    s.delete("meetings", 2)
+    assert ids()[:3] == [1, 3, 4] and len(ids()) == 4 and folders() == ["v1.added", "v2.added", "v3", "v4.added", "v5.added", "v6"]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/db")
     s.seed()
