@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, decontaminate, html_text, language, ngram_join, token_counts, url_filter, warc
+from . import align, audio, bpe, chat, decontaminate, html_text, language, ngram_join, sharding, sort_means, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
+    "op11_sort_means": sort_means.op11_sort_means,
+    "op12_byte_owner_alignment": align.op12_byte_owner_alignment,
+    "op13_jump_hash_shards": sharding.op13_jump_hash_shards,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op6_bayes_ngram_join": ngram_join.ORACLE,
     "op9_warc_round_trip": warc.ORACLE,
     "op10_snapshot_collapse": chat.ORACLE,
+    "op11_sort_means": sort_means.ORACLE,
+    "op13_jump_hash_shards": sharding.ORACLE,
 }

@@ -1,0 +1,83 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.llm import sharding as sh
+
+
+def plain(key, shards):
+    """The published algorithm on Python's integers."""
+    k = int(hashlib.md5(("null key" if key is None else str(key)).encode()).hexdigest()[:16], 16)
+    at, to = -1, 0
+    while to < shards:
+        at = to
+        k = (k * sh.FACTOR + 1) % (1 << 64)
+        to = int((at + 1) * (float(1 << 31) / float((k >> 33) + 1)))
+    return at
+
+
+@pytest.mark.parametrize("shards", [1, 2, 8, 9, 40, 1000])
+def test_equals_the_algorithm(spark, shards):
+    keys = [*range(-50, 300), None]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sh.jump(F.col("k"), shards).alias("s")).collect()
+    assert {r["k"]: r["s"]["at"] for r in got} == {k: plain(k, shards) for k in keys}
+    assert all((shards if r["s"]["to"] == shards else r["s"]["at"]) == plain(r["k"], shards + 1) for r in got)
+
+
+def test_shards_are_even_and_one_more_takes_only_its_share(spark):
+    rows = sh.assign(spark.range(40_000).selectExpr("id as doc_id", "'x' as text"), 40).select("shard", "grown_shard").collect()
+    n = Counter(r["shard"] for r in rows)
+    assert set(n) == set(range(40)) and 850 < min(n.values()) and max(n.values()) < 1150
+    moved = [r for r in rows if r["shard"] != r["grown_shard"]]
+    assert {r["grown_shard"] for r in moved} == {40} and 850 < len(moved) < 1100
+
+
+def docs(spark):
+    rows = [(i, f"text {i}", "l") for i in range(500)] + [(7, "same", "a")] * 300 + [(7, None, "b"), (None, "n", "c"), (None, "", None), (8, "é" * 50_000, "x"), (9, "tie", "x"), (9, "eit", "x")]
+    return spark.createDataFrame([(*r, 5, "old") for r in rows], "doc_id long, text string, salt string, shard int, LAW string")
+
+
+def test_sizes_sums_and_slots(spark):
+    rows = sh.slotted(sh.assign(docs(spark).repartition(3), 10), "doc_id", "size", "text_crc32")
+    assert rows.columns == ["doc_id", "text", "salt", "size", "text_crc32", "law", "shard", "grown_shard", "slot"]
+    got, by = rows.collect(), defaultdict(list)
+    assert len(got) == docs(spark).count()
+    for r in got:
+        raw = (r["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"]) == (len(raw) + 16, zlib.crc32(raw), "key", plain(r["doc_id"], 10))
+        by[r["shard"]].append((r["slot"], (r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"])))
+    for own in by.values():
+        assert [s for s, _ in sorted(own)] == list(range(len(own)))
+        assert [x for _, x in sorted(own)] == sorted(x for _, x in own)
+
+
+def test_no_part_holds_a_hot_key(spark):
+    """Half of all rows have one key, and so one shard; their slots come from several parts."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "'t' as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = sh.slotted(sh.assign(rows, 5), "doc_id", "size", "text_crc32")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    each = [spark.read.parquet(f).count() for f in placed.inputFiles()]
+    assert sum(each) == 4000 and max(each) < 1800
+    assert placed.where("doc_id = 1").agg(F.count_distinct("slot"), F.max("slot") - F.min("slot")).first()[:] == (2000, 1999)
+
+
+def test_shards_are_written_and_read(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    sh.write_shards(docs(spark), path, 6, files=3)
+    back = spark.read.parquet(path)
+    assert back.count() == docs(spark).count()
+    assert all(plain(r["doc_id"], 6) == r["shard"] for r in back.select("doc_id", "shard").distinct().collect())
+    assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "shards").glob("shard=*")) <= 3
+
+
+def test_empty_table_and_no_python(spark):
+    rows = sh.slotted(sh.assign(docs(spark).where("false"), 10), "doc_id")
+    assert rows.count() == 0
+    plan = sh.assign(docs(spark), 10)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    with pytest.raises(ValueError):
+        sh.assign(docs(spark), 0)
