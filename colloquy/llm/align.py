@@ -3,12 +3,13 @@
 Every byte of a text is given the number of the token that holds it, once for each tokenizer. Where the pair of owners
 changes, the next overlap of two tokens begins; where both change at once, both tokenizers cut, and a group ends.
 
-A text falls into units that neither tokenizer crosses. Each different unit that a worker meets is encoded and aligned
-once, many in one array, and kept in a bounded cache; a text's figures are sums over its units.
+Each text is encoded once. What depends on the text alone is told then, with its id pairs, in a table; how often a pair comes
+over all texts is summed from that table and brought back to it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -18,23 +19,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bpe import byte_letters
 from .scratch import free, lean, look_up, plus, table
 from .token_counts import SPACE, PieceModel
 
 _OTHER = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WHITE = " \n" + _OTHER
-#: White space and what follows up to the next space or line end that comes after something else.
-UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+(?:[{_OTHER}][{_WHITE}]*[^{_WHITE}]*)*|[{_WHITE}]+")
-CUT = re.compile(f"(?<=[^{_WHITE}])(?=[ \n])")
-#: Characters of a text, and of several texts together, whose units are looked at at a time, about.
+#: A place before a space or line end that neither tokenizer's tokens cross, as what comes before is no white space.
+CUT = re.compile(f"(?<=[^ \n{_OTHER}])(?=[ \n])")
+#: White space that is too long for the fast encoder's pattern.
+LONG_WHITE = re.compile(f"[ \n{_OTHER}]{{2000}}")
+#: Characters of a text, and of several texts together, that are looked at at a time, about.
 BLOCK = 1 << 18
-#: Units and their characters that a worker keeps.
-ROOM, ROOM_CHARS = 150_000, 8_000_000
+#: Rows that a worker hands on at a time.
+ROWS = 1000
 #: Id pairs whose counts are broadcast at most, of 17 bytes each; more are joined.
 MOST_PAIRS = 4_000_000
 
@@ -44,23 +44,29 @@ class ByteModel:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        said = json.loads(self._tokenizer.to_str())
-        if said["normalizer"] or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"] or not said["pre_tokenizer"]["use_regex"]:
+        self._plain = Tokenizer.from_file(path)
+        self._plain.encode_special_tokens = True
+        self._plain.no_truncation()
+        self._plain.no_padding()
+        said = json.loads(self._plain.to_str())
+        cut, model = said["pre_tokenizer"], said["model"]
+        if said["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"]:
             raise ValueError("not a byte-level tokenizer of the kind that keeps every byte and cuts before white space")
         of = {letter: byte for byte, letter in byte_letters().items()}
-        vocab = self._tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes[i] = bytes(of[letter] for letter in token)
+        ranks = {bytes(of[letter] for letter in token): i for token, i in model["vocab"].items()}
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.bytes[i] = raw
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        in_order = len(ranks) == 256 + len(merges) and all(model["vocab"]["".join(m)] == 256 + i for i, m in enumerate(merges))
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # what ByteLevel cuts by
+        self._fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if in_order else None
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self._plain.encode(t, add_special_tokens=False).ids if self._fast is None or LONG_WHITE.search(t) else self._fast.encode_ordinary(t) for t in texts]
 
 
 class Pieces(PieceModel):
@@ -73,8 +79,8 @@ class Pieces(PieceModel):
         pieces = [self._processor.id_to_piece(i) for i in range(self._processor.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self._processor.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return self._processor.encode(units, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self._processor.encode(texts, num_threads=1)
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -91,282 +97,235 @@ def owners(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From byte lengths of A's and B's tokens over the same bytes: the bytes where an overlap of two tokens begins, and
-    whether a group begins there, that is whether both owners change."""
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From byte lengths of A's and B's tokens over the same bytes: the A tokens and the B tokens of all overlaps, in order,
+    and whether a group begins with an overlap, that is whether both owners change."""
     own_a, own_b = owners(a), owners(b)
     change_a, change_b = own_a[1:] != own_a[:-1], own_b[1:] != own_b[:-1]
     starts = np.flatnonzero(np.concatenate([[True], change_a | change_b]))
-    return np.stack([own_a[starts], own_b[starts]]), np.concatenate([[True], change_a & change_b])[starts]
+    return own_a[starts], own_b[starts], np.concatenate([[True], change_a & change_b])[starts]
 
 
-class Aligner:
-    """Records of units: ids, groups, links, and with counts of id pairs their sums."""
+class Portion:
+    """What the alignment of one portion tells: A's tokens, B's tokens, groups and links; the links' id pairs, the groups as text and their bytes."""
+
+    def __init__(self, figures: list[int], pairs: np.ndarray, told: str, ids: tuple[list[int], list[int]], cuts: tuple[list[int], list[int], list[int]]):
+        self.figures, self.pairs, self.told, self._ids, self._cuts = figures, pairs, told, ids, cuts
+
+    def groups(self, start: int) -> list[dict]:
+        """The groups with their byte offsets, the first from start."""
+        (a, b), (at_a, at_b, ends) = self._ids, self._cuts
+        edges = [0, *ends]
+        return [
+            {"start": start + lo, "end": start + hi, "a": a[i:j], "b": b[k:m]}
+            for lo, hi, i, j, k, m in zip(edges, ends, at_a, [*at_a[1:], len(a)], at_b, [*at_b[1:], len(b)])
+        ]
 
-    def __init__(self, a_path: str, b_path: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+
+class Aligner:
+    def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteModel(a_path), Pieces(b_path)
         self._sizes = [np.array([len(x) for x in m.bytes], np.int64) for m in (self.a, self.b)]
-        self._counts = counts
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        #: For each unit: A's tokens, B's tokens, groups, links, links whose count is the highest of their B id, counts.
-        self.figures = np.zeros((0, 6), np.int64)
-        self.sound = np.zeros(0, bool)
-        self.told: list[str] = []
-        #: For each unit the bytes of its groups.
-        self.spans: list[list[int]] = []
-        self.pairs = np.zeros(0, np.int64)
-        self.pair_starts = np.zeros(1, np.int64)
-        self._chars = 0
-
-    @property
-    def full(self) -> bool:
-        return len(self.index) > ROOM or self._chars > ROOM_CHARS
-
-    def learn(self, units: Iterable[str]) -> None:
-        """Aligns those units that are not known yet, all in one array."""
-        new = [u for u in dict.fromkeys(units) if u not in self.index]
-        if not new:
-            return
-        raw = [u.encode() for u in new]
-        ids = [self.a.encode(new), self.b.encode(new)]
-        sound = [all(b"".join(m.bytes[i] for i in own[k]) == raw[k] for m, own in zip((self.a, self.b), ids)) for k in range(len(new))]
-        good = [k for k, x in enumerate(sound) if x]
-        figures, told, spans, links = np.zeros((len(new), 6), np.int64), [""] * len(new), [[] for _ in new], np.zeros(len(new), np.int64)
-        if good:
-            figures[good], links[good], pairs, texts, bytes_of = self._aligned([ids[0][k] for k in good], [ids[1][k] for k in good])
-            for k, text, span in zip(good, texts, bytes_of):
-                told[k], spans[k] = text, span
-            self.pairs = np.concatenate([self.pairs, pairs])
-        self.index.update(zip(new, range(len(self.told), len(self.told) + len(new))))
-        self.figures, self.sound = np.concatenate([self.figures, figures]), np.concatenate([self.sound, sound])
-        self.pair_starts = np.concatenate([self.pair_starts, self.pair_starts[-1] + np.cumsum(links)])
-        self.told += told
-        self.spans += spans
-        self._chars += sum(map(len, new))
-
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]:
-        flat = [np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (ids_a, ids_b)]
-        n = [np.array([len(x) for x in own], np.int64) for own in (ids_a, ids_b)]
+        #: A's and then B's ids as text, with what stands behind them: a comma, a bar after A's last of a group, a semicolon after B's last.
+        self._words = [f"{i}{after}" for m in (self.a, self.b) for i in range(len(m.bytes)) for after in ",|;"]
+        self._first_b = len(self.a.bytes)
+
+    def align(self, texts: list[str]) -> list[Portion | None]:
+        """The portions' alignments, all found in one array; None where the tokens' bytes are not the text's."""
+        ids = self.a.encode(texts), self.b.encode(texts)
+        raw = [t.encode() for t in texts]
+        good = [k for k in range(len(texts)) if all(b"".join(map(m.bytes.__getitem__, own[k])) == raw[k] for m, own in zip((self.a, self.b), ids))]
+        out: list[Portion | None] = [None] * len(texts)
+        if not good:
+            return out
+        ids = tuple([own[k] for k in good] for own in ids)
+        flat = [np.fromiter(itertools.chain.from_iterable(own), np.int64) for own in ids]
         sizes = [size[own] for size, own in zip(self._sizes, flat)]
-        (link_a, link_b), begins = overlaps(*sizes)
-        unit_of_a = np.repeat(np.arange(len(ids_a)), n[0])
-        unit, groups = unit_of_a[link_a], np.flatnonzero(begins)  # a unit's end is a cut, so that its first link begins a group
+        link_a, link_b, begins = overlaps(*sizes)  # a portion's end is a cut of both, so that no link goes beyond it
         pairs = flat[0][link_a] << 32 | flat[1][link_b]
-        links = np.bincount(unit, minlength=len(ids_a))
-        figures = np.zeros((len(ids_a), 6), np.int64)
-        figures[:, 0], figures[:, 1], figures[:, 2], figures[:, 3] = n[0], n[1], np.bincount(unit[groups], minlength=len(ids_a)), links
-        if self._counts is not None:
-            keys, counts, best = self._counts
-            at = np.searchsorted(keys, pairs)
-            first = np.concatenate([[0], np.cumsum(links)[:-1]])
-            figures[:, 4], figures[:, 5] = np.add.reduceat(best[at].astype(np.int64), first), np.add.reduceat(counts[at], first)
-        cuts_a, cuts_b = [*link_a[groups].tolist(), len(flat[0])], [*link_b[groups].tolist(), len(flat[1])]
-        ends = np.add.reduceat(sizes[0], link_a[groups]).tolist()
-        names_a, names_b = list(map(str, flat[0].tolist())), list(map(str, flat[1].tolist()))
-        each = [f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}" for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-        edges = np.concatenate([[0], np.cumsum(figures[:, 2])]).tolist()
-        return figures, links, pairs, [";".join(each[i:j]) for i, j in zip(edges, edges[1:])], [ends[i:j] for i, j in zip(edges, edges[1:])]
-
-    def at(self, units: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-
-    def read(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """(text's number, its units' records), in order, a long text in several portions; a text without tokens comes not at all.
-
-        A text has none if it is null or empty, or if the tokens' bytes are not its own. Records hold until the next portion.
-        """
-        held: list[tuple[int, list[str]]] = []
-        chars = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            text = " " + text
-            if len(text) <= BLOCK:
-                held.append((i, UNIT.findall(text)))
-                chars += len(text)
-            if len(text) > BLOCK or chars > BLOCK:
-                yield from self._portion(held)
-                held, chars = [], 0
-            if len(text) > BLOCK and all(map(self._all_sound, blocks(text))):
-                for b in blocks(text):
-                    yield i, self._known(UNIT.findall(b))
-        yield from self._portion(held)
-
-    def _known(self, units: list[str]) -> np.ndarray:
-        if self.full:
-            self.clear_for_more()
-        self.learn(units)
-        return self.at(units)
-
-    def _all_sound(self, block: str) -> bool:
-        at = self._known(UNIT.findall(block))
-        return bool(self.sound[at].all())
-
-    def clear_for_more(self) -> None:
-        self.clear()
-
-    def _portion(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray]]:
-        if self.full:
-            self.clear_for_more()
-        self.learn(itertools.chain.from_iterable(units for _, units in held))
-        for i, units in held:
-            at = self.at(units)
-            if self.sound[at].all():
-                yield i, at
-
-    def links(self, at: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The id pairs of these records' links and how often each comes, a record counted as often as times says."""
-        n = self.pair_starts[at + 1] - self.pair_starts[at]
-        where = np.repeat(self.pair_starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        weight = np.repeat(np.ones(len(at), np.int64) if times is None else times, n)
-        names, which = np.unique(self.pairs[where], return_inverse=True)
-        sums = np.zeros(len(names), np.int64)
-        np.add.at(sums, which, weight)
-        return names, sums
-
-
-class Tally(Aligner):
-    """An aligner that counts id pairs; what is counted is handed on whenever the cache is emptied."""
-
-    def clear(self) -> None:
-        super().clear()
-        self._uses = np.zeros(0, np.int64)
-
-    def clear_for_more(self) -> None:
-        self.out.append(self.links(np.arange(len(self.told)), self._padded()))
-        self.clear()
-
-    def _padded(self) -> np.ndarray:
-        return np.concatenate([self._uses, np.zeros(len(self.told) - len(self._uses), np.int64)])
-
-    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.out: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for _, at in self.read(batch.column(0)[k].as_py() for k in range(batch.num_rows)):
-                used = np.bincount(at, minlength=len(self.told))
-                used[: len(self._uses)] += self._uses
-                self._uses = used
-                yield from self._handed()
-        self.clear_for_more()
-        yield from self._handed()
-
-    def _handed(self) -> Iterator[pa.RecordBatch]:
-        for names, n in self.out:
-            yield pa.RecordBatch.from_arrays([pa.array(names[n > 0]), pa.array(n[n > 0])], names=["pair", "n"])
-        self.out = []
-
-
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(pair, a, b, n, best): for each pair of ids that overlap anywhere how many overlaps there are, and whether no other A id has more with this B id.
-
-    pair is a * 2**32 + b. Tasks count first and hand on each pair once for each fill of their cache. A B id's pairs, one
-    for each A id at most, meet in one task.
-    """
+        heads = np.flatnonzero(begins)
+        at = [link_a[heads], link_b[heads]]  # the tokens that groups begin with
+        words = self._told(flat, at)
+        starts = [np.cumsum([0, *map(len, own)]) for own in ids]
+        first_link = np.searchsorted(link_a, starts[0])
+        first_group = np.searchsorted(at[0], starts[0])
+        ends = np.cumsum(np.add.reduceat(sizes[0], at[0]))
+        for n, k in enumerate(good):
+            (a, b), g, h = (own[n] for own in ids), first_group[n], first_group[n + 1]
+            told = "".join(map(self._words.__getitem__, words[starts[0][n] + starts[1][n] : starts[0][n + 1] + starts[1][n + 1]].tolist()))[:-1]
+            before = ends[g - 1] if g else 0
+            cuts = (at[0][g:h] - starts[0][n]).tolist(), (at[1][g:h] - starts[1][n]).tolist(), (ends[g:h] - before).tolist()
+            out[k] = Portion([len(a), len(b), int(h - g), int(first_link[n + 1] - first_link[n])], pairs[first_link[n] : first_link[n + 1]], told, (a, b), cuts)
+        return out
+
+    def _told(self, flat: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
+        """Numbers of words, A's tokens of a group and then B's, group after group."""
+        n = [len(x) for x in flat]
+        word = np.empty(sum(n), np.int64)
+        sizes = [np.diff(np.append(start, total)) for start, total in zip(at, n)]
+        before = [np.cumsum(x) - x for x in sizes]
+        for side in (0, 1):
+            # in the whole a token comes after all of its own side before it, and the other side's of its group (for B) or of those before
+            shift = before[1] if side == 0 else before[0] + sizes[0]
+            where = np.arange(n[side]) + np.repeat(shift, sizes[side])
+            last = np.zeros(n[side], np.int64)
+            last[np.cumsum(sizes[side]) - 1] = side + 1
+            word[where] = (flat[side] + (self._first_b if side else 0)) * 3 + last
+        return word
+
+
+@functools.lru_cache(1)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """The worker's own, kept from task to task."""
+    return Aligner(a_path, b_path)
+
+
+class _Row:
+    """A text's figures, as its portions come."""
+
+    def __init__(self, want: bool):
+        self.figures, self.sha, self.pairs, self.sound = np.zeros(4, np.int64), None, [], True
+        self.groups: list[dict] | None = [] if want else None
+
+    def add(self, portion: Portion | None) -> None:
+        if portion is None:
+            self.sound = False
+        if not self.sound:
+            return
+        self.figures += portion.figures
+        if self.sha is None:
+            self.sha = hashlib.sha256(portion.told.encode())
+        else:
+            self.sha.update(f";{portion.told}".encode())
+        names, times = np.unique(portion.pairs, return_counts=True)
+        self.pairs.append((names, times))
+        if self.groups is not None:
+            self.groups += portion.groups(self.groups[-1]["end"] if self.groups else 0)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The text's different id pairs and how many links have each."""
+        if len(self.pairs) == 1:
+            return self.pairs[0]
+        names, which = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
+        times = np.zeros(len(names), np.int64)
+        np.add.at(times, which, np.concatenate([t for _, t in self.pairs]))
+        return names, times
+
+
+_NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def read(models: Aligner, texts: Iterable[str | None], want: bool = False) -> list[_Row | None]:
+    """Each text's figures, None for one without tokens: null, empty, or tokens whose bytes are not its own."""
+    rows: list[_Row | None] = []
+    held: list[tuple[_Row, str]] = []
+    chars = 0
+
+    def settle() -> None:
+        for (row, _), portion in zip(held, models.align([t for _, t in held]) if held else []):
+            row.add(portion)
+        held.clear()
+
+    for text in texts:
+        rows.append(_Row(want) if text else None)
+        for block in blocks(f" {text}") if text else ():
+            held.append((rows[-1], block))
+            chars += len(block)
+            if chars > BLOCK:
+                settle()
+                chars = 0
+    settle()
+    return [row if row and row.sound else None for row in rows]
+
+
+_FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_GROUP = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+_GROUP_DDL = "array<struct<start: long, end: long, a: array<long>, b: array<long>>>"
+
+
+def _encoded(docs: DataFrame, own: list[str], pairs: str, times: str, a_path: str, b_path: str, want: tuple[str, ...]) -> DataFrame:
+    """The columns own of docs plus n_a, n_b, n_groups, n_links, groups_sha256, the different id pairs with their times, and groups where wanted."""
+    schema = plus(docs.select(own), "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string" + (f", groups {_GROUP_DDL}" if "groups" in want else "") + f", {pairs} array<long>, {times} array<int>")
+    given = docs.select(*own, docs["text"].alias(free(docs, "whole")[0]))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Tally(a_path, b_path).count(batches)
+        models = aligner(a_path, b_path)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                rows = read(models, (batch.column(batch.num_columns - 1)[k].as_py() for k in range(batch.num_rows)), "groups" in want)
+                figures = np.array([row.figures if row else [0] * 4 for row in rows], np.int64)
+                links = [row.links() if row else _NOTHING for row in rows]
+                edges = pa.array(np.cumsum([0, *(len(p) for p, _ in links)]), pa.int32())
+                out = [*batch.columns[:-1], *(pa.array(figures[:, k]) for k in range(4)), pa.array([row.sha.hexdigest() if row else "" for row in rows], pa.string())]
+                if "groups" in want:
+                    out.append(pa.array([row.groups if row else [] for row in rows], pa.list_(_GROUP)))
+                out.append(pa.ListArray.from_arrays(edges, pa.array(np.concatenate([p for p, _ in links]))))
+                out.append(pa.ListArray.from_arrays(edges, pa.array(np.concatenate([t for _, t in links]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    counted = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    split = counted.select("pair", F.shiftrightunsigned("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("b"), "n")
-    return split.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
+    return given.mapInArrow(run, schema)
 
 
-_FIGURES = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_SPANS = "array<struct<start: long, end: long, a: array<long>, b: array<long>>>"
+def pair_counts(encoded: DataFrame, pairs: str = "pairs", times: str = "times") -> DataFrame:
+    """(pair, n, best): for each pair of ids that overlap anywhere how many overlaps there are, and whether no other A id has more with this B id.
+
+    A pair is A's id times 2**32 plus B's. A B id's pairs, one for each A id at most, meet in one task.
+    """
+    each = encoded.select(F.explode(F.arrays_zip(F.col(pairs).alias("p"), F.col(times).alias("t"))).alias("x")).select("x.p", "x.t")
+    counted = each.groupBy(F.col("p").alias("pair")).agg(F.sum("t").alias("n"))
+    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(b)))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, want: tuple[str, ...] = ()) -> DataFrame:
-    """docs (with a column text) plus n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256, replacing columns of these names.
+    """The columns of docs but text, plus n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256, replacing columns of these names.
 
     Each text, with one space before it, is encoded by the byte-level BPE of the tokenizer file at a_path (A) and the
     sentencepiece model at b_path (B), special tokens' strings taken as plain text. A null or empty text, or one whose
     tokens' bytes are not its own (one that holds U+2581, say), has no tokens: zeros, and '' for groups_sha256. Groups
     lie between byte offsets at which tokens of both end; links are overlaps of an A token with a B token; n_best are
     those whose id pair is, over all docs, the most frequent of its B id (ties included); count_sum adds up their
-    pairs' counts over all docs. Repeated rows count each. With want=("groups",) a column groups has the groups
-    themselves: byte offsets and ids.
+    pairs' counts over all docs. Repeated rows count each. With "groups" in want a column groups has the groups
+    themselves, byte offsets and ids; with "text" the text stays.
 
-    Documents are read twice, for the counts and with them. Counts of up to MOST_PAIRS pairs are broadcast; more are
-    joined with the pairs of each text, the frequent ones apart from the others. Memory is bounded by the cache and
-    BLOCK, but for a text without spaces and the text itself.
+    Counts of up to MOST_PAIRS pairs are broadcast; more are joined with the pairs of each text, the frequent ones apart from
+    the others. Beside a text itself and its different pairs, memory is bounded by BLOCK, but for a text without spaces.
     """
-    names = [f.split()[0] for f in _FIGURES.split(", ")]
-    own = docs.drop(*names, "groups")
-    ddl = _FIGURES + (f", groups {_SPANS}" if "groups" in want else "")
-    pairs = table(pair_counts(docs, a_path, b_path), "pairs")
-    few = pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS
-    sent = None
-    if few:
-        got = pairs.select("pair", "n", "best").toArrow()
-        columns = [got.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(3)]
-        order = np.argsort(columns[0])
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(c[order] for c in columns))
-        keep, schema = own, plus(own, ddl)
-    else:
-        linked, row = free(own, "linked", "row")
-        keep = own
-        schema = plus(own, ddl + f", {linked} array<struct<pair: long, times: long>>")
-    where, kept_names = docs.columns.index("text"), set(own.columns)
+    own = [c for c in docs.drop(*_FIGURES, "groups_sha256", "groups").columns if c != "text" or "text" in want]
+    pairs, times, row = free(docs.withColumns(dict.fromkeys(["pair", "n", "best"], F.lit(0))), "pairs", "times", "row")
+    once = table(_encoded(docs, own, pairs, times, a_path, b_path, want).withColumn(row, F.monotonically_increasing_id()), "aligned")
+    counts = table(pair_counts(once, pairs, times), "pairs")
+    names = [*own, *_FIGURES, "groups_sha256", *(["groups"] if "groups" in want else [])]
+    if counts.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        each = once.select(row, F.explode(F.arrays_zip(F.col(pairs).alias("p"), F.col(times).alias("t"))).alias("x")).select(row, F.col("x.p").alias("pair"), "x.t")
+        sums = look_up(each, counts, "pair", "n").groupBy(row).agg(F.sum(F.when(F.col("best"), F.col("t"))).alias("n_best"), F.sum(F.col("n") * F.col("t")).alias("count_sum"))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+        return once.join(sums, row, "left").select([zero(c) if c in ("n_best", "count_sum") else c for c in names])
+    got = counts.toArrow()
+    columns = [got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")]
+    order = np.argsort(columns[0])
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(c[order] for c in columns))
+    schema = plus(once.drop(pairs, times, row), "n_best long, count_sum long")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_path, b_path, sent.value if sent is not None else None)
+        known, counted, best = sent.value
         for batch in batches:
-            texts, kept = batch.column(where), [batch.column(k) for k, name in enumerate(batch.schema.names) if name in kept_names]
-            figures = np.zeros((batch.num_rows, 6), np.int64)
-            digests: dict = {}
-            groups: dict[int, list] = {}
-            links: dict[int, list] = {}
-            for i, at in aligner.read(texts[k].as_py() for k in range(batch.num_rows)):
-                figures[i] += aligner.figures[at].sum(0)
-                sha = digests.get(i)
-                told = ";".join([aligner.told[k] for k in at.tolist()])
-                if sha is None:
-                    digests[i] = hashlib.sha256(told.encode())
-                else:
-                    sha.update(b";" + told.encode())
-                if "groups" in want:
-                    groups.setdefault(i, []).extend(_spans(aligner, at, groups.get(i)))
-                if sent is None:
-                    links.setdefault(i, []).append(aligner.links(at))
-            out = [pa.array(figures[:, k]) for k in range(6)]
-            out.append(pa.array([digests[i].hexdigest() if i in digests else "" for i in range(batch.num_rows)], pa.string()))
-            if "groups" in want:
-                out.append(pa.array([groups.get(i, []) for i in range(batch.num_rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))]))))
-            if sent is None:
-                parts = [part for i in range(batch.num_rows) for part in links.get(i, [])]
-                flat = [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(2)]
-                sizes = [sum(len(p[0]) for p in links.get(i, [])) for i in range(batch.num_rows)]
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["pair", "times"])))
-            yield pa.RecordBatch.from_arrays([*kept, *out], names=schema.names)
-
-    found = docs.mapInArrow(run, schema)
-    if few:
-        return found
-    once = table(found.withColumn(row, F.monotonically_increasing_id()), "aligned")
-    each = once.select(row, F.explode(linked).alias("x")).select(row, "x.pair", "x.times")
-    met = look_up(each, pairs.select("pair", "n", "best"), "pair", "n")
-    sums = met.groupBy(row).agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
-    rest = once.drop("n_best", "count_sum", linked).join(sums, row, "left")
-    return rest.select(*[F.coalesce(F.col(f.name), F.lit(0)).alias(f.name) if f.name in ("n_best", "count_sum") else F.col(f.name) for f in schema.fields if f.name != linked])
-
-
-def _spans(aligner: Aligner, at: np.ndarray, before: list | None) -> Iterator[dict]:
-    """The groups of these records with their byte offsets in the text and its space."""
-    start = before[-1]["end"] if before else 0
-    for k in at.tolist():
-        for size, told in zip(aligner.spans[k], aligner.told[k].split(";")):
-            a, b = told.split("|")
-            yield {"start": start, "end": start + size, "a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))}
-            start += size
+            linked, often = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(linked.offsets.to_numpy()))
+            at, t = np.searchsorted(known, linked.flatten().to_numpy()), often.flatten().to_numpy().astype(np.int64)
+            sums = np.zeros((2, batch.num_rows), np.int64)
+            np.add.at(sums[0], of, t * best[at])
+            np.add.at(sums[1], of, t * counted[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sums[0]), pa.array(sums[1])], names=schema.names)
+
+    return once.drop(row).mapInArrow(run, schema).select(names)
 
 
 def op12_byte_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

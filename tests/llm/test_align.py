@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from colloquy.llm import align as al
+from colloquy.llm import scratch
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "the", "Word", " ", "  ", "\n", "\t", "'s", "'LL", "é", "é", "日本", "한", "🎉", "\x85", "\xa0", "　", "᠎", "\x1c", "12", "!!", "̈", "<|endoftext|>", "▁", "<s>", "<0x41>", "\x00", "\r\n", "a.b", " ", "supercalifragilistic"]
@@ -69,33 +70,53 @@ NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
-def test_units_are_the_libraries_tokens(text):
-    plain, aligner = _plain(), _aligner()
-    told = [aligner.told[k] for _, at in aligner.read([text]) for k in at]
-    want = plain(text)[2]
-    assert ";".join(told) == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
+def test_one_text_is_as_the_libraries_have_it(text):
+    plain, models = _plain(), _aligner()
+    row = al.read(models, [text], True)[0]
+    a, b, groups, links = plain(text)
+    if not links:
+        assert row is None
+        return
+    assert row.figures.tolist() == [len(a), len(b), len(groups), len(links)]
+    assert [(g["a"], g["b"]) for g in row.groups] == groups
+    assert Counter(dict(zip(*(x.tolist() for x in row.links())))) == Counter(x << 32 | y for x, y in links)
 
 
 _made = {}
 
 
 def _plain():
-    return _made.setdefault("plain", Plain()) if "plain" not in _made else _made["plain"]
+    if "plain" not in _made:
+        _made["plain"] = Plain()
+    return _made["plain"]
 
 
 def _aligner():
-    return _made.setdefault("aligner", al.Aligner(A, B)) if "aligner" not in _made else _made["aligner"]
+    return al.aligner(A, B)
 
 
-@given(TEXT)
-def test_units_and_blocks_are_the_text(text):
-    assert "".join(al.UNIT.findall(text)) == text
-    assert "".join(al.blocks(text)) == text
+@given(TEXT, st.integers(1, 9))
+def test_blocks_are_the_text(text, size):
+    old, al.BLOCK = al.BLOCK, size
+    try:
+        assert "".join(al.blocks(text)) == text
+    finally:
+        al.BLOCK = old
+
+
+def test_the_fast_encoder_cuts_as_the_library_does():
+    """Every character beside letters, digits, signs and white space."""
+    models, library = _aligner().a, _plain().a
+    for start in range(0, 0x110000, 0x400):
+        text = "".join(f"a{c}1{c}{c}! {c} ,\n{c} b" for c in map(chr, range(start, start + 0x400)) if not "\ud800" <= c <= "\udfff")
+        assert models.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
+    for text in (" " * 100_000, "x" + "\n" * 100_000 + "y", "\t " * 1100):
+        assert models.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
 def test_owners_and_overlaps():
-    links, begins = al.overlaps(*map(al.np.array, ([2, 3, 1], [1, 1, 3, 1])))
-    assert links.tolist() == [[0, 0, 1, 2], [0, 1, 2, 3]] and begins.tolist() == [True, False, True, True]
+    a, b, begins = al.overlaps(*map(al.np.array, ([2, 3, 1], [1, 1, 3, 1])))
+    assert (a.tolist(), b.tolist(), begins.tolist()) == ([0, 0, 1, 2], [0, 1, 2, 3], [True, False, True, True])
 
 
 def test_equals_brute_force(spark, plain):
@@ -103,33 +124,31 @@ def test_equals_brute_force(spark, plain):
     texts = ["".join(dice.choice(PARTS[:-2]) for _ in range(dice.randint(1, 40))) for _ in range(120)]
     texts += [None, "", " ", "▁", "plain words here", "plain words here", "x" * 3000, "word " * 4000]
     rows = [(i % 100, t, "mine", -1) for i, t in enumerate(texts)]
-    out = al.align(spark.createDataFrame(rows, "doc_id long, text string, N_A string, count_sum long").repartition(3), A, B)
+    out = al.align(spark.createDataFrame(rows, "doc_id long, text string, N_A string, count_sum long").repartition(3), A, B, want=("text",))
     assert out.columns == ["doc_id", "text", *NAMES]
     got = sorted((r["text"] or "", *(r[n] for n in NAMES)) for r in out.collect())
     assert got == sorted((t or "", *x) for t, x in zip(texts, expected(plain, texts)))
 
 
-def test_small_caches_blocks_and_joined_counts_change_nothing(spark, plain, monkeypatch):
-    """What must hold in workers is tried in this process; the joined counts in Spark."""
+def test_small_blocks_and_joined_counts_change_nothing(spark, plain, monkeypatch):
+    """Blocks are tried in this process; the joined counts in Spark."""
     dice = random.Random(6)
     texts = [" ".join(dice.choice(["alpha", "beta", "gamma", "delta", "ω", "x▁y" if i == 4 else "z"]) for _ in range(dice.randint(1, 300))) for i in range(30)]
+    texts += [None, "", "the last one ▁", "é" * 500]
     want = expected(plain, texts)
     monkeypatch.setattr(al, "BLOCK", 200)
-    monkeypatch.setattr(al, "ROOM", 3)
-    aligner, sums = al.Aligner(A, B), [[0] * 4 for _ in texts]
-    for i, at in aligner.read(texts):
-        sums[i] = [x + y for x, y in zip(sums[i], aligner.figures[at].sum(0)[:4].tolist())]
-    assert sums == [list(x[:4]) for x in want]
-    tally = al.Tally(A, B)
-    counts = Counter()
-    for batch in tally.count(iter([al.pa.RecordBatch.from_pydict({"text": texts[:7]}), al.pa.RecordBatch.from_pydict({"text": texts[7:]})])):
-        for pair, n in zip(*(c.to_pylist() for c in batch.columns)):
-            counts[pair >> 32, pair & 0xFFFFFFFF] += n
-    assert counts == Counter(link for t in texts for link in plain(t)[3])
+    rows = al.read(al.aligner(A, B), texts)
+    assert [tuple(r.figures) if r else (0,) * 4 for r in rows] == [x[:4] for x in want]
+    assert [r.sha.hexdigest() if r else "" for r in rows] == [x[6] for x in want]
+    pairs = Counter()
+    for r in rows:
+        pairs.update(dict(zip(*(x.tolist() for x in r.links()))) if r else {})
+    assert pairs == Counter(x << 32 | y for t in texts for x, y in plain(t)[3])
     monkeypatch.undo()
     monkeypatch.setattr(al, "MOST_PAIRS", 3)
-    out = al.align(spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string"), A, B).orderBy("doc_id").collect()
-    assert [tuple(r[n] for n in NAMES) for r in out] == expected(plain, [*texts, None, ""])
+    monkeypatch.setattr(scratch, "MOST_BROADCAST", 3)
+    out = al.align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), A, B).orderBy("doc_id").collect()
+    assert [tuple(r[n] for n in NAMES) for r in out] == want
 
 
 def test_groups_are_given(spark, plain):
