@@ -19,9 +19,10 @@ def strip(c: Column, chars: str | None = None) -> Column:
     return F.regexp_replace(c, f"(?U)^{cls}+|{cls}+$", "")
 
 
-def count_of(c: Column, word: str) -> Column:
+def count_of(c: Column, word: str | Column) -> Column:
     """How often word occurs in c, without overlaps."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("long")
+    w = F.lit(word) if isinstance(word, str) else word
+    return ((F.length(c) - F.length(F.replace(c, w, F.lit("")))) / F.length(w)).cast("long")
 
 
 def has(c: Column, word: str) -> Column:
@@ -120,18 +121,6 @@ def convert_script(c: Column, table: Mapping[str, str]) -> Column:
     return F.translate(c, "".join(table), "".join(table.values()))
 
 
-def narrated(c: Column) -> Column:
-    """A sentence as a report tells it: greetings and connectives go, the first person becomes a role."""
-    c = rewrite(strip(c), [(p, "") for p in L.GREETINGS])
-    return strip(rewrite(c, [*L.NARRATIVE_FIRST, *L.NARRATIVE_ROLES, *L.NARRATIVE_LAST]))
-
-
-def tidied(c: Column) -> Column:
-    """A summary sentence without spoken openings and endings, repeats and filler."""
-    c = rewrite(strip(c), [(p, "") for p in (*L.SUMMARY_OPENINGS, *L.SUMMARY_ENDINGS)])
-    return strip(rewrite(c, L.SUMMARY_PHRASES))
-
-
 def finished(c: Column) -> Column:
     """A whole summary without repeated phrases, stops and commas."""
     return strip(rewrite(c, [(f"([{CJK}]{{3,}})\\1+", r"\1"), ("。。+", "。"), ("，，+", "，"), ("会议会议", "会议"), ("参会人员参会人员", "参会人员"), ("发言者发言者", "发言者")]))

@@ -1,4 +1,7 @@
-"""Word segmentation of Chinese text: longest match over a lexicon, in Arrow batches."""
+"""Word segmentation of Chinese text: longest match over a lexicon, in Arrow batches.
+
+The steps are marked as not deterministic, though they are: else the optimizer copies what lies below them into each use.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +51,7 @@ def tokens(text: Column, lexicon: Iterable[str] | None = None) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: segment(t, known, longest) if t else [])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def tagged(text: Column, lexicon: dict[str, str] | None = None) -> Column:
@@ -63,4 +66,4 @@ def tagged(text: Column, lexicon: dict[str, str] | None = None) -> Column:
 
         return texts.map(one)
 
-    return run(text)
+    return run.asNondeterministic()(text)

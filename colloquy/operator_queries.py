@@ -7,11 +7,10 @@ SQL then has the rows that the rules give. What can be asked of a test table is.
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -20,19 +19,10 @@ from .operators import audio, compliance, diarize, keywords, sentences, sentimen
 from .plans import analyze, reports, summary
 from .queries import micros, query, read
 from .sources import files, store
+from .sources.shared import folder
 from .streaming import live
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for what a query stores, in the session's shared folder or, on one machine, beside other temporary files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _values(rows: list[tuple], names: str) -> str:
     def one(x: object) -> str:
         if x is None:
@@ -56,7 +46,7 @@ _STEPS = [
 @query(_values(_STEPS, "step, said"))
 def store_scenario(spark: SparkSession, d: str) -> DataFrame:
     """Seed, insert, get, update, upsert, detail, pages, delete with what belongs to it, and diagnosis of a store."""
-    s, said = store.Store(spark, _scratch(spark, "store")), {}
+    s, said = store.Store(spark, folder(spark, "store")), {}
 
     def fails(f) -> str:
         try:
@@ -158,11 +148,11 @@ def _docx(*paragraphs: str) -> bytes:
 @query(_values([("a.txt", "第一章总则", "必须按时参加会议|做好记录工作"), ("b.docx", "标题一", "按时完成工作"), ("c.docx", "c", ""), ("d.pdf", "readbythecaller", ""), ("e.doc", "e", ""), ("f.txt", "plain", "")], "name, title, points"))
 def policy_files(spark: SparkSession, d: str) -> DataFrame:
     """Policies of text files in several encodings and forms: title and required points."""
-    folder = _scratch(spark, "texts")
+    where = folder(spark, "texts")
     texts = {"a.txt": "第一章 总则\n1、必须按时参加会议\n- 做好记录工作\n".encode("gbk"), "b.docx": _docx("标题一", "2. 按时完成工作"), "c.docx": b"broken", "d.pdf": b"%PDF", "e.doc": b"\xd0\xcf", "f.txt": "plain".encode("utf-16")}
     for name, raw in texts.items():
-        _put(spark, folder, name, raw)
-    found = files.policies(files.read_texts(spark, folder, {"pdf": lambda raw: "read by the caller"}))
+        _put(spark, where, name, raw)
+    found = files.policies(files.read_texts(spark, where, {"pdf": lambda raw: "read by the caller"}))
     return found.select("name", "title", F.array_join("required_points", "|").alias("points"))
 
 
@@ -178,7 +168,7 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
     """WAV files of 8, 16, 24 and 32 bits, one and two channels, at one rate; files that are too small or no recordings stay out."""
     import wave
 
-    folder = _scratch(spark, "wav")
+    where = folder(spark, "wav")
 
     def wav(data: bytes, width: int, channels: int = 1, rate: int = 16000) -> bytes:
         out = io.BytesIO()
@@ -189,13 +179,13 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
 
     square = np.tile([0.5, -0.5], 8000)
     three = np.tile([0.125, -0.125], 8000)
-    _put(spark, folder, "a.wav", wav((square * 2**31).astype("<i4").tobytes(), 4))
-    _put(spark, folder, "b.wav", wav((np.repeat(square, 2) * np.tile([1, 0], 16000) * 32768).astype("<i2").tobytes(), 2, 2))
-    _put(spark, folder, "c.wav", wav(np.full(8000, 192, np.uint8).tobytes(), 1))
-    _put(spark, folder, "d.wav", wav(b"".join(int(x * 2**23).to_bytes(3, "little", signed=True) for x in three), 3))
-    _put(spark, folder, "small.wav", b"RIFF")
-    _put(spark, folder, "e.txt", b"x" * 2000)
-    out = files.read_recordings(spark, folder)
+    _put(spark, where, "a.wav", wav((square * 2**31).astype("<i4").tobytes(), 4))
+    _put(spark, where, "b.wav", wav((np.repeat(square, 2) * np.tile([1, 0], 16000) * 32768).astype("<i2").tobytes(), 2, 2))
+    _put(spark, where, "c.wav", wav(np.full(8000, 192, np.uint8).tobytes(), 1))
+    _put(spark, where, "d.wav", wav(b"".join(int(x * 2**23).to_bytes(3, "little", signed=True) for x in three), 3))
+    _put(spark, where, "small.wav", b"RIFF")
+    _put(spark, where, "e.txt", b"x" * 2000)
+    out = files.read_recordings(spark, where)
     peak = F.array_max(F.transform("samples", lambda x: F.abs(x)))
     return out.select(files.file_name(F.col("path")).alias("name"), F.size("samples").alias("n"), F.round(peak.cast("double"), 4).alias("peak"))
 
@@ -272,38 +262,64 @@ def signal_quality(spark: SparkSession, d: str) -> DataFrame:
 # ---- voices
 
 
-@query("WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_samp(x) AS d FROM f GROUP BY i) SELECT vec_id, round(sum(abs((x - m) / d)), 4) AS total FROM f JOIN s USING (i) GROUP BY vec_id")
+_STANDARD = "WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), s AS (SELECT {key}i, avg(x) AS m, {deviation}(x) AS d FROM f GROUP BY ALL) SELECT vec_id, round(sum(abs((x - m) / CASE WHEN d > 0 THEN d ELSE 1 END)), 4) AS total FROM f JOIN s USING ({key}i) GROUP BY vec_id"
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    values = F.transform("scaled", lambda x: F.abs(x))
+    return df.select("vec_id", F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query(_STANDARD.format(key="", deviation="stddev_samp"))
 def standardised_frames(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+    return _sizes(diarize.standardised(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding"))
+
+
+@query(_STANDARD.format(key="label, ", deviation="stddev_pop"))
+def standardised_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's vectors scaled by themselves alone."""
+    return _sizes(diarize.standardised(read(spark, d, "embeddings"), "embedding", "label"))
+
 
-    out = diarize.standardised(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
-    values = F.transform(vector_to_array("scaled"), lambda x: F.abs(x))
-    return out.select("vec_id", F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+def _planted(embedding: Column, voice: Column, voices: Column | int) -> Column:
+    """A vector with a voice in it: 4 more in every component of that voice."""
+    return F.transform(embedding, lambda x, i: x.cast("double") + F.when(i % voices == voice, 4.0).otherwise(0.0))
 
 
-def _voices(spark: SparkSession, speakers: int) -> DataFrame:
-    """Frames of voices that are far apart, one after the other."""
-    dice = np.random.default_rng(3)
-    rows = [(i, s, (dice.normal(0, 0.3, 6) + 8 * np.eye(6)[s]).tolist()) for i, s in enumerate(np.repeat(np.arange(speakers), 120).tolist())]
-    return diarize.standardised(spark.createDataFrame(rows, "i long, speaker int, features array<double>")).cache()
+def _numbered(spark: SparkSession, d: str, key: Column) -> DataFrame:
+    e = read(spark, d, "embeddings").withColumn("recording", key)
+    return e.withColumn("i", (F.row_number().over(Window.partitionBy("recording").orderBy("vec_id")) - 1).cast("long"))
 
 
-@query(_values([("fast", 2, 2), ("fast", 3, 3), ("few", 2, 2), ("hierarchical", 3, 3), ("kmeans", 3, 3)], "method, speakers, found"))
+@query("SELECT vec_id, method, ((row_number() OVER (PARTITION BY label, method ORDER BY vec_id) - 1) // 5 % 3)::INT AS voice FROM embeddings, (VALUES ('spectral'), ('hierarchical'), ('kmeans')) m(method)")
 def voices_apart(spark: SparkSession, d: str) -> DataFrame:
-    """How many voices each method tells apart where there is no doubt, and that none mixes two."""
-    out = [("few", 2, diarize.estimate_speakers(_voices(spark, 2).limit(50)))]
-    out += [("fast", n, diarize.estimate_speakers_fast(_voices(spark, n))) for n in (2, 3)]
-    for method in ("kmeans", "hierarchical"):
-        pairs = diarize.clustered(_voices(spark, 3), 3, method).select("speaker", "label").distinct()
-        out.append((method, 3, pairs.count()))
-    return spark.createDataFrame(out, "method string, speakers int, found int")
+    """Three voices planted in every label's vectors, five vectors in turn: each method tells them apart in each label."""
+    own = _numbered(spark, d, F.col("label"))
+    points = own.select("recording", "i", "vec_id", _planted(F.col("embedding"), F.floor(F.col("i") / 5) % 3, 3).alias("scaled"))
+    found = [diarize.clustered(points, "recording", 3, method).select("vec_id", F.lit(method).alias("method"), F.col("label").cast("int").alias("voice")) for method in ("spectral", "hierarchical", "kmeans")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query(_values([(1, 2), (2, 3), (3, 4), (4, 2), (5, 3)], "id, speakers"))
+@query("SELECT label % 2 AS recording, CASE WHEN count(*) < 100 THEN 2 ELSE 2 + label % 2 END AS speakers, least(count(*) // 10, 2 + label % 2)::INT AS fast FROM embeddings GROUP BY label % 2")
 def number_of_speakers(spark: SparkSession, d: str) -> DataFrame:
-    """The rule that weighs how far apart clusters are against how well their model fits."""
-    cases = [({2: 0.5, 3: 0.3, 4: 0.2}, {2: 10, 3: 20, 4: 30}), ({2: 0.5, 3: 0.49, 4: 0.1}, {2: 20, 3: 10, 4: 30}), ({2: 0.5, 3: 0.5, 4: 0.5}, {2: 30, 3: 20, 4: 10}), ({2: 0.2}, {2: 1}), ({2: 0.3, 3: 0.28}, {2: 1, 3: 2})]
-    return spark.createDataFrame([(k + 1, diarize.decide(*c)) for k, c in enumerate(cases)], "id int, speakers int")
+    """Two voices planted in the even labels' vectors, three in the odd ones': both estimates find that."""
+    own = _numbered(spark, d, F.col("label") % 2)
+    voices = F.col("recording") + 2
+    points = own.select("recording", "i", _planted(F.slice("embedding", 1, 6), F.col("i") % voices, voices).alias("scaled"))
+    told, fast = diarize.speakers_of(points, "recording"), diarize.speakers_of(points, "recording", tell=diarize.voices.speakers_fast)
+    return told.join(fast.withColumnRenamed("speakers", "fast"), "recording")
+
+
+@query("SELECT label AS recording, (row_number() OVER w - 1)::INT AS idx, round((row_number() OVER w - 1) * 0.64, 2) AS start, round(row_number() OVER w * 0.64, 2) AS \"end\", 'SPEAKER_0' || (row_number() OVER w - 1) % 3 AS speaker FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)")
+def diarized_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of recordings in which three voices take turns: each vector is a turn of 20 frames, of which every fifth is quiet."""
+    turns = _numbered(spark, d, F.col("label"))
+    length = F.count("*").over(Window.partitionBy("recording")) * 20 * 512 / 16000
+    each = turns.withColumn("duration", length).withColumn("voice", F.col("i") % 3).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    loud = F.when(F.col("r") % 5 == 2, F.lit(0.1)).otherwise(1 + F.col("r") / 1000)
+    varied = F.concat(F.slice("embedding", 3 * F.col("r") + 1, F.lit(64)), F.slice("embedding", F.lit(1), 3 * F.col("r")))  # turned, so that no two frames are alike
+    frames = each.select("recording", (F.col("i") * 20 + F.col("r")).alias("i"), _planted(varied, F.col("voice"), 3).alias("features"), loud.alias("rms"), "duration")
+    return diarize.diarize(frames, "recording", speakers=3)
 
 
 @query("SELECT user_id, count(*) FILTER (value > p) AS above FROM (SELECT user_id, value, quantile_cont(value, 0.2) OVER (PARTITION BY user_id) AS p FROM events) GROUP BY user_id")

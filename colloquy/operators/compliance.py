@@ -10,11 +10,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from ..functions.text import difference, negated, score_level, severity, strip, token_jaccard, words
+from ..functions.text import difference, jaccard, negated, score_level, severity, strip, words
 
 WEIGHTS = {"semantic_similarity": 40.0, "point_coverage": 30.0, "risk_detection": 20.0, "keyword_matching": 10.0}
 MOST_ITEMS = 2000
@@ -44,6 +44,17 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>") if values else F.array().cast("array<string>")
 
 
+def _tokens_of(spark: SparkSession, texts: Sequence[str], tokens: Callable[[Column], Column]) -> list[list[str]]:
+    """Tokens of the knowledge base's own texts, told once by a small job, so that no row asks for them again."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", tokens(F.lower("text")).alias("t")).collect()
+    return [list(r["t"] or []) for r in sorted(rows)]
+
+
+def _alike(a: set[str], b: set[str]) -> float:
+    """Share of common elements of two sets; 0 if either is empty."""
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
 def _contains(text: Column, keyword: Column) -> Column:
     return F.contains(F.lower(text), F.lower(strip(keyword)))
 
@@ -107,9 +118,11 @@ def score(
     text, segments = F.col("_text"), F.col("_segments")
 
     # similarity to each policy; the best one, first of equals
+    said = dict.fromkeys(x for i in (*policies, *points) for x in (i.title, i.content))
+    split = {x: {t for t in ts if len(t) > 1} for x, ts in zip(said, _tokens_of(meetings.sparkSession, list(said), tokens))} if policies else {}
     if similarity is None:
-        at = at.withColumn("_tokens", tokens(F.lower(text)))
-        sims = [token_jaccard(F.col("_tokens"), tokens(F.lower(F.lit(p.content)))) for p in policies]
+        at = at.withColumn("_tokens", F.array_distinct(F.filter(tokens(F.lower(text)), lambda t: F.length(t) > 1)))
+        sims = [jaccard(F.col("_tokens"), _strings(sorted(split[p.content]))) for p in policies]
     else:
         sims = [similarity(p.content) for p in policies]
     if policies:
@@ -125,9 +138,10 @@ def score(
     if points:
         most = F.array_sort(F.array(*(F.struct((-hits(i)).alias("o"), F.lit(k).alias("k")) for k, i in enumerate(points))))[0]
         chosen = F.when(most["o"] < 0, most["k"])
-        for p, policy in enumerate(policies):
-            same = [F.when(token_jaccard(tokens(F.lower(F.lit(policy.title))), tokens(F.lower(F.lit(i.title)))) > 0.3, F.lit(k)) for k, i in enumerate(points)]
-            chosen = F.when((F.col("_policy") == p) & (F.col("_sim") > 0.1), F.coalesce(*same, chosen)).otherwise(chosen)
+        like = {p: k for p, policy in enumerate(policies) if (k := next((k for k, i in enumerate(points) if _alike(split[policy.title], split[i.title]) > 0.3), None)) is not None}
+        if like:
+            by_title = F.create_map(*(F.lit(x) for pair in like.items() for x in pair))
+            chosen = F.coalesce(F.when(F.col("_sim") > 0.1, F.try_element_at(by_title, F.col("_policy"))), chosen)
         at = at.withColumn("_point", chosen)
     else:
         at = at.withColumn("_point", F.lit(None).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
 from ..operators import compliance, sentiment, timeline
-from .summary import summaries
+from .summary import summarised
 
 
 def meeting_texts(segments: DataFrame) -> DataFrame:
@@ -34,13 +34,11 @@ def analyze(segments: DataFrame, items: Sequence[compliance.Item], weights: Mapp
     if speakers is not None:
         segments = timeline.assign_speakers(segments, speakers, "meeting_id")
     texts = meeting_texts(segments)
-    told = summaries(texts, "meeting_id", max_length)
-    scored = compliance.score(texts, items, weights, tokens)
-    felt = scored.withColumn("sentiment", sentiment.sentiment(tokens(F.col("text"))))
-    return felt.join(told, "meeting_id")
+    felt = texts.withColumn("sentiment", sentiment.sentiment(tokens(F.col("text"))))
+    return summarised(compliance.score(felt, items, weights, tokens), max_length)
 
 
 def analyze_text(texts: DataFrame, key: str) -> DataFrame:
     """(key, summary, keywords, topics, sentiment) of texts that are no meetings' segments."""
-    felt = texts.select(key, sentiment.sentiment(tokens(F.coalesce("text", F.lit("")))).alias("sentiment"))
-    return summaries(texts, key).join(felt, key)
+    felt = texts.withColumn("sentiment", sentiment.sentiment(tokens(F.coalesce("text", F.lit("")))))
+    return summarised(felt).select(key, "summary", "keywords", "topics", "sentiment")

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions.tokens import default_lexicon, segment, tagged
 from ..functions.tokens import tokens as zh_tokens
-from ..operators.keywords import keyword_topics, keywords_zh
-from ..operators.sentences import key_sentences, sentences, suppress_repeats
+from ..operators.keywords import best_words, keyword_topics
+from ..operators.sentences import best_sentences, sentences, suppress_repeats
 
 TOO_SHORT = "内容过短，无法生成摘要"
 
@@ -23,24 +24,32 @@ def _similar(a: Column, b: Column) -> Column:
 
 
 def summaries(texts: DataFrame, key: str, max_length: int = 500, model_summary: str | None = None) -> DataFrame:
-    """(key, summary, keywords, topics) of Chinese meeting texts (key unique, text).
+    """(key, summary, keywords, topics) of Chinese meeting texts (key, text); see `summarised`."""
+    return summarised(texts, max_length, model_summary).select(key, "summary", "keywords", "topics")
+
+
+def summarised(texts: DataFrame, max_length: int = 500, model_summary: str | None = None) -> DataFrame:
+    """texts (with text) plus summary, keywords and topics, replacing columns of these names.
 
     The best sentences by rank are narrated, tidied, checked and freed of near repeats; an opening names topics and
     keywords; up to four sentences and two action items follow that say something else. model_summary names a
     column with a model's summaries, taken instead where not null, longer than 20 characters and not invented.
+    A null text is summed up as an empty one. Every step is an expression or an Arrow step on a text's own row.
     """
-    rows = texts.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"), *([F.col(model_summary).alias("model")] if model_summary else [F.lit(None).cast("string").alias("model")]))
-    rows = rows.withColumn("sentences", sentences(F.col("text"))).withColumn("tagged", tagged(F.col("text")))
-    best = keywords_zh(rows, key, n=20).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word", "frequency", "score"))), lambda x: F.struct(x["word"].alias("word"), x["frequency"].alias("frequency"), x["score"].alias("score"))).alias("words20"))
-    rows = rows.join(best, key, "left").withColumn("words20", F.coalesce("words20", F.array().cast("array<struct<word: string, frequency: bigint, score: double>>")))
+    given = [c for c in texts.columns if c not in ("summary", "keywords", "topics")]
+    rows = texts.select(F.struct(*given).alias("given"), F.coalesce("text", F.lit("")).alias("text"), (F.col(model_summary) if model_summary else F.lit(None).cast("string")).alias("model"))
+    rows = rows.withColumn("sentences", sentences(F.col("text"))).withColumn("words20", best_words(F.col("text"), tagged(F.col("text")), 20))
     rows = rows.withColumn("keywords", F.slice("words20", 1, 10)).withColumn("names", F.transform("keywords", lambda k: k["word"])).withColumn("names20", F.transform("words20", lambda k: k["word"])).withColumn("topics", keyword_topics(F.col("text")))
-    chosen = key_sentences(rows, key, 15, "sentences", "names20")
-    rows = rows.join(chosen, key, "left")
-
-    told = lambda c: F.transform(c, lambda s: T.tidied(T.narrated(s)))
-    good = F.filter(told(F.col("key_sentences")), lambda s: T.worth_a_summary(s, F.col("names")))
-    spare = F.filter(told(F.slice("sentences", 1, 8)), lambda s: F.length(s) > 15)
-    actions = F.filter(told(F.slice(T.action_items(F.col("text")), 1, 3)), lambda s: F.length(s) > 10)
+    rows = rows.withColumn("key_sentences", best_sentences(F.col("sentences"), F.col("names20"), 15)).withColumn("items", F.slice(T.action_items(F.col("text")), 1, 3))
+
+    # every candidate at once: one pass through the rules
+    told = R.all_rewritten(F.concat("key_sentences", F.slice("sentences", 1, 8), "items"), "narrated", "tidied")
+    rows = rows.withColumn("told", told).withColumn("short", R.rewritten(F.col("text"), "narrated", "tidied")).withColumn("model_told", R.rewritten(F.col("model"), "tidied") if model_summary else F.col("model"))
+    k, s = F.size("key_sentences"), F.least(F.size("sentences"), F.lit(8))
+    cut = lambda start, n: F.slice(F.col("told"), start, n)
+    good = F.filter(cut(F.lit(1), k), lambda x: T.worth_a_summary(x, F.col("names")))
+    spare = F.filter(cut(k + 1, s), lambda x: F.length(x) > 15)
+    actions = F.filter(cut(k + s + 1, F.size("items")), lambda x: F.length(x) > 10)
     rows = rows.withColumn("good", good).withColumn("spare", spare).withColumn("actions", actions)
     rows = rows.withColumn("top_topics", F.transform(F.filter(F.slice("topics", 1, 2), lambda t: t["score"] > 0.2), lambda t: t["topic"]))
     named = F.slice(F.filter(F.slice("names", 1, 8), lambda w: ~F.array_contains(F.col("top_topics"), w) & (F.length(w) > 1)), 1, 5)
@@ -66,12 +75,12 @@ def summaries(texts: DataFrame, key: str, max_length: int = 500, model_summary:
     fresh = F.slice(F.filter("actions", lambda x: ~F.exists("before", lambda y: _similar(x, y) > 0.5)), 1, 2)
     rows = rows.withColumn("fresh", F.transform(fresh, lambda x: x["text"]))
     parts = F.concat(F.transform("before", lambda x: x["text"]), F.when(F.size("fresh") > 0, F.array(F.concat(F.lit("会议明确"), F.array_join("fresh", "；")))).otherwise(F.array().cast("array<string>")))
-    model_ok = (F.length("model") > 20) & ~T.invented(F.col("model"), F.col("text"), _tokens_one(F.col("model")), _tokens_one(F.col("text"))) if model_summary else F.lit(False)
-    whole = T.finished(F.when(F.coalesce(model_ok, F.lit(False)), T.tidied(F.col("model"))).otherwise(F.array_join(parts, "。")))
-    short = F.substring(T.tidied(T.narrated(F.col("text"))), 1, max_length)
+    model_ok = (F.length("model") > 20) & ~T.invented(F.col("model"), F.col("text"), zh_tokens(F.col("model")), zh_tokens(F.col("text"))) if model_summary else F.lit(False)
+    whole = T.finished(F.when(F.coalesce(model_ok, F.lit(False)), F.col("model_told")).otherwise(F.array_join(parts, "。")))
+    short = F.substring("short", 1, max_length)
     rows = rows.withColumn("whole", whole)
     out = F.when(F.length(T.strip(F.col("text"))) < 20, F.lit(TOO_SHORT)).when(F.size("sentences") <= 2, short).otherwise(fitted(F.col("whole"), max_length))
-    return rows.select(key, out.alias("summary"), "keywords", "topics")
+    return rows.select("given.*", out.alias("summary"), "keywords", "topics")
 
 
 def fitted(c: Column, most: int) -> Column:
@@ -83,10 +92,6 @@ def fitted(c: Column, most: int) -> Column:
     return F.when(~out.endswith("。") & (F.length(out) < most) & (F.length(out) > 5), F.concat(out, F.lit("。"))).otherwise(out)
 
 
-def _tokens_one(c: Column) -> Column:
-    return zh_tokens(c)
-
-
 def _tokens_of(items: Column) -> Column:
     """Tokens of each of an array of texts, split in Python once for the row."""
     known = frozenset(default_lexicon())
@@ -96,13 +101,14 @@ def _tokens_of(items: Column) -> Column:
     def run(lists: pd.Series) -> pd.Series:
         return lists.map(lambda every: [segment(t or "", known, longest) for t in every])
 
-    return run(items)
+    return run.asNondeterministic()(items)
 
 
 def core_points(texts: DataFrame, key: str, keywords: Callable[[], Column] | Column, most: int = 3) -> DataFrame:
     """(key, points): the sentences that say most, narrated, without near repeats. texts has an array `sentences`."""
     words = keywords() if callable(keywords) else keywords
-    told = F.transform("sentences", lambda s: T.narrated(s))
+    texts = texts.withColumn("told", R.all_rewritten(F.col("sentences"), "narrated"))
+    told = F.col("told")
     first = suppress_repeats(F.filter(told, lambda s: F.length(s) >= 15), lambda x, y: F.substring(x, 1, 20) == F.substring(y, 1, 20), 1 << 20)
     good = F.filter(first, lambda s: T.makes_a_point(s, words))
     scored = F.filter(F.transform(good, lambda s, i: F.struct((-T.point_score(s, words)).alias("o"), i.alias("i"), s.alias("s"))), lambda x: x["o"] < 0)

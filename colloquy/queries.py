@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .functions import rules as R
 from .functions import text as T
 from .functions.tokens import tokens as zh_tokens
 from .operators import compliance, keywords, sentences, sentiment, timeline
@@ -597,13 +598,13 @@ def script_convert(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (1, '是好'), (2, '测试好'), (3, '会议讨论项目')) t(id, said)")
 def repeat_collapse(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "是是是是好"), (2, "测试测试测试好"), (3, "会议会议讨论项目")], "id int, t string")
-    return rows.select("id", T.tidied(F.col("t")).alias("said"))
+    return rows.select("id", R.tidied(F.col("t")).alias("said"))
 
 
 @query("SELECT * FROM (VALUES (1, '有观点认为需要加强培训'), (2, '会议讨论项目'), (3, '参会人员支持这个方案')) t(id, said)")
 def narrative(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "大家好，我觉得需要加强培训"), (2, "今天我们讨论项目"), (3, "大家支持这个方案")], "id int, t string")
-    return rows.select("id", T.narrated(F.col("t")).alias("said"))
+    return rows.select("id", R.narrated(F.col("t")).alias("said"))
 
 
 @query()
@@ -655,7 +656,7 @@ def kmeans_diarize(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("path").orderBy("label", "vec_id")) - 1
     e = read(spark, d, "embeddings").withColumn("path", F.lit("a"))
     frames = e.select("path", n.alias("i"), F.col("embedding").cast("array<double>").alias("features"), (F.abs(F.hash("vec_id")) % 1000 / 1000).alias("rms"))
-    return diarize.diarize(frames.withColumn("duration", F.max("i").over(Window.partitionBy("path")) * 512 / 16000 + 0.032), "path", speakers=3)
+    return diarize.diarize(frames.withColumn("duration", F.max("i").over(Window.partitionBy("path")) * 512 / 16000 + 0.032), "path", speakers=3, method="kmeans")
 
 
 from . import operator_queries  # noqa: E402  it adds its queries to those above

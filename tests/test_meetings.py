@@ -190,12 +190,6 @@ def test_recordings_and_voices(spark, tmp_path):
     assert (q["snr_before"], q["noise_reduction_db"]) == (0.0, pytest.approx(6.02))
 
 
-def test_number_of_speakers():
-    assert diarize.decide({2: 0.5, 3: 0.3, 4: 0.2}, {2: 10, 3: 20, 4: 30}) == 2
-    assert diarize.decide({2: 0.5, 3: 0.49, 4: 0.1}, {2: 20, 3: 10, 4: 30}) == 3
-    assert diarize.decide({2: 0.5, 3: 0.5, 4: 0.5}, {2: 30, 3: 20, 4: 10}) == 4
-
-
 def test_detector_and_buffers():
     d, events = Detector(), []
     for i in range(3):
