@@ -1,4 +1,4 @@
-"""Word segmentation of Chinese text: longest match over a lexicon, in Arrow batches.
+"""Word segmentation of Chinese text: longest match over a lexicon, in Arrow batches. For a corpus whose words were learned, see `operators.lexicon`.
 
 The steps are marked as not deterministic, though they are: else the optimizer copies what lies below them into each use.
 """
@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 
-_RUN = re.compile(r"[一-龥]+|[^\W一-龥]+|\s+|.", re.S)
+#: A run of Chinese signs, of other letters, of white space, or another character.
+RUN = re.compile(r"[一-龥]+|[^\W一-龥]+|\s+|.", re.S)
+
+
+def is_word_sign(c: str) -> bool:
+    return "一" <= c <= "龥"
 
 
 def default_lexicon() -> dict[str, str]:
@@ -30,8 +35,8 @@ def default_lexicon() -> dict[str, str]:
 def segment(text: str, lexicon: Iterable[str], longest: int) -> list[str]:
     """Words by forward longest match; a character that begins no word stands alone, other runs stay whole."""
     out = []
-    for run in _RUN.findall(text):
-        if not "一" <= run[0] <= "龥":
+    for run in RUN.findall(text):
+        if not is_word_sign(run[0]):
             out.append(run)
             continue
         i = 0
@@ -62,7 +67,7 @@ def tagged(text: Column, lexicon: dict[str, str] | None = None) -> Column:
     @F.pandas_udf("array<struct<word: string, tag: string>>")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[dict[str, str]]:
-            return [{"word": w, "tag": known.get(w, "n" if "一" <= w[0] <= "龥" else "eng")} for w in segment(t or "", known, longest)]
+            return [{"word": w, "tag": known.get(w, "n" if is_word_sign(w[0]) else "eng")} for w in segment(t or "", known, longest)]
 
         return texts.map(one)
 

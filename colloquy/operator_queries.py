@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .functions import text as T
-from .operators import audio, compliance, diarize, keywords, sentences, sentiment, timeline
+from .operators import audio, compliance, diarize, keywords, lexicon, sentences, sentiment, timeline
 from .plans import analyze, reports, summary
 from .queries import micros, query, read
 from .sources import files, store
@@ -327,6 +327,42 @@ def voiced_frames(spark: SparkSession, d: str) -> DataFrame:
     return diarize.voiced(read(spark, d, "events"), "user_id", "value").groupBy("user_id").agg(F.count_if("voiced").alias("above"))
 
 
+# ---- words without spaces
+
+
+def _signs(c: Column) -> Column:
+    """A text written without spaces in 26 signs: its letters, each as a sign, and stops."""
+    return F.translate(F.regexp_replace(F.lower(c), "[^a-z.!?]", ""), "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26)))
+
+
+_SIGNS = f"translate(regexp_replace(lower(text), '[^a-z.!?]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{''.join(chr(0x4E00 + i) for i in range(26))}')"
+
+
+@query(f"""
+WITH r AS (SELECT unnest(regexp_extract_all({_SIGNS}, '[{chr(0x4E00)}-{chr(0x4E19)}]+')) AS run FROM conversations),
+g AS (SELECT substring(run, i, k) AS gram, count(*) AS n FROM r, range(1, 5) AS ks(k), LATERAL (SELECT unnest(range(1, length(run) - k + 2)) AS i) GROUP BY ALL),
+t AS (SELECT sum(n) AS total FROM g WHERE length(gram) = 1),
+w AS (SELECT gram AS word, n FROM g WHERE n >= 20 AND length(gram) IN (2, 3)),
+c AS (SELECT w.word, w.n, max(a.n::DOUBLE * b.n) AS chance FROM w, range(1, 3) AS cut(k) JOIN g a ON a.gram = substring(w.word, 1, k) JOIN g b ON b.gram = substring(w.word, k + 1) WHERE k < length(w.word) GROUP BY ALL),
+e AS (SELECT side, word, sum(n) AS met, sum(n * ln(n)) AS s FROM (SELECT 'b' AS side, substring(gram, 1, length(gram) - 1) AS word, n FROM g WHERE length(gram) > 1 UNION ALL SELECT 'a', substring(gram, 2), n FROM g WHERE length(gram) > 1) GROUP BY ALL),
+v AS (SELECT c.word, min(ln(c.n) - (coalesce(s, 0) + CASE WHEN c.n > coalesce(met, 0) THEN (c.n - coalesce(met, 0)) * ln(c.n - coalesce(met, 0)) ELSE 0 END) / c.n) AS variety FROM c CROSS JOIN (VALUES ('a'), ('b')) AS x(side) LEFT JOIN e USING (side, word) GROUP BY c.word)
+SELECT word, n, round(n * total / chance, 4) AS together, round(variety, 4) AS variety FROM c JOIN v USING (word), t WHERE n * total / chance >= 3 AND variety >= 0.8""")
+def corpus_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of up to three signs that the turns of all conversations, written without spaces, have of their own."""
+    rows = read(spark, d, "conversations").select(_signs(F.col("text")).alias("text"))
+    found = lexicon.learned_words(rows, longest=3, least=20, together=3.0, variety=0.8)
+    return found.select("word", "n", F.round("together", 4).alias("together"), F.round("variety", 4).alias("variety"))
+
+
+@query()
+def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn, written without spaces, cut along the most probable path of the corpus's words, with tags."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", _signs(F.col("text")).alias("text"))
+    tags = {chr(0x4E00 + a) + chr(0x4E00 + b): "v" if a % 2 else "n" for a in range(26) for b in range(26)}
+    model = lexicon.learn(rows, tags, longest=3, least=20, together=3.0, variety=0.8)
+    return rows.select("conv_id", "turn", F.array_join(F.transform(lexicon.path_tagged(F.col("text"), model), lambda x: F.concat(x["word"], F.lit("/"), x["tag"])), " ").alias("words"))
+
+
 # ---- texts
 
 
