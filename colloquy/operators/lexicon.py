@@ -69,8 +69,8 @@ class Trie:
 
     def __init__(self, words: Mapping[str, float]):
         self.code = {c: i + 1 for i, c in enumerate(sorted({c for w in words for c in w}))}
-        size, last = 1024, 1
-        base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, np.nan)
+        size, free = 1024, 1
+        base, check, value = [0] * size, [-1] * size, [math.nan] * size
         check[0] = 0
         todo: list[tuple[int, list[str], int]] = [(0, sorted(words), 0)]
         while todo:
@@ -83,21 +83,22 @@ class Trie:
             groups: dict[int, list[str]] = {}
             for w in own:
                 groups.setdefault(self.code[w[depth]], []).append(w)
-            codes = np.array(list(groups))
-            at = last if len(codes) == 1 else 1
+            codes = sorted(groups)
+            at = max(1 - codes[0], free - codes[0])  # the first free place takes the first child, if the others' are free too
             while True:
-                while at + codes.max() + 1 >= len(check):
-                    grown = 2 * len(check)
-                    base, check, value = np.resize(base, grown), np.concatenate([check, np.full(grown - len(check), -1)]), np.concatenate([value, np.full(grown - len(value), np.nan)])
-                if (check[at + codes] < 0).all():
+                if (more := at + codes[-1] + 1 - len(check)) > 0:
+                    more += len(check)
+                    base, check, value = base + [0] * more, check + [-1] * more, value + [math.nan] * more
+                if all(check[at + c] < 0 for c in codes):
                     break
                 at += 1
             base[state] = at
-            check[at + codes] = state
-            while last < len(check) and check[last] >= 0:
-                last += 1
-            todo += [(at + c, rest, depth + 1) for c, rest in groups.items()]
-        self.base, self.check, self.value = base.tolist(), check.tolist(), value.tolist()
+            for c in codes:
+                check[at + c] = state
+                todo.append((at + c, groups[c], depth + 1))
+            while free < len(check) and check[free] >= 0:
+                free += 1
+        self.base, self.check, self.value = base, check, value
 
     def found(self, text: str, start: int) -> Iterator[tuple[int, float]]:
         """(end, value) of all words that begin at a place, the shortest first."""
@@ -107,7 +108,7 @@ class Trie:
             if code is None:
                 return
             to = self.base[state] + code
-            if to >= len(self.check) or self.check[to] != state:
+            if not 0 < to < len(self.check) or self.check[to] != state:
                 return
             state = to
             if self.value[state] == self.value[state]:
