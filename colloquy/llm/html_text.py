@@ -466,14 +466,17 @@ def _content_places(reference: Node, n: int) -> tuple[list[Node], Node | None, s
     """(places of the reference that hold the content, the place around them, labels): a child of that place without a
     place of its own in the template is content too if it has one of the labels, as one more of a list of records.
 
-    From the root it goes down to the fullest place. A level with headings or much text of its own that varies is the
-    content as a whole; of other levels, places that hold little beside the fullest are left behind.
+    From the root it goes down to the fullest place, but not into an article or main element. A level with headings or much
+    text of its own that varies is the content as a whole; of other levels, places that hold little beside the fullest are
+    left behind.
     """
     node = reference
     while True:
         whole = sum(x.content for x in node.at)
         if not whole:
             return [], None, set()
+        if node.tag in ("article", "main"):
+            return [node], None, set()  # what the pages call their article is content whole, small and linked parts too
         total = {id(c): sum(x.content for x in c.at) for c in node.children}
         here = [c for c in node.children if c.tag != "#" and not c.skip and usual(len(c.at), n)]
         boxes = [c for c in here if c.tag in CONTAINERS]
@@ -651,7 +654,8 @@ def extract(pages: DataFrame) -> DataFrame:
     and each block induces its wrapper from its own pages. Pages without a host (a null url, or one without ://) and
     those of blocks of one or two different pages have nothing to be compared with: there the page's own article or
     main element counts, else all but what its elements and classes mark. Malformed markup is read as browsers would,
-    nearly; elements nest 512 deep. Rows with equal html on one host are one page in this: it counts once, and they
+    nearly; elements nest 512 deep. Within article and main elements no part is left out for being small or a link; where a
+    host has no such elements, places that hold less than LEAST_SHARE of what the fullest beside them holds are. Rows with equal html on one host are one page in this: it counts once, and they
     all get its text; where they are many they don't meet in one task. Such pages are told apart by 64-bit hashes
     within their host. Memory is one block's trees and rows.
     """

@@ -159,6 +159,20 @@ def test_alignment_finds_the_content_of_an_unknown_template():
     assert ht.texts_of(pages, False) != want and induced(pages[:2]) != want
 
 
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_small_and_linked_parts_of_an_article_stay(tag):
+    dice = random.Random(3)
+    words = lambda n: " ".join(dice.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n))
+    pages, want = [], []
+    for k in range(12):
+        long = [words(60) + f" {k}." for _ in range(3)]
+        body = "".join(f"<p>{p}</p>" for p in long)
+        pages.append(f"<body><div class='t'><a href='/'>Start</a></div><{tag}><div class='lead'><p>Short lead {k}.</p></div><div class='b'>{body}</div><div><a href='/{k}'>See page number {k} for links</a></div><div class='end'><p>End {k}.</p></div></{tag}><div>All rights</div></body>")
+        want.append("\n\n".join([f"Short lead {k}.", *long, f"See page number {k} for links", f"End {k}."]))
+    assert ht.texts_of(pages, True) == want
+    assert ht.texts_of(pages, False) == want
+
+
 def test_records_without_a_name():
     """A varying number of like places side by side: all of them are content."""
     dice = random.Random(4)
