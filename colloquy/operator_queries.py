@@ -20,7 +20,7 @@ from .plans import analyze, reports, summary
 from .queries import micros, query, read
 from .sources import files, store
 from .sources.shared import folder
-from .streaming import live
+from .streaming import live, sessions
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -327,6 +327,31 @@ def voiced_frames(spark: SparkSession, d: str) -> DataFrame:
     return diarize.voiced(read(spark, d, "events"), "user_id", "value").groupBy("user_id").agg(F.count_if("voiced").alias("above"))
 
 
+# ---- sessions
+
+
+@query("""
+WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (SELECT user_id::VARCHAR AS session, seq, seq % 40 AS r, seq % 40 - 3 AS k, n FROM m),
+o AS (
+  SELECT session, seq, 'error' AS event, NULL::DOUBLE AS s, NULL::DOUBLE AS e, 0 AS chunks FROM r WHERE r < 3 OR r > 35
+  UNION ALL SELECT session, seq, 'started', 0, 0, 0 FROM r WHERE r = 3
+  UNION ALL SELECT session, seq, 'piece', k - 10, k, 10 FROM r WHERE r BETWEEN 4 AND 34 AND k % 10 = 0
+  UNION ALL SELECT session, seq, 'piece', 30, 31, 1 FROM r WHERE r = 35
+  UNION ALL SELECT session, seq, 'stopped', 0, 31, 0 FROM r WHERE r = 35
+  UNION ALL SELECT session, seq, 'piece', k - k % 10, k, k % 10 FROM r WHERE seq = n - 1 AND r BETWEEN 4 AND 34 AND k % 10 > 0
+  UNION ALL SELECT session, seq, 'expired', 0, k, 0 FROM r WHERE seq = n - 1 AND r BETWEEN 3 AND 34)
+SELECT session, seq, event, s AS start, e AS "end", chunks::INT AS chunks FROM o""")
+def live_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's events as messages of which the 4th of forty starts a session and the 36th stops it; each message comes twice."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), (F.row_number().over(own) - 1).cast("long").alias("seq"))
+    place = F.col("seq") % 40
+    rows = rows.withColumn("kind", F.when(place == 3, "start").when(place == 35, "stop").otherwise("chunk")).withColumn("level", F.lit(0.1)).withColumn("seconds", F.lit(1.0))
+    said = sessions.sessions_in(rows.unionByName(rows), pause=0.0, longest=10.0)
+    return said.select("session", "seq", "event", "start", "end", F.size("chunks").alias("chunks"))
+
+
 # ---- words without spaces
 
 
