@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import time
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +41,8 @@ SEED_ITEMS = [
     ("理财销售必传要点", "理财产品销售必须覆盖的合规要点。", "key_points", ["风险测评", "适当性", "风险告知", "录音录像", "持证上岗", "风险等级", "承受能力", "书面确认", "风险揭示", "合规销售"], ["投资者风险测评", "风险等级匹配", "风险告知义务", "销售过程录音录像", "销售人员持证上岗", "书面确认风险揭示书"]),
 ]
 MOST_PER_PAGE = 100
+#: Seconds after which the claim of a writer that has not ended is another's to remove.
+STALE = 1800
 
 
 def now() -> Column:
@@ -165,10 +170,55 @@ class Store:
         whole = max((k for k, (_, n) in enumerate(done) if not n.endswith(".added")), default=0)
         return done[whole:]
 
-    def _write(self, name: str, rows: DataFrame, kind: str) -> None:
-        fields, versions = self.schema(name), self._versions(name)
-        number = versions[-1][0] + 1 if versions else 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.folder}/{name}/v{number}{kind}")
+    def _claim(self, name: str, number: int) -> bool:
+        """Whether the next version's number is now this writer's: its own folder has become the claim.
+
+        A rename to a folder that is there fails or ends below that folder, as file systems differ; so the one whose mark lies
+        in the claim itself has it.
+        """
+        fs, claim = self._fs(f"{self.folder}/{name}/claimed-{number}")
+        tag = uuid.uuid4().hex
+        own = f"{self.folder}/{name}/claiming-{tag}"
+        fs.create(self._fs(f"{own}/by-{tag}")[1]).close()
+        try:
+            fs.rename(self._fs(own)[1], claim)
+        except Py4JJavaError:  # another writer's
+            pass
+        if fs.exists(self._fs(f"{claim.toString()}/by-{tag}")[1]):
+            return True
+        for rest in (own, f"{claim.toString()}/claiming-{tag}"):
+            fs.delete(self._fs(rest)[1], True)
+        return False
+
+    def _change(self, name: str, make: Callable[[DataFrame], DataFrame], kind: str = "") -> None:
+        """Writes what make gives of the table as its next version (with kind .added: as rows added to it).
+
+        A writer first claims the version's number; others wait and then begin from what it has written, so that none works
+        on a table that another is changing. A claim older than STALE seconds, its writer being lost, is removed. A
+        version counts once it is whole.
+        """
+        fields = self.schema(name)
+        while True:
+            versions = self._versions(name)
+            number = versions[-1][0] + 1 if versions else 1
+            fs, claim = self._fs(f"{self.folder}/{name}/claimed-{number}")
+            if fs.exists(claim) or not self._claim(name, number):
+                try:
+                    marks = [f.getModificationTime() / 1000 for f in fs.listStatus(claim) if f.getPath().getName().startswith("by-")]
+                except Py4JJavaError:  # it has ended meanwhile
+                    marks = []
+                if marks and time.time() - min(marks) > STALE:
+                    fs.delete(claim, True)
+                time.sleep(0.2)
+                continue
+            try:
+                last = self._versions(name)
+                if (last[-1][0] + 1 if last else 1) == number:
+                    rows = make(self.table(name))
+                    rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{number}{kind}")
+                    return
+            finally:
+                fs.delete(claim, True)
 
     def schema(self, name: str) -> StructType:
         return StructType.fromDDL(TABLES[name])
@@ -179,19 +229,19 @@ class Store:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes a whole new version; readers see it once it is complete."""
-        self._write(name, rows, "")
+        self._change(name, lambda _: rows)
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Adds rows in files of their own, so that the old ones are not written again; those without an id get the next
         ones, given out partition by partition without gathering them."""
-        old = self.table(name)
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.schema(name) if f.name not in rows.columns})
-        numbered = rows.withColumn("id", F.coalesce("id", F.lit(top) + 1 + F.monotonically_increasing_id()))
-        for c in ("created_at", "updated_at"):
-            if c in numbered.columns:
-                numbered = numbered.withColumn(c, F.coalesce(c, now()))
-        self._write(name, numbered, ".added")
+
+        def numbered(old: DataFrame) -> DataFrame:
+            top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            out = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.schema(name) if f.name not in rows.columns})
+            out = out.withColumn("id", F.coalesce("id", F.lit(top) + 1 + F.monotonically_increasing_id()))
+            return out.withColumns({c: F.coalesce(c, now()) for c in ("created_at", "updated_at") if c in out.columns})
+
+        self._change(name, numbered, ".added")
 
     def get(self, name: str, key: int) -> dict:
         row = self.table(name).where(F.col("id") == key).limit(1).collect()
@@ -202,21 +252,25 @@ class Store:
     def update(self, name: str, key: int, **values: object) -> None:
         """Changes the given values of a row, none other."""
         self.get(name, key)
-        rows = self.table(name)
-        if "updated_at" in rows.columns:
-            rows = rows.withColumn("updated_at", F.when(F.col("id") == key, now()).otherwise(F.col("updated_at")))
-        fields = {f.name: f.dataType for f in rows.schema}
-        self.replace(name, rows.withColumns({c: F.when(F.col("id") == key, F.lit(v).cast(fields[c])).otherwise(F.col(c)) for c, v in values.items() if c in fields and c != "id"}))
+        own = F.col("id") == key
+
+        def changed(rows: DataFrame) -> DataFrame:
+            fields = {f.name: f.dataType for f in rows.schema}
+            new = {c: F.when(own, F.lit(v).cast(fields[c])).otherwise(F.col(c)) for c, v in values.items() if c in fields and c != "id"}
+            stamp = {"updated_at": F.when(own, now()).otherwise(F.col("updated_at"))} if "updated_at" in fields else {}
+            return rows.withColumns(stamp | new)
+
+        self._change(name, changed)
 
     def delete(self, name: str, key: int) -> None:
         self.get(name, key)
-        self.replace(name, self.table(name).where(F.col("id") != key))
+        self._change(name, lambda rows: rows.where(F.col("id") != key))
 
     def delete_meeting(self, key: int) -> str | None:
         """Removes a meeting with its segments and reports; returns the path of its recording, which is the caller's to remove."""
         path = self.get("meetings", key)["audio_path"]
         for name, column in (("segments", "meeting_id"), ("compliance_reports", "meeting_id"), ("meetings", "id")):
-            self.replace(name, self.table(name).where(~F.col(column).eqNullSafe(F.lit(key))))
+            self._change(name, lambda rows, column=column: rows.where(~F.col(column).eqNullSafe(F.lit(key))))
         return path
 
     def list_meetings(self, number: int = 1, size: int = 10, status: str | None = None) -> DataFrame:
@@ -255,12 +309,15 @@ class Store:
         return {r["weight_name"]: r["weight_value"] for r in self.table("score_weights").limit(1000).collect()} or dict(SEED_WEIGHTS)
 
     def set_weights(self, values: Mapping[str, float]) -> None:
-        old = self.table("score_weights")
         new = self.spark.createDataFrame([(None, k, float(v)) for k, v in values.items()], "id bigint, weight_name string, weight_value double")
-        ids = old.select(F.col("weight_name").alias("_n"), F.col("id").alias("_id"))
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = new.join(ids, F.col("weight_name") == F.col("_n"), "left").select(F.coalesce("_id", F.lit(top) + F.row_number().over(Window.orderBy("weight_name"))).alias("id"), "weight_name", "weight_value")
-        self.replace("score_weights", upserted(old, numbered, "weight_name"))
+
+        def merged(old: DataFrame) -> DataFrame:
+            ids = old.select(F.col("weight_name").alias("_n"), F.col("id").alias("_id"))
+            top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            numbered = new.join(ids, F.col("weight_name") == F.col("_n"), "left").select(F.coalesce("_id", F.lit(top) + F.row_number().over(Window.orderBy("weight_name"))).alias("id"), "weight_name", "weight_value")
+            return upserted(old, numbered, "weight_name")
+
+        self._change("score_weights", merged)
 
     def seed(self) -> None:
         """Puts the defaults in where a table is empty."""

@@ -190,6 +190,35 @@ def test_recordings_and_voices(spark, tmp_path):
     assert (q["snr_before"], q["noise_reduction_db"]) == (0.0, pytest.approx(6.02))
 
 
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = store.Store(spark, f"file://{tmp_path}/db")
+    db.insert("meetings", spark.createDataFrame([("first", 0)], "title string, duration int").coalesce(1))
+
+    def write(k):
+        own = store.Store(spark, db.folder)
+        own.insert("meetings", spark.createDataFrame([(f"m{k}", k), (f"n{k}", k)], "title string, duration int"))
+        own.update("meetings", 1, **({"summary": "s"} if k % 2 else {"status": "done"}))
+        return k
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(write, range(4))) == [0, 1, 2, 3]
+    rows = db.table("meetings").collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 9 and {r["title"] for r in rows} == {"first", *(f"{x}{k}" for x in "mn" for k in range(4))}
+    assert (db.get("meetings", 1)["summary"], db.get("meetings", 1)["status"]) == ("s", "done")
+    assert not [p.name for p in (tmp_path / "db" / "meetings").iterdir() if p.name.startswith("claim")]
+
+
+def test_a_lost_writers_claim_is_removed(spark, tmp_path, monkeypatch):
+    db = store.Store(spark, f"file://{tmp_path}/db")
+    (tmp_path / "db" / "meetings" / "claimed-1").mkdir(parents=True)
+    (tmp_path / "db" / "meetings" / "claimed-1" / "by-another").touch()
+    monkeypatch.setattr(store, "STALE", 1)
+    db.insert("meetings", spark.createDataFrame([("x",)], "title string").coalesce(1))
+    assert db.get("meetings", 1)["title"] == "x"
+
+
 def test_detector_and_buffers():
     d, events = Detector(), []
     for i in range(3):
