@@ -7,6 +7,7 @@ SQL then has the rows that the rules give. What can be asked of a test table is.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .functions import rules as R
 from .functions import text as T
 from .operators import audio, compliance, diarize, keywords, lexicon, sentences, sentiment, timeline
 from .plans import analyze, reports, summary
@@ -327,6 +329,52 @@ def voiced_frames(spark: SparkSession, d: str) -> DataFrame:
     return diarize.voiced(read(spark, d, "events"), "user_id", "value").groupBy("user_id").agg(F.count_if("voiced").alias("above"))
 
 
+# ---- rewrite rules
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The rules' own words without repeats (which only back-references find), to be planted at the beginning and end of texts.
+_PLANTED = sorted({b for name in R.NAMED for p, _ in R.NAMED[name]() if (b := re.sub(r"\\u....|[\^\\\[\](){}.*+?|$\d\-]|s(?=\*|$)", "", p)) and not re.search(r"(..+)\1", b)})
+
+
+def _rules_sql(name: str) -> str:
+    """The rules one after the other in SQL; those that look for repeats are left out, as its patterns have no back-references."""
+    text = "planted"
+    for pattern, replacement in R.NAMED[name]():
+        if "\\1" not in pattern:
+            text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
+    return text
+
+
+def _planted_sql(name: str) -> str:
+    words = ", ".join(map(_quoted, _PLANTED))
+    return f"""WITH w AS (SELECT [{words}] AS w),
+p AS (SELECT conv_id, turn, w[1 + (conv_id * 31 + turn * 7) % {len(_PLANTED)}] || '，' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || '，' || w[1 + (conv_id * 17 + turn * 5) % {len(_PLANTED)}] AS planted FROM conversations, w)
+SELECT conv_id, turn, regexp_replace({_rules_sql(name)}, '^\\s+|\\s+$', '', 'g') AS said FROM p"""
+
+
+def _told(spark: SparkSession, d: str, name: str) -> DataFrame:
+    words = F.array(*map(F.lit, _PLANTED))
+    at = lambda a, b: F.element_at(words, (1 + (F.col("conv_id") * a + F.col("turn") * b) % len(_PLANTED)).cast("int"))
+    text = F.concat(at(31, 7), F.lit("，"), F.regexp_replace(F.lower("text"), "[^a-z]+", " "), F.lit("，"), at(17, 5))
+    return read(spark, d, "conversations").select("conv_id", "turn", R.rewritten(text, name).alias("said"))
+
+
+@query(_planted_sql("narrated"))
+def narrated_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn, with the rules' own words planted at both ends, as a report tells it."""
+    return _told(spark, d, "narrated")
+
+
+@query(_planted_sql("tidied"))
+def tidied_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The same turns without spoken openings and endings, repeats and filler."""
+    return _told(spark, d, "tidied")
+
+
 # ---- sessions
 
 

@@ -45,6 +45,35 @@ def subtract_noise(x: np.ndarray) -> np.ndarray:
     return istft(np.maximum(magnitude - 2 * noise, 0.01) * phase, len(x))
 
 
+def _smoothed(mask: np.ndarray, frames: int, bands: int) -> np.ndarray:
+    """The mask averaged over so many neighbours on each side, nearer ones counting more, in time and then in frequency."""
+    for axis, n in ((0, frames), (1, bands)):
+        near = 1 - np.abs(np.arange(-n, n + 1)) / (n + 1)
+        size = mask.shape[axis] + 2 * n
+        whole = np.fft.irfft(np.fft.rfft(mask, size, axis=axis) * np.expand_dims(np.fft.rfft(near / near.sum(), size), 1 - axis), size, axis=axis)
+        mask = np.take(whole, np.arange(n, n + mask.shape[axis]), axis=axis)
+    return np.clip(mask, 0, 1)
+
+
+def gate_noise(x: np.ndarray, noise: np.ndarray | None = None, deviations: float = 1.5, share: float = 1.0, sure: float = 12, hertz: float = 500, seconds: float = 0.05, rate: int = RATE) -> np.ndarray:
+    """A spectral gate: what is no louder in its band than the noise's mean level and so many deviations is taken off by share.
+
+    The noise is given or the first half second (a tenth of a shorter signal). Whether a place of the spectrum passes is
+    smoothed over hertz and seconds around it, so that single bins neither ring nor leave holes; what is louder by `sure` decibels
+    passes whatever is around it.
+    """
+    if noise is None:
+        noise = x[: int(rate * 0.5)] if len(x) > rate * 0.5 else x[: max(1, len(x) // 10)]
+    if not len(x) or not len(noise):
+        return x
+    level = lambda s: 20 * np.log10(np.abs(s) + 1e-10)
+    s, profile = stft(x), level(stft(noise))
+    over = level(s) - profile.mean(0) - deviations * profile.std(0)
+    around = _smoothed((over > 0).astype(float), max(1, round(seconds * rate / HOP)), max(1, round(hertz * FFT / rate)))
+    kept = np.maximum(around, np.clip(over / sure, 0, 1))
+    return istft(s * (1 - share * (1 - kept)), len(x))
+
+
 def band_pass(x: np.ndarray, low: float = 80, high: float = 7000, order: int = 4, rate: int = RATE) -> np.ndarray:
     """Zero-phase Butterworth band-pass: the squared magnitude response of the filter, applied to the spectrum at once."""
     if len(x) < 2:
@@ -102,9 +131,9 @@ def normalise(x: np.ndarray, db: float = -20) -> np.ndarray:
     return y * (0.99 / peak) if peak > 0.99 else y
 
 
-def preprocess(x: np.ndarray) -> np.ndarray:
-    """Noise off, band kept, gains set, level set."""
-    return normalise(enhance(band_pass(subtract_noise(np.asarray(x, np.float64)))))
+def preprocess(x: np.ndarray, reduce: Callable[[np.ndarray], np.ndarray] = subtract_noise) -> np.ndarray:
+    """Noise off (by subtraction or gate_noise), band kept, gains set, level set."""
+    return normalise(enhance(band_pass(reduce(np.asarray(x, np.float64)))))
 
 
 def applied(recordings: DataFrame, step: Callable[[np.ndarray], np.ndarray], samples: str = "samples") -> DataFrame:

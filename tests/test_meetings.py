@@ -176,6 +176,24 @@ def test_signal_steps():
     assert f.shape[1] == 76 and np.isfinite(f).all()
 
 
+def test_gate_keeps_tones_and_takes_noise():
+    noise = np.random.default_rng(1).normal(0, 0.02, 48000)
+    x = noise.copy()
+    x[16000:32000] += tone(1000, 1)[:16000]
+    out = audio.gate_noise(x)
+    power = lambda y, a, b: float(np.mean(y[a:b] ** 2))
+    assert len(out) == len(x) and power(out, 34000, 46000) < 0.1 * power(x, 34000, 46000)
+    assert power(out, 18000, 30000) == pytest.approx(0.125, rel=0.05)
+    other = audio.subtract_noise(x)
+    assert np.abs(out - other)[18000:30000].max() > 0.003
+    assert np.abs(audio.gate_noise(x, share=0.0) - x)[2048:-2048].max() < 1e-6
+    given = audio.gate_noise(x[16000:], noise=noise[:16000])
+    assert power(given, 18000, 30000) < 0.1 * power(x, 34000, 46000)
+    for short in (np.zeros(0), np.zeros(1), np.ones(100), np.zeros(5000)):
+        assert len(audio.gate_noise(short)) == len(short) and np.isfinite(audio.gate_noise(short)).all()
+    assert np.isfinite(audio.preprocess(x, audio.gate_noise)).all()
+
+
 def test_recordings_and_voices(spark, tmp_path):
     x = np.concatenate([tone(300, 2), np.zeros(16000), tone(900, 2)])
     (tmp_path / "a.wav").write_bytes(files.wav_bytes(x))
