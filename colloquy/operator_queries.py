@@ -509,6 +509,16 @@ def meeting_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("SELECT conv_id, 0.0::DOUBLE AS total, '不合格' AS level, 0 AS parts, '知识库为空，请先添加合规检查规则' AS said FROM conversations GROUP BY conv_id")
+def no_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation scored where the knowledge base is empty."""
+    c = read(spark, d, "conversations")
+    segments = c.select(F.col("conv_id").alias("meeting_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("speaker"), "text", F.col("turn").cast("double").alias("start_time"), (F.col("turn") + 1).cast("double").alias("end_time"))
+    out = compliance.score(analyze.meeting_texts(segments), [])
+    parts = sum((F.size(x) for x in ("covered_points", "missing_points", "risk_keywords", "risk_time_markers", "matched_keywords")), F.lit(0))
+    return out.select(F.col("meeting_id").alias("conv_id"), F.col("total_score").alias("total"), F.col("score_level").alias("level"), parts.alias("parts"), F.array_join("suggestions", "|").alias("said"))
+
+
 @query(_values([(1, 40.0, 30.0, 20.0, 10.0, 100.0, "x,y", ""), (2, 8.0, 0.0, 20.0, 0.0, 28.0, "", "x,y"), (3, 0.0, 30.0, 20.0, 2.5, 52.5, "u", ""), (4, 0.0, 0.0, 20.0, 0.0, 20.0, "", "")], "id, semantic, coverage, risk, matched, total, covered, missing"))
 def policy_scores(spark: SparkSession, d: str) -> DataFrame:
     """The best policy decides by similarity, and its title which points are asked for; without one the keywords decide.

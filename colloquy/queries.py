@@ -100,7 +100,7 @@ def falsy_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_projection(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return store.decoded_lists(read(spark, d, "events"), props="struct<k: bigint>").select("event_id", "props.k")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC LIMIT 20")
