@@ -33,7 +33,9 @@ def analyze(segments: DataFrame, items: Sequence[compliance.Item], weights: Mapp
     """
     if speakers is not None:
         segments = timeline.assign_speakers(segments, speakers, "meeting_id")
-    texts = meeting_texts(segments)
+    spark = segments.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = meeting_texts(segments.repartition(tasks, "meeting_id"))  # a meeting takes long: small partitions are not put together
     felt = texts.withColumn("sentiment", sentiment.sentiment(tokens(F.col("text"))))
     return summarised(compliance.score(felt, items, weights, tokens), max_length)
 

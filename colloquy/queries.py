@@ -635,7 +635,10 @@ def meeting_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def documents_summary(spark: SparkSession, d: str) -> DataFrame:
     """A summary of every document, whatever its language."""
-    return summary.summaries(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "summary")
+    docs, cores = read(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a text takes long: a table of few splits is dealt out
+        docs = docs.repartition(cores)
+    return summary.summaries(docs, "doc_id").select("doc_id", "summary")
 
 
 @query()
