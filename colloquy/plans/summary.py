@@ -44,7 +44,7 @@ def summarised(texts: DataFrame, max_length: int = 500, model_summary: str | Non
 
     # every candidate at once: one pass through the rules
     told = R.all_rewritten(F.concat("key_sentences", F.slice("sentences", 1, 8), "items"), "narrated", "tidied")
-    rows = rows.withColumn("told", told).withColumn("short", R.rewritten(F.when(F.size("sentences") <= 2, F.col("text")), "narrated", "tidied")).withColumn("model_told", R.rewritten(F.col("model"), "tidied") if model_summary else F.col("model"))
+    rows = rows.withColumn("told", told).withColumn("short", R.rewritten(F.when(F.size("key_sentences") <= 2, F.col("text")), "narrated", "tidied")).withColumn("model_told", R.rewritten(F.col("model"), "tidied") if model_summary else F.col("model"))
     k, s = F.size("key_sentences"), F.least(F.size("sentences"), F.lit(8))
     cut = lambda start, n: F.slice(F.col("told"), start, n)
     good = F.filter(cut(F.lit(1), k), lambda x: T.worth_a_summary(x, F.col("names")))
