@@ -24,6 +24,8 @@ from .timeline import fill_nearest, label_segments, median_smoothed, merge_same,
 SAMPLE = 3000
 #: Frames of a portion for each method (a neighbour graph of an hour's voiced frames; Ward's rule takes n squared steps).
 PORTION = {"spectral": 65_536, "hierarchical": 2048, "kmeans": 8192}
+#: Tasks at most over which portions are dealt.
+MOST_TASKS = 6000
 #: Clusters that a portion, or several portions together, hand on; and portions that are merged at a time.
 KEPT, TOGETHER = 128, 16
 
@@ -127,6 +129,8 @@ def clustered(points: DataFrame, key: str, speakers: DataFrame | int, method: st
         labels = np.unique(within(_matrix(group["v"]), group["k"][0].as_py()), return_inverse=True)[1]
         return _told(group.append_column("part", pa.array(labels.astype(np.int32))), [key, "at", "portion", "k", "part", "v"])
 
+    tasks = 3 * (facts.agg(F.sum("_portions")).first()[0] or 1)  # else small portions, which take long, would share a task
+    dealt = dealt.repartition(min(tasks, MOST_TASKS), key, "portion")
     members = written(dealt.groupBy(key, "portion").applyInArrow(portion, f"{key} {kind}, at long, portion int, k int, part int, v array<double>"), "portions")
     mean = vector_to_array(Summarizer.metrics("mean").summary(array_to_vector("v"))["mean"])
     parts = members.groupBy(key, "portion", "part", "k").agg(F.count("*").alias("n"), mean.alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,36 @@ def merge_short(segments: Column, least: float = 0.5) -> Column:
     return F.aggregate(segments, F.array().cast("array<struct<start:double,end:double,speaker:string>>"), add)
 
 
+def _without_short(starts: list, ends: list, speakers: list, least: float) -> tuple[list, list, list]:
+    """What `merge_short` keeps, found in one pass: each segment is added, extends what is kept last, or takes that off."""
+    start, end, speaker = [], [], []
+    same = lambda a, b: a is not None and a == b
+    for s, e, who in zip(starts, ends, speakers):
+        n = len(start)
+        short = n > 1 and s is not None and e is not None and e - s < least
+        if n and same(speaker[-1], who):
+            end[-1] = e
+        elif short:
+            if same(speaker[-2], who):
+                del start[-1], end[-1], speaker[-1]
+            end[-1] = e
+        else:
+            start.append(s), end.append(e), speaker.append(who)
+    return start, end, speaker
+
+
 def merged_short(segments: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """(key, idx, start, end, speaker) after `merge_short`, for segments in rows. A key's segments are one row meanwhile."""
-    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker"))).alias("s"))
-    return rows.select(key, F.posexplode(merge_short(F.col("s"), least)).alias("idx", "x")).select(key, "idx", "x.start", "x.end", "x.speaker")
+    """(key, idx, start, end, speaker) after `merge_short`, for segments in rows. A key's segments go through one pass in one task."""
+    kind = segments.schema[key].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("idx", "start", "end", "speaker")])
+        start, end, speaker = _without_short(*(group[c].to_pylist() for c in ("start", "end", "speaker")), least)
+        own = pa.array(np.zeros(len(start), np.int64))
+        return pa.table({key: group[key].take(own), "idx": pa.array(range(len(start)), pa.int32()), "start": pa.array(start, pa.float64()), "end": pa.array(end, pa.float64()), "speaker": pa.array(speaker, pa.string())})
+
+    rows = segments.select(key, "idx", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker")
+    return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, idx int, start double, end double, speaker string")
 
 
 def flag_overlaps(segments: DataFrame, key: str, gap: float = 0.1) -> DataFrame:
@@ -110,10 +138,11 @@ def voice_runs(frames: DataFrame, key: str, order: str, loud: Column, start: Col
 def fill_nearest(frames: DataFrame, key: str, order: str, label: str, known: Column) -> DataFrame:
     """frames with the label of the nearest known frame where it is not known; of two as near, the later one's."""
     w = Window.partitionBy(key).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what lies behind in the opposite order: a frame of all that follows is gone through anew for each row
+    back, ahead = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_n"), F.desc("_n")))
     at = frames.withColumn("_n", F.row_number().over(w)).withColumn("_l", F.when(known, F.col(label))).withColumn("_p", F.when(known, F.col("_n")))
-    left, right = F.last("_p", True).over(back), F.first("_p", True).over(ahead)
-    label_left, label_right = F.last("_l", True).over(back), F.first("_l", True).over(ahead)
+    left, right = F.last("_p", True).over(back), F.last("_p", True).over(ahead)
+    label_left, label_right = F.last("_l", True).over(back), F.last("_l", True).over(ahead)
     nearer = F.when(right.isNull() | (F.col("_n") - left < right - F.col("_n")), label_left).otherwise(label_right)
     return at.withColumn(label, F.coalesce("_l", nearer)).drop("_n", "_l", "_p")
 

@@ -85,7 +85,10 @@ class Graph:
 
     def times(self, v: np.ndarray) -> np.ndarray:
         """The normalised graph, D^-1/2 W D^-1/2, times the columns of v; a row without neighbours has only itself."""
-        sums = np.add.reduceat(np.concatenate([self._scaled[:, None] * v[self.col], np.zeros((1, v.shape[1]))]), self.starts, axis=0)
+        sums = np.empty(v.shape)
+        for c in range(v.shape[1]):  # column by column: all at once would hold a number for each link and column
+            own = np.ascontiguousarray(v[:, c])
+            sums[:, c] = np.add.reduceat(np.append(self._scaled * own[self.col], 0.0), self.starts)
         return np.where(self._alone[:, None], v, sums)
 
     def vectors(self, k: int, blocks: int = 10, cycles: int = 40, within: float = 1e-7) -> np.ndarray:

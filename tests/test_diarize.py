@@ -1,10 +1,13 @@
 """Clusters of frames against brute force, and recordings that don't change each other."""
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import diarize, voices
+from colloquy.operators import diarize, timeline, voices
 
 
 def same(a, b):
@@ -70,6 +73,15 @@ def test_vectors_are_those_of_the_whole_matrix():
     assert np.allclose(mine.T @ scaled @ mine, np.diag(np.linalg.eigvalsh(scaled)[::-1][:4]), atol=1e-6)
 
 
+def test_vectors_hold_no_number_for_each_link_and_column():
+    g = voices.Graph(np.random.default_rng(4).integers(0, 4000, (4000, 29)))
+    tracemalloc.start()
+    g.vectors(3, cycles=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * g.vectors(3, cycles=1).shape[0] * 60 * 8 < len(g.col) * 60 * 8
+
+
 def test_spectral_tells_voices_and_rings_apart():
     x, truth = three_voices()
     assert same(voices.spectral(x, 3).tolist(), truth)
@@ -163,3 +175,27 @@ def test_hierarchical_equals_all_pairs_in_spark(spark):
     found = {r["i"]: r["label"] for r in diarize.clustered(points, "path", 4, "hierarchical").collect()}
     for p in (0, 1):
         assert same([found[i] for i in range(p, 150, 2)], slow_ward(x[p::2], 4))
+
+
+def test_short_segments_of_many_are_merged_in_one_pass(spark):
+    """As the fold over an array has it, with missing values too; a recording of very many segments takes no longer for each."""
+    dice = np.random.default_rng(6)
+    rows = [(k % 7 or None, i, *((None, None, None) if dice.random() < 0.02 else (float(i), i + float(dice.choice([0.1, 0.4, 2.0])), "abc"[dice.integers(3)]))) for i, k in enumerate(dice.integers(0, 7, 900).tolist())]
+    given = spark.createDataFrame(rows, "m int, idx int, start double, end double, speaker string")
+    array = given.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "speaker"))).alias("s"))
+    want = array.select("m", F.posexplode(timeline.merge_short(F.col("s"), 0.3)).alias("idx", "x")).select("m", "idx", "x.start", "x.end", "x.speaker")
+    every = lambda df: sorted(map(repr, df.collect()))
+    assert every(timeline.merged_short(given, "m", 0.3)) == every(want)
+    many = spark.range(200_000).select(F.lit(1).alias("m"), F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("start"), (F.col("id") + 1).cast("double").alias("end"), (F.col("id") % 3).cast("string").alias("speaker"))
+    began = time.time()
+    assert timeline.merged_short(many, "m", 0.3).count() == 200_000 and time.time() - began < 60
+
+
+def test_no_window_over_all_that_follows(spark):
+    """Such a frame takes a step for each pair of a recording's frames."""
+    rows = spark.range(150_000).select(F.lit(1).alias("m"), F.col("id").alias("i"), F.when(F.col("id") % 5 == 0, F.col("id") % 3).alias("l"))
+    filled = timeline.fill_nearest(rows, "m", "i", "l", F.col("l").isNotNull())
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    began = time.time()
+    far = filled.where("l != floor((i + 2) / 5) * 5 % 3 and i < 149995").count()
+    assert far == 0 and time.time() - began < 60
