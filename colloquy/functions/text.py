@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 
+#: White space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CJK = "\\u4e00-\\u9fa5"
 
 
 def strip(c: Column, chars: str | None = None) -> Column:
     """Without white space (any of Unicode) at both ends or, with chars, without these characters there."""
-    cls = r"\s" if chars is None else "[" + "".join("\\" + x if x in "\\]^-[&" else x for x in chars) + "]"
-    return F.regexp_replace(c, f"(?U)^{cls}+|{cls}+$", "")
+    if chars is None:
+        return F.btrim(c, F.lit(WHITE))
+    cls = "[" + "".join("\\" + x if x in "\\]^-[&" else x for x in chars) + "]"
+    return F.regexp_replace(c, f"^{cls}+|{cls}+$", "")
 
 
 def count_of(c: Column, word: str | Column) -> Column:

@@ -7,12 +7,13 @@ import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from ..functions.rowwise import by_row
 from ..functions.text import count_of, has
+from ..functions.tokens import tagger
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "word", at: str = "at") -> DataFrame:
@@ -69,15 +70,18 @@ _BONUS = {"nz": 1.5, "nr": 1.5, "ns": 1.5, "nt": 1.5, "n": 1.3, "vn": 1.3, "v":
 _WORD = re.compile("[\u4e00-\u9fa5a-zA-Z0-9]")
 
 
-def best_words(text: Column, tagged: Column, n: int = 10) -> Column:
-    """The first n words of `keywords_zh`, an array of (word, frequency, score), on a text's own row: nothing is shuffled or joined."""
+def best_words(text: Column, tagged: Column | None = None, n: int = 10) -> Column:
+    """The first n words of `keywords_zh`, an array of (word, frequency, score), on a text's own row: nothing is shuffled or joined,
+    and without a column tagged, of (word, tag), its words are none either."""
+    words_of, alone = tagger(), tagged is None
     stop = frozenset((*L.STOP_WORDS_ZH, *L.DOMAIN_STOP_WORDS_ZH))
 
-    def one(text: str | None, words: Sequence[dict]) -> list[dict]:
+    def one(text: str | None, given: list[dict] | None = None) -> list[dict]:
+        words = words_of(text) if alone else [(w["word"], w["tag"]) for w in given or ()]
         tags: dict[str, str] = {}
-        for w in words:
-            tags.setdefault(w["word"], w["tag"])
-        counts = Counter(w["word"] for w in words if w["tag"] in L.KEYWORD_TAGS and w["word"] not in stop and len(w["word"]) >= 2 and _WORD.match(w["word"]))
+        for w, tag in words:
+            tags.setdefault(w, tag)
+        counts = Counter(w for w, tag in words if tag in L.KEYWORD_TAGS and w not in stop and len(w) >= 2 and _WORD.match(w))
         total, sentences = sum(counts.values()), re.split("[。！？\n]", text or "")
         scored = []
         for word, frequency in counts.items():  # in order of their first places
@@ -86,11 +90,7 @@ def best_words(text: Column, tagged: Column, n: int = 10) -> Column:
             scored.append({"word": word, "frequency": frequency, "score": round(frequency / total * idf * _BONUS.get(tags[word], 1.0), 4)})
         return sorted(scored, key=lambda x: -x["score"])[:n]
 
-    @F.pandas_udf(WORDS)
-    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([one(t, w if w is not None else ()) for t, w in zip(texts, words)], dtype=object)
-
-    return run.asNondeterministic()(text, tagged)
+    return by_row(WORDS, one, text, *([] if alone else [tagged]))
 
 
 def document_frequency(texts: DataFrame, lexicon: Sequence[str], key: str, text: str = "text") -> DataFrame:

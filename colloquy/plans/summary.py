@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..functions.tokens import default_lexicon, segment, tagged
+from ..functions.rowwise import by_row
+from ..functions.tokens import default_lexicon, segment
 from ..functions.tokens import tokens as zh_tokens
 from ..operators.keywords import best_words, keyword_topics
 from ..operators.sentences import best_sentences, sentences, suppress_repeats
@@ -38,7 +38,7 @@ def summarised(texts: DataFrame, max_length: int = 500, model_summary: str | Non
     """
     given = [c for c in texts.columns if c not in ("summary", "keywords", "topics")]
     rows = texts.select(F.struct(*given).alias("given"), F.coalesce("text", F.lit("")).alias("text"), (F.col(model_summary) if model_summary else F.lit(None).cast("string")).alias("model"))
-    rows = rows.withColumn("sentences", sentences(F.col("text"))).withColumn("words20", best_words(F.col("text"), tagged(F.col("text")), 20))
+    rows = rows.withColumn("sentences", sentences(F.col("text"))).withColumn("words20", best_words(F.col("text"), n=20))
     rows = rows.withColumn("keywords", F.slice("words20", 1, 10)).withColumn("names", F.transform("keywords", lambda k: k["word"])).withColumn("names20", F.transform("words20", lambda k: k["word"])).withColumn("topics", keyword_topics(F.col("text")))
     rows = rows.withColumn("key_sentences", best_sentences(F.col("sentences"), F.col("names20"), 15)).withColumn("items", F.slice(T.action_items(F.col("text")), 1, 3))
 
@@ -96,12 +96,7 @@ def _tokens_of(items: Column) -> Column:
     """Tokens of each of an array of texts, split in Python once for the row."""
     known = frozenset(default_lexicon())
     longest = max(map(len, known))
-
-    @F.pandas_udf("array<array<string>>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda every: [segment(t or "", known, longest) for t in every])
-
-    return run.asNondeterministic()(items)
+    return by_row("array<array<string>>", lambda every: [segment(t or "", known, longest) for t in every or ()], items)
 
 
 def core_points(texts: DataFrame, key: str, keywords: Callable[[], Column] | Column, most: int = 3) -> DataFrame:
