@@ -12,11 +12,11 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rowwise import by_row
 from ..functions.tokens import RUN, is_word_sign
 from ..sources.shared import written
 
@@ -216,23 +216,14 @@ def learn(texts: DataFrame, tags: Mapping[str, str] | None = None, known: Mappin
 
 def path_tokens(text: Column, model: Model) -> Column:
     """Words of a text along the most probable path, as an array."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model.words(t) if t else [])
-
-    return run.asNondeterministic()(text)
+    return by_row("array<string>", lambda t: model.words(t) if t else [], text)
 
 
 def path_tagged(text: Column, model: Model) -> Column:
     """(word, tag) of a text along the most probable path and sequence of tags."""
 
-    @F.pandas_udf("array<struct<word: string, tag: string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict[str, str]]:
-            words = model.words(t or "")
-            return [{"word": w, "tag": tag} for w, tag in zip(words, model.tagged(words))]
-
-        return texts.map(one)
+    def one(t: str | None) -> list[tuple[str, str]]:
+        words = model.words(t or "")
+        return list(zip(words, model.tagged(words)))
 
-    return run.asNondeterministic()(text)
+    return by_row("array<struct<word: string, tag: string>>", one, text)
