@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def most_frequent(words: Column, n: int) -> Column:
     return run(words)
 
 
-def pcm_floats(raw: bytes) -> np.ndarray:
+def pcm_floats(raw: bytes | memoryview) -> np.ndarray:
     """Little-endian 16-bit samples as numbers below 1."""
     return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.float32) / 32768
 
@@ -153,13 +154,22 @@ def read_recordings(spark: SparkSession, path: str, rate: int = 16000) -> DataFr
     return files.select("path", "content").mapInPandas(run, "path string, rate int, samples array<float>")
 
 
+def _joined(chunks: pa.BinaryArray) -> memoryview:
+    """The bytes of all chunks, as they lie one after the other in the array: no chunk is an object of its own."""
+    if chunks.null_count:
+        raise ValueError("a chunk without samples")
+    _, places, raw = chunks.buffers()
+    at = np.frombuffer(places, np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+    return memoryview(raw or b"")[at[0] : at[-1]]
+
+
 def recordings_of(chunks: DataFrame, key: str = "session_id", rate: int = 16000) -> DataFrame:
     """(key, wav): each session's PCM chunks (seq, pcm) in order as one WAV file; a session's audio is one row."""
     joined = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "pcm"))).alias("c"))
 
-    @F.pandas_udf("binary")
-    def wav(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda c: wav_bytes(pcm_floats(b"".join(x["pcm"] for x in c)), rate))
+    @F.arrow_udf("binary")
+    def wav(lists: pa.Array) -> pa.Array:
+        return pa.array((wav_bytes(pcm_floats(_joined(x.values.field("pcm"))), rate) for x in lists), pa.binary())
 
     return joined.select(key, wav("c").alias("wav"))
 
