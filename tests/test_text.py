@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,12 @@ def test_fitted(spark):
     assert one(spark, summary.fitted(F.col("t"), 10), t="一二三四五六。七八九十一二") == "一二三四五六。"
     assert one(spark, summary.fitted(F.col("t"), 10), t="一二三四五六七八九十一二") == "一二三四五六七..."
     assert one(spark, summary.fitted(F.col("t"), 20), t="一二三四五六七") == "一二三四五六七。"
+
+
+def test_white_space_at_ends_needs_no_regular_expression(spark):
+    from colloquy.operators.sentences import sentences
+
+    white = [chr(c) for c in range(0x3001) if re.match(r"\s", chr(c)) and not 0x1C <= c <= 0x1F]
+    df = spark.createDataFrame([(w + " a" + w + "b" + w + "\n",) for w in white] + [("",), (None,), ("".join(white),)], "t string")
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip()) for r in df.select("t", T.strip(F.col("t")).alias("s")).collect())
+    assert "(?U)" not in df.select(sentences(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
