@@ -13,7 +13,9 @@ LEAF, TREES = 1024, 8
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+    out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    out -= 2 * a @ b.T
+    return np.maximum(out, 0, out=out)
 
 
 def _leaves(x: np.ndarray, dice: np.random.Generator) -> list[np.ndarray]:
@@ -127,11 +129,12 @@ def kmeans(x: np.ndarray, k: int, weight: np.ndarray | None = None, starts: int
     """Labels of the best of several runs of k-means from seeds that lie apart."""
     w = np.ones(len(x)) if weight is None else weight.astype(float)
     k, best, least = min(k, len(x)), np.zeros(len(x), int), math.inf
-    dice = np.random.default_rng(SEED)
+    dice, weighed = np.random.default_rng(SEED), np.ascontiguousarray((x * w[:, None]).T)
     for _ in range(starts):
-        middles = x[[dice.choice(len(x), p=w / w.sum())]]
+        middles, far = x[[dice.choice(len(x), p=w / w.sum())]], np.full(len(x), math.inf)
         for _ in range(k - 1):
-            d = squared(x, middles).min(1) * w
+            far = np.minimum(far, squared(x, middles[-1:])[:, 0])  # the others' distances are in it
+            d = far * w
             middles = np.concatenate([middles, x[[dice.choice(len(x), p=d / d.sum()) if d.sum() > 0 else 0]]])
         labels = None
         for _ in range(most):
@@ -139,8 +142,7 @@ def kmeans(x: np.ndarray, k: int, weight: np.ndarray | None = None, starts: int
             if labels is not None and (new == labels).all():
                 break
             labels = new
-            sums = np.zeros_like(middles)
-            np.add.at(sums, labels, x * w[:, None])
+            sums = np.stack([np.bincount(labels, component, k) for component in weighed], axis=1)
             n = np.bincount(labels, w, k)
             middles = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], middles)
         cost = float((squared(x, middles).min(1) * w).sum())

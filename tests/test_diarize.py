@@ -100,6 +100,38 @@ def test_few_or_equal_rows(x):
     assert voices.speakers(x) == 2
 
 
+def plain_kmeans(x, k, weight, starts, most=100):
+    """All distances anew for each seed, sums row by row."""
+    dice, best, least = np.random.default_rng(voices.SEED), None, np.inf
+    for _ in range(starts):
+        middles = x[[dice.choice(len(x), p=weight / weight.sum())]]
+        for _ in range(k - 1):
+            d = ((x[:, None] - middles[None]) ** 2).sum(2).min(1) * weight
+            middles = np.concatenate([middles, x[[dice.choice(len(x), p=d / d.sum())]]])
+        labels = None
+        for _ in range(most):
+            new = ((x[:, None] - middles[None]) ** 2).sum(2).argmin(1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            for c in set(labels.tolist()):
+                middles[c] = np.average(x[labels == c], axis=0, weights=weight[labels == c])
+        cost = (((x[:, None] - middles[None]) ** 2).sum(2).min(1) * weight).sum()
+        if cost < least - 1e-12:
+            best, least = labels, cost
+    return best
+
+
+def test_kmeans_equals_the_plain_form_with_work_in_proportion_to_k(monkeypatch):
+    x, weight = np.random.default_rng(5).normal(size=(700, 6)), np.random.default_rng(6).integers(1, 5, 700)
+    for w in (np.ones(700), weight.astype(float)):
+        assert voices.kmeans(x, 20, w, starts=3).tolist() == plain_kmeans(x, 20, w, 3).tolist()
+    pairs, squared = [], voices.squared
+    monkeypatch.setattr(voices, "squared", lambda a, b: pairs.append(len(a) * len(b)) or squared(a, b))
+    voices.kmeans(x, 64, starts=1, most=1)
+    assert sum(pairs) <= 3 * 64 * 700  # seeds, one round and the cost: each seed's distances are looked for once
+
+
 def test_silhouette():
     x, truth = np.array([[0.0], [1.0], [10.0], [14.0], [50.0]]), np.array([0, 0, 1, 1, 2])
     want = [(12 - 1) / 12, (11 - 1) / 11, (9.5 - 4) / 9.5, (13.5 - 4) / 13.5, 0]
