@@ -604,9 +604,8 @@ def finished_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, i, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), '。'), '[。！？!?]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 5) AS x FROM documents) WHERE len(x) >= 5)")
 def smart_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of documents that have five by line ends and strong signs, which is the first level of the cascade."""
-    docs = read(spark, d, "documents").select("doc_id", "text", sentences.sentences(F.col("text")).alias("s"))
-    first = T.pieces(F.replace(T.strip(F.col("text")), F.lit("\n"), F.lit("。")), sentences.LEVELS[0], 5)
-    return docs.where(F.size(first) >= 5).select("doc_id", F.posexplode("s").alias("i", "sentence"))
+    docs = read(spark, d, "documents").select("doc_id", sentences.leveled_sentences(F.col("text")).alias("s"))
+    return docs.where("s.level = 0").select("doc_id", F.posexplode("s.sentences").alias("i", "sentence"))
 
 
 @query(_values([(1, "甲" * 30 + "|" + L.CUE_WORDS[0] + "乙" * 30), (2, "丙" * 59 + "。|" + "丁" * 60 + "|" + "丁" * 60 + "|" + "丁" * 22), (3, "短文本")], "id, said"))

@@ -10,6 +10,7 @@ from colloquy.functions.tokens import segment, tagged, tokens
 from colloquy.operators import keywords, sentences
 from colloquy.operators.sentiment import from_model_score, sentiment
 from colloquy.plans import summary
+from colloquy.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -143,3 +144,17 @@ def test_white_space_at_ends_needs_no_regular_expression(spark):
     df = spark.createDataFrame([(w + " a" + w + "b" + w + "\n",) for w in white] + [("",), (None,), ("".join(white),)], "t string")
     assert all(r["s"] == (None if r["t"] is None else r["t"].strip()) for r in df.select("t", T.strip(F.col("t")).alias("s")).collect())
     assert "(?U)" not in df.select(sentences(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_cut_once_and_as_by_expressions(spark):
+    """No set of signs is tried twice on a text, which one Arrow step sees to; pieces are those of the regular expressions."""
+    dice = random.Random(9)
+    made = lambda: "".join(dice.choice(["word ", "词", "。", "！", "?", "；", ",", "\n", " ", "\u3000", "abcdefg", "\x1c"]) for _ in range(dice.randint(0, 60)))
+    df = spark.createDataFrame([(i, made()) for i in range(300)] + [(300, None), (301, "")], "id int, t string")
+    flat = F.replace(T.strip(F.col("t")), F.lit("\n"), F.lit("。"))
+    cuts = [F.when(F.size(T.pieces(flat, p, 5)) >= 5, F.struct(F.lit(k).alias("level"), T.pieces(flat, p, 5).alias("sentences"))) for k, p in enumerate(sentences.LEVELS)]
+    told = df.select("id", F.coalesce(*cuts).alias("want"), sentences.leveled_sentences(F.col("t")).alias("found"), sentences.sentences(F.col("t")).alias("alone")).collect()
+    assert all(r["found"]["sentences"] == r["alone"] and (r["found"] == r["want"] if r["want"] else r["found"]["level"] == 3) for r in told)
+    assert {r["found"]["level"] for r in told} == {0, 1, 2, 3}
+    plan = QUERIES["smart_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "split(" not in plan
