@@ -93,6 +93,48 @@ def best_words(text: Column, tagged: Column | None = None, n: int = 10) -> Colum
     return by_row(WORDS, one, text, *([] if alone else [tagged]))
 
 
+SENTENCE_COUNTS = "struct<sentences: int, total: bigint, words: array<struct<word: string, frequency: bigint, inside: int>>>"
+
+
+def _held_in(words: Mapping[str, object], least: int) -> dict[str, list[str]]:
+    """For each word that others contain, which they are. Words have so many letters at least: at each place of a word those are
+    tried that begin like what is there."""
+    starts: dict[str, list[str]] = {}
+    for word in words:
+        starts.setdefault(word[:least], []).append(word)
+    holders: dict[str, list[str]] = {}
+    for word in words:
+        for at in range(len(word) - least + 1):
+            for part in starts.get(word[at : at + least], ()):
+                if len(part) < len(word) and word.startswith(part, at):
+                    holders.setdefault(part, []).append(word)
+    return holders
+
+
+def sentence_counts(text: Column, least: int = 5) -> Column:
+    """struct(sentences, total, words) of a text in lower case: how many sentences are not blank, how many words have so many letters
+    of a to z, and of each different one its frequency and how many sentences contain it, within a longer word, too.
+
+    A word of letters alone lies in one run of letters wherever it occurs, so that its sentences are those of the words that
+    contain it: no sentence is searched for a word, and nothing is shuffled.
+    """
+    run, end = re.compile(f"[a-z]{{{least},}}"), re.compile("[.!?\n]")
+
+    def one(text: str | None) -> tuple:
+        own = [s for s in end.split(text or "") if s.strip(" ")]
+        found = [run.findall(s) for s in own]
+        counts = Counter(w for ws in found for w in ws)
+        places: dict[str, set[int]] = {w: set() for w in counts}
+        for i, ws in enumerate(found):
+            for w in ws:
+                places[w].add(i)
+        holders = _held_in(counts, least)
+        inside = {w: len(places[w].union(*(places[x] for x in holders[w])) if w in holders else places[w]) for w in counts}
+        return len(own), counts.total(), [(w, n, inside[w]) for w, n in counts.items()]
+
+    return by_row(SENTENCE_COUNTS, one, text)
+
+
 def document_frequency(texts: DataFrame, lexicon: Sequence[str], key: str, text: str = "text") -> DataFrame:
     """(word, documents): for each word of a lexicon, how many texts contain it; one pass, one row per word and task shuffled."""
     found = F.filter(F.array(*map(F.lit, lexicon)), lambda w: F.contains(F.col(text), w))

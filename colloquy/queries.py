@@ -212,14 +212,9 @@ SELECT doc_id, word, f AS frequency, round(f / sum(f) OVER (PARTITION BY doc_id)
 def tfidf_sentence(spark: SparkSession, d: str) -> DataFrame:
     """Frequency times rarity among a document's own sentences, for words of five letters or more."""
     docs = read(spark, d, "documents").where("lang = 'en'")
-    own = docs.select("doc_id", F.filter(F.transform(F.split("text", "[.!?\n]"), lambda x: F.trim(x)), lambda x: x != "").alias("s"))
-    every = F.filter(F.split(F.lower(F.array_join("s", " ")), "[^a-z]+"), lambda w: F.length(w) > 4)
-    counts = own.select("doc_id", F.explode(every).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("frequency"))
-    low = own.select(F.col("doc_id").alias("_d"), F.transform("s", F.lower).alias("s"))
-    inside = F.size(F.filter("s", lambda x: F.contains(x, F.col("word"))))
-    total = F.sum("frequency").over(Window.partitionBy("doc_id"))
-    tf = counts.withColumn("tf", F.col("frequency") / total).join(low, F.col("doc_id") == F.col("_d"))
-    return tf.select("doc_id", "word", "frequency", F.round(F.col("tf") * (F.ln((F.size("s") + 1) / (inside + 1)) + 1), 6).alias("score"))
+    own = docs.select("doc_id", keywords.sentence_counts(F.lower("text")).alias("c")).select("doc_id", "c.sentences", "c.total", F.explode("c.words").alias("w"))
+    idf = F.ln((F.col("sentences") + 1) / (F.col("w.inside") + 1)) + 1
+    return own.select("doc_id", "w.word", "w.frequency", F.round(F.col("w.frequency") / F.col("total") * idf, 6).alias("score"))
 
 
 @query("""SELECT doc_id, i, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10) AS x FROM documents))""")

@@ -158,3 +158,17 @@ def test_sentences_are_cut_once_and_as_by_expressions(spark):
     assert {r["found"]["level"] for r in told} == {0, 1, 2, 3}
     plan = QUERIES["smart_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "split(" not in plan
+
+
+def test_words_and_their_sentences_on_a_texts_own_row(spark):
+    """As by search of every sentence for every word, long runs of letters, too; the query joins and shuffles nothing."""
+    dice = random.Random(4)
+    made = lambda: "".join(dice.choice(["planet ", "plane", "planets. ", "explanet", "anet", "é", "!", "\n ", " ", "?", "x" * 30 + "planet" * 3, "lanet "]) for _ in range(dice.randint(0, 40)))
+    df = spark.createDataFrame([(i, made()) for i in range(200)] + [(200, None), (201, ""), (202, " . . ")], "id int, t string")
+    for r in df.select("t", keywords.sentence_counts(F.col("t")).alias("c")).collect():
+        own = [s for s in re.split("[.!?\n]", r["t"] or "") if s.strip(" ")]
+        every = [w for w in re.split("[^a-z]+", " ".join(own)) if len(w) > 4]
+        want = {(w, every.count(w), sum(w in s for s in own)) for w in every}
+        assert (r["c"]["sentences"], r["c"]["total"], {tuple(w) for w in r["c"]["words"]}) == (len(own), len(every), want)
+    plan = QUERIES["tfidf_sentence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
