@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions.rowwise import by_row
-from ..functions.text import count_of, has
+from ..functions.text import WHITE, count_of, has
 from ..functions.tokens import tagger
 
 
@@ -27,9 +27,13 @@ def top(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def _without_signs(text: str | Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", "")
+
+
 def english_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, at, word): lower-cased words without signs, stop words and words of one or two letters."""
-    plain = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", "")
+    plain = _without_signs(text)
     stop = F.array(*map(F.lit, L.STOP_WORDS_EN))
     split = F.filter(F.split(plain, r"(?U)\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
     return texts.select(key, F.posexplode(split).alias("at", "word"))
@@ -42,6 +46,17 @@ def keywords_en(texts: DataFrame, key: str, text: str = "text", n: int = 10) ->
     return best.select(key, "rank", "word", "frequency", (F.col("frequency") / F.col("total")).alias("score"))
 
 
+def best_words_en(text: Column, n: int = 10) -> Column:
+    """The first n words of `keywords_en`, an array, on a text's own row: nothing is shuffled or joined."""
+    white, stop = re.compile(f"[{WHITE}]+"), frozenset(L.STOP_WORDS_EN)
+
+    def one(text: str | None) -> list[str]:
+        counts = Counter(w for w in white.split(text or "") if len(w) > 2 and w not in stop)
+        return sorted(counts, key=lambda w: -counts[w])[:n]  # of equal ones the first comes first
+
+    return by_row("array<string>", one, _without_signs(text))
+
+
 def _bonus(tag: Column) -> Column:
     return F.when(tag.isin("nz", "nr", "ns", "nt"), 1.5).when(tag.isin("n", "vn"), 1.3).when(tag == "v", 1.1).otherwise(1.0)
 

@@ -244,9 +244,8 @@ def textrank_edges(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def textrank_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best sentences of each English document."""
-    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    top = keywords.keywords_en(docs, "doc_id", n=20).groupBy("doc_id").agg(F.collect_list("word").alias("keywords"))
-    rows = docs.join(top, "doc_id", "left").select("doc_id", sentences.plain_sentences(F.col("text"), "en").alias("sentences"), "keywords")
+    docs = read(spark, d, "documents").where("lang = 'en'")
+    rows = docs.select("doc_id", sentences.plain_sentences(F.col("text"), "en").alias("sentences"), keywords.best_words_en(F.col("text"), 20).alias("keywords"))
     best = sentences.key_sentences(rows, "doc_id", 5, tokenize=str.split)
     return best.select("doc_id", F.posexplode("key_sentences").alias("i", "sentence"))
 

@@ -172,3 +172,16 @@ def test_words_and_their_sentences_on_a_texts_own_row(spark):
         assert (r["c"]["sentences"], r["c"]["total"], {tuple(w) for w in r["c"]["words"]}) == (len(own), len(every), want)
     plan = QUERIES["tfidf_sentence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_best_english_words_are_those_of_the_table(spark):
+    """In their order, with signs and white space of any kind; the query that ranks sentences by them joins and shuffles nothing."""
+    dice = random.Random(8)
+    made = lambda: "".join(dice.choice(["Red", "green", "blue", "the", "été", "x²y", "ab", "a\u0301bc", "don't"]) + dice.choice([" ", "\u3000", "\x1c", ", ", "\n", "\x85"]) for _ in range(dice.randint(0, 40)))
+    df = spark.createDataFrame([(i, made()) for i in range(150)] + [(150, None), (151, "")], "id int, text string")
+    want = {}
+    for r in keywords.keywords_en(df, "id", n=4).orderBy("id", "rank").collect():
+        want.setdefault(r["id"], []).append(r["word"])
+    assert {r["id"]: r["w"] for r in df.select("id", keywords.best_words_en(F.col("text"), 4).alias("w")).collect()} == {i: want.get(i, []) for i in range(152)}
+    plan = QUERIES["textrank_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
