@@ -67,9 +67,12 @@ def _by_lot(key: str, order: str, *salt: str) -> Column:
     return F.xxhash64(key, order, *(F.lit(s) for s in salt))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(float) if len(flat) else np.zeros((0, 0))
+def _matrix(column: pa.ChunkedArray, turn: np.ndarray | None = None) -> np.ndarray:
+    """The vectors as rows, in this turn if one is given."""
+    if not len(column):
+        return np.zeros((0, 0))
+    rows = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1).astype(float, copy=False)
+    return rows if turn is None else rows[turn]
 
 
 def _told(group: pa.Table, names: list[str]) -> pa.Table:
@@ -125,9 +128,8 @@ def clustered(points: DataFrame, key: str, speakers: DataFrame | int, method: st
 
     def portion(group: pa.Table) -> pa.Table:
         turn = np.argsort(group["at"].to_numpy(), kind="stable")
-        group = group.take(pa.array(turn))
-        labels = np.unique(within(_matrix(group["v"]), group["k"][0].as_py()), return_inverse=True)[1]
-        return _told(group.append_column("part", pa.array(labels.astype(np.int32))), [key, "at", "portion", "k", "part", "v"])
+        labels = np.unique(within(_matrix(group["v"], turn), group["k"][0].as_py()), return_inverse=True)[1]
+        return _told(group.take(pa.array(turn)).append_column("part", pa.array(labels.astype(np.int32))), [key, "at", "portion", "k", "part", "v"])
 
     tasks = 3 * (facts.agg(F.sum("_portions")).first()[0] or 1)  # else small portions, which take long, would share a task
     dealt = dealt.repartition(min(tasks, MOST_TASKS), key, "portion")

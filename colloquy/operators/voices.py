@@ -9,6 +9,8 @@ import numpy as np
 SEED = 42
 #: Vectors of a bucket whose neighbours are looked for pair by pair, and how often the vectors are dealt out anew.
 LEAF, TREES = 1024, 8
+#: Rows whose differences from all their candidates are held at a time.
+GAPS = 8
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,8 +64,12 @@ def neighbours(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, n if n > LEAF else 0, 128):
         rows = np.arange(start, min(n, start + 128))
         more = near[near[rows, : min(m, 12)]].reshape(len(rows), -1)
-        gap = x[more] - x[rows][:, None, :]
-        dist = np.where(more == rows[:, None], np.inf, np.einsum("ijk,ijk->ij", gap, gap))
+        dist = np.empty(more.shape)
+        for at in range(0, len(rows), GAPS):
+            gap = x[more[at : at + GAPS]]
+            gap -= x[rows[at : at + GAPS]][:, None, :]
+            np.einsum("ijk,ijk->ij", gap, gap, out=dist[at : at + GAPS])
+        dist[more == rows[:, None]] = np.inf
         near[rows], far[rows] = _nearest(near[rows], far[rows], more, dist)
     near[np.isinf(far)] = -1
     return near, far
@@ -73,25 +79,35 @@ class Graph:
     """The symmetric graph of nearest neighbours, 1 for a pair that is mutual and 1/2 for another, its rows one after the other."""
 
     def __init__(self, near: np.ndarray):
-        n = len(near)
-        row, col = np.repeat(np.arange(n), near.shape[1]), near.ravel()
-        row, col = row[col >= 0], col[col >= 0]
-        names, times = np.unique(np.concatenate([row * n + col, col * n + row]), return_counts=True)
-        self.col, self.weight = names % n, times / 2
-        self.starts = np.searchsorted(names // n, np.arange(n))
+        n, held = len(near), near >= 0
+        own = np.arange(n)[:, None]
+        both = np.empty(2 * np.count_nonzero(held), np.int64)
+        both[: len(both) // 2] = (own * n + near)[held]
+        both[len(both) // 2 :] = (near * n + own)[held]
+        both.sort()
+        firsts = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        self.col, self.weight = both[firsts], np.diff(firsts, append=len(both)) / 2
+        del both, firsts, held
+        row = self.col // n
+        self.col %= n
+        self.starts = np.searchsorted(row, np.arange(n))
         self.degree = np.add.reduceat(np.append(self.weight, 0.0), self.starts)
-        self.degree[np.bincount(names // n, minlength=n) == 0] = 0.0
+        self._alone = np.bincount(row, minlength=n) == 0
+        self.degree[self._alone] = 0.0
         self._root = np.sqrt(np.where(self.degree > 0, self.degree, 1.0))
-        self._scaled = self.weight / (self._root[names // n] * self._root[self.col])
-        self._alone = self.degree == 0
+        self._scaled = self._root[row]
+        self._scaled *= self._root[self.col]
+        np.divide(self.weight, self._scaled, out=self._scaled)
 
     def times(self, v: np.ndarray) -> np.ndarray:
         """The normalised graph, D^-1/2 W D^-1/2, times the columns of v; a row without neighbours has only itself."""
-        sums = np.empty(v.shape)
+        sums, links = np.empty(v.shape), np.zeros(len(self.col) + 1)
         for c in range(v.shape[1]):  # column by column: all at once would hold a number for each link and column
-            own = np.ascontiguousarray(v[:, c])
-            sums[:, c] = np.add.reduceat(np.append(self._scaled * own[self.col], 0.0), self.starts)
-        return np.where(self._alone[:, None], v, sums)
+            np.take(np.ascontiguousarray(v[:, c]), self.col, out=links[:-1], mode="clip")  # which needs no copy of out
+            links[:-1] *= self._scaled
+            sums[:, c] = np.add.reduceat(links, self.starts)
+        sums[self._alone] = v[self._alone]
+        return sums
 
     def vectors(self, k: int, blocks: int = 10, cycles: int = 40, within: float = 1e-7) -> np.ndarray:
         """The k eigenvectors of the graph's Laplacian with the smallest eigenvalues, divided by the roots of the degrees.
@@ -119,6 +135,7 @@ class Graph:
             values, turn = np.linalg.eigh((base.T @ after + after.T @ base) / 2)
             best, values = base @ turn[:, ::-1][:, :width], values[::-1]
             rest = after @ turn[:, ::-1][:, :k] - best[:, :k] * values[:k]
+            del after  # else it would be held through the next cycle's steps
             if np.sqrt((rest**2).sum(0)).max() < within or base.shape[1] >= n:
                 break
             block = np.linalg.qr(best)[0]
@@ -156,8 +173,11 @@ def spectral(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x)
     if k < 2 or n <= k:
         return np.arange(n) % max(k, 1)
-    near, _ = neighbours(x, min(n - 1, max(2, min(30, n // 10) - 1)))
-    return kmeans(Graph(near).vectors(k), k)
+    near = neighbours(x, min(n - 1, max(2, min(30, n // 10) - 1)))[0]
+    del x  # what follows has the graph alone, and no vectors besides if the caller holds none
+    graph = Graph(near)
+    del near
+    return kmeans(graph.vectors(k), k)
 
 
 def ward(n: np.ndarray, mean: np.ndarray, k: int) -> np.ndarray:

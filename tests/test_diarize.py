@@ -2,6 +2,7 @@
 
 import time
 import tracemalloc
+import weakref
 
 import numpy as np
 import pytest
@@ -82,6 +83,33 @@ def test_vectors_hold_no_number_for_each_link_and_column():
     assert most < 12 * g.vectors(3, cycles=1).shape[0] * 60 * 8 < len(g.col) * 60 * 8
 
 
+def test_a_portion_holds_few_numbers_for_each_vector_and_link(monkeypatch):
+    """No differences of many rows from all their candidates, and the vectors no longer than until their neighbours are known."""
+    n, truth, graph, held = 6000, np.arange(6000) // 5 % 3, voices.Graph, []
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    def drawn():
+        x = np.random.default_rng(5).normal(size=(n, 64))
+        x += 4 * (np.arange(64)[None] % 3 == truth[:, None])
+        held.append(weakref.ref(x))
+        return x
+
+    near, most = peak(lambda: voices.neighbours(drawn(), 29)[0])
+    assert most < 40_000_000
+    g, most = peak(lambda: graph(near))
+    assert most < 50 * len(g.col)
+    assert peak(lambda: g.vectors(3))[1] < 2000 * n
+    monkeypatch.setattr(voices, "Graph", lambda near: held.append(held[-1]() is None) or graph(near))
+    labels = voices.spectral(drawn(), 3)
+    assert held[-1] is True and same(labels.tolist(), truth.tolist())
+
+
 def test_spectral_tells_voices_and_rings_apart():
     x, truth = three_voices()
     assert same(voices.spectral(x, 3).tolist(), truth)
