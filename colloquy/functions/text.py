@@ -140,7 +140,7 @@ def worth_a_summary(c: Column, keywords: Column) -> Column:
     questions = sum((has(c, w).cast("int") for w in L.QUESTION_WORDS), F.lit(0))
     return (
         (F.length(c) >= 12)
-        & ~any_of(c, L.SMALL_TALK)
+        & ~(c.rlike(f"[{CJK}]") & any_of(c, L.SMALL_TALK))  # each of these has such a sign
         & ~(c.endswith("？") | c.endswith("?"))
         & ~((questions >= 2) & (F.length(c) < 40))
         & ((F.length(c) >= 20) | (hits(c, keywords) > 0))
@@ -195,6 +195,8 @@ def invented(summary: Column, source: Column, summary_tokens: Column, source_tok
 def action_items(c: Column, patterns: Sequence[str] | None = None, most: int = 5) -> Column:
     """The first action items, those of the first pattern before those of the next, without repeats."""
     found = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns or L.ACTION_PATTERNS_ZH)))
+    if not patterns:  # each of these ends at a stop
+        found = F.when(has(c, "。") | has(c, "！") | has(c, "？"), found).when(c.isNotNull(), F.array().cast("array<string>"))
     clean = F.transform(found, lambda x: strip(x, "。！？. \n"))
     return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) > 5)), 1, most)
 

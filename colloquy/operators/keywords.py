@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions.rowwise import by_row
-from ..functions.text import WHITE, count_of, has
-from ..functions.tokens import tagger
+from ..functions.text import WHITE, has
+from ..functions.tokens import tagger, within_latin
 
 
 def term_counts(terms: DataFrame, key: str, term: str = "word", at: str = "at") -> DataFrame:
@@ -85,13 +85,14 @@ _BONUS = {"nz": 1.5, "nr": 1.5, "ns": 1.5, "nt": 1.5, "n": 1.3, "vn": 1.3, "v":
 _WORD = re.compile("[\u4e00-\u9fa5a-zA-Z0-9]")
 
 
-def best_words(text: Column, tagged: Column | None = None, n: int = 10) -> Column:
-    """The first n words of `keywords_zh`, an array of (word, frequency, score), on a text's own row: nothing is shuffled or joined,
-    and without a column tagged, of (word, tag), its words are none either."""
-    words_of, alone = tagger(), tagged is None
+def word_scorer(n: int = 10, alone: bool = True) -> Callable[..., list[dict]]:
+    """What finds the first n words of one text, as `best_words` has them; unless alone, its (word, tag) are given, too."""
+    words_of = tagger()
     stop = frozenset((*L.STOP_WORDS_ZH, *L.DOMAIN_STOP_WORDS_ZH))
 
     def one(text: str | None, given: list[dict] | None = None) -> list[dict]:
+        if alone and within_latin(text or ""):  # runs of other letters are no keywords
+            return []
         words = words_of(text) if alone else [(w["word"], w["tag"]) for w in given or ()]
         tags: dict[str, str] = {}
         for w, tag in words:
@@ -105,7 +106,13 @@ def best_words(text: Column, tagged: Column | None = None, n: int = 10) -> Colum
             scored.append({"word": word, "frequency": frequency, "score": round(frequency / total * idf * _BONUS.get(tags[word], 1.0), 4)})
         return sorted(scored, key=lambda x: -x["score"])[:n]
 
-    return by_row(WORDS, one, text, *([] if alone else [tagged]))
+    return one
+
+
+def best_words(text: Column, tagged: Column | None = None, n: int = 10) -> Column:
+    """The first n words of `keywords_zh`, an array of (word, frequency, score), on a text's own row: nothing is shuffled or joined,
+    and without a column tagged, of (word, tag), its words are none either."""
+    return by_row(WORDS, word_scorer(n, tagged is None), text, *([] if tagged is None else [tagged]))
 
 
 SENTENCE_COUNTS = "struct<sentences: int, total: bigint, words: array<struct<word: string, frequency: bigint, inside: int>>>"
@@ -156,33 +163,45 @@ def document_frequency(texts: DataFrame, lexicon: Sequence[str], key: str, text:
     return texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
 
 
-TOPIC = "struct<topic: string, score: double, keyword_hits: bigint, total_hits: bigint>"
+TOPICS = "array<struct<topic: string, score: double, keyword_hits: bigint, total_hits: bigint>>"
 
 
-def keyword_topics(text: Column, topics: Sequence[str] | None = None, words: Mapping[str, Sequence[str]] | None = None, n: int = 5) -> Column:
-    """The n topics whose words text has most: 0.6 for the share of words found, 0.4 for their density; ties as listed.
-
-    A word that a topic lists twice counts twice. Nothing is shuffled: it is one expression for each text.
-    """
+def topic_scorer(topics: Sequence[str] | None = None, words: Mapping[str, Sequence[str]] | None = None, n: int = 5) -> Callable[[str | None], list[tuple]]:
+    """What finds the n topics of one text, as `keyword_topics` has them, with scores that are not rounded."""
     words = L.TOPICS if words is None else words
-    counted = []
-    for k, topic in enumerate(topics or list(words)):
-        own = words.get(topic, [])
-        counts = F.transform(F.array(*map(F.lit, own)), lambda w: count_of(text, w)) if own else F.array().cast("array<bigint>")
-        counted.append(F.struct(F.lit(k).alias("place"), F.lit(topic).alias("topic"), F.lit(max(len(own), 1)).alias("n"), counts.alias("counts")))
+    listed = [(topic, list(words.get(topic, []))) for topic in topics or list(words)]
+    every = {w for _, own in listed for w in own}
+    foreign = not any(map(within_latin, every))
+
+    def one(text: str | None) -> list[tuple]:
+        if text and foreign and within_latin(text):
+            return nothing
+        counts = {w: text.count(w) if text else 0 for w in every}
+        least = max(len(text or "") / 100, 1.0)
+        out = []
+        for topic, own in listed:
+            found, total = sum(counts[w] > 0 for w in own), sum(counts[w] for w in own)
+            density = min(total / least, 1.0)
+            if text is None and own:  # what is not there is no count, and as dense as can be
+                total, density = None, 1.0
+            out.append((topic, found / max(len(own), 1) * 0.6 + density * 0.4, found, total))
+        return sorted(out, key=lambda t: -t[1])[:n]
+
+    nothing = one("")
+    return one
 
-    def summed(t: Column) -> Column:
-        found = F.size(F.filter(t["counts"], lambda c: c > 0)).cast("long")
-        total = F.aggregate(t["counts"], F.lit(0).cast("long"), lambda s, c: s + c)
-        return F.struct(t["place"].alias("place"), t["topic"].alias("topic"), t["n"].alias("n"), found.alias("found"), total.alias("total"))
 
-    def scored(t: Column) -> Column:
-        density = F.least(t["total"] / F.greatest(F.length(text) / 100, F.lit(1.0)), F.lit(1.0))
-        score = t["found"] / t["n"] * 0.6 + density * 0.4
-        return F.struct((-score).alias("order"), t["place"].alias("place"), t["topic"].alias("topic"), F.bround(score, 4).alias("score"), t["found"].alias("keyword_hits"), t["total"].alias("total_hits"))
+def rounded_topics(topics: Column) -> Column:
+    """What `topic_scorer` finds, with scores of four places."""
+    return F.transform(topics, lambda t: F.struct(t["topic"].alias("topic"), F.bround(t["score"], 4).alias("score"), t["keyword_hits"].alias("keyword_hits"), t["total_hits"].alias("total_hits")))
 
-    best = F.slice(F.array_sort(F.transform(F.transform(F.array(*counted), summed), scored)), 1, n)
-    return F.transform(best, lambda t: F.struct(t["topic"].alias("topic"), t["score"].alias("score"), t["keyword_hits"].alias("keyword_hits"), t["total_hits"].alias("total_hits")))
+
+def keyword_topics(text: Column, topics: Sequence[str] | None = None, words: Mapping[str, Sequence[str]] | None = None, n: int = 5) -> Column:
+    """The n topics whose words text has most: 0.6 for the share of words found, 0.4 for their density; ties as listed.
+
+    A word that a topic lists twice counts twice. Nothing is shuffled, and a text goes to Python once for all words.
+    """
+    return rounded_topics(by_row(TOPICS, topic_scorer(topics, words, n), text))
 
 
 def semantic_topics(text: Column, similarities: Mapping[str, Column], words: Mapping[str, Sequence[str]] | None = None, n: int = 5) -> Column:
